@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, quality
 from .sentencepiece_codec import encode_decode
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
@@ -24,11 +25,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, distance=4, seeds=(42,))
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op5_simhash": op5_simhash}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op9_quality": op9_quality}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
