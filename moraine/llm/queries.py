@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import chat, mixing, quality
 from .sentencepiece_codec import encode_decode
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
@@ -39,6 +39,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op9_quality": op9_quality}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op9_quality": op9_quality, "op10_chat": op10_chat}
+
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
