@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, quality
+from . import chat, licenses, mixing, quality, topk, warc
 from .line_dedup import line_dedup
 from .sentencepiece_codec import encode_decode
+from .shared import shared_folder
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 
@@ -45,6 +47,24 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("blocks")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    records = warc.read_records(warc.read_index(spark, folder), folder)
+    payload = F.col("payload").isNotNull()
+    return records.select(
+        "page_id",
+        F.when(payload, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(payload, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -53,6 +73,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_licenses": op6_licenses, "op9_quality": op9_quality, "op10_chat": op10_chat}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_chat": op10_chat}
+
+WARC_ORACLE = """
+with rows as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+first as (
+  select payload_digest, min(page_id) as first from rows where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from rows left join first using (payload_digest)
+"""
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op6_licenses": licenses.ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op6_licenses": licenses.ORACLE, "op7_topk": topk.ORACLE, "op8_warc": WARC_ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
