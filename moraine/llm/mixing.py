@@ -7,20 +7,17 @@ running sum passes what is needed is the boundary, and only its documents are co
 the next 12 bits, and so on until it is one hash. Nothing is sorted but the 4,096 bucket sums
 of a source. The boundary's own documents are taken if that comes nearer to the target.
 
-Joins are on source and bucket, or on source and a salt taken from the hash, so that a source
-with a third of all rows is spread like the rest.
+Joins of rows are on source and bucket, or on source and a salt taken from the hash, so that a
+source with a third of all rows is spread like the rest.
 
 Nulls, ties and odd inputs: a null text has size 0; sources are taken by code point, null last;
 a null doc_id is hashed as an empty one; rows with the same id and text are taken or left
 together; sources without words have target 0. An empty table gives an empty result. Columns
-other than ``doc_id``, ``text`` and ``source`` are carried only if named in ``carry``, in a
-struct of their own.
+other than ``doc_id``, ``text`` and ``source`` are ignored, or kept with the row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +25,7 @@ from .shared import cut
 
 BITS, LEVELS = 12, 5
 SALTS = 64
+BROADCAST = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,24 +53,20 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: in
     return filled.withColumn("target", F.least(F.col("capacity"), F.coalesce(F.col("weight") * level, F.col("capacity")))).select("key", "total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (size x copies) of each row; ``carried`` if asked for.
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
-    weights: of the sources in order of code point, repeating; share: of all words that the mix
-    takes; most: times that a document may be taken.
-    """
-    base = docs.select(
-        "doc_id",
-        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
-        word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("long").alias("hash"),
-        *([F.struct(*carry).alias("carried")] if carry else []),
-    )
-    rows = cut(base)
-    first = F.when(F.col("key") == "", 1).otherwise(0)  # the null source comes last
-    sources = rows.groupBy("key").agg(F.sum("size").alias("total")).withColumn("position", F.row_number().over(Window.orderBy(first, "key")))
-    plan = cut(targets(sources, weights, share, most).withColumn("full", F.when(F.col("total") > 0, F.floor(F.col("target") / F.greatest("total", F.lit(1)))).otherwise(0).cast("int")))
 
+def _hash() -> Column:
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+
+
+def limits(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """For each source of rows (key, size, hash): total, target, full copies, and the hash below which one more is taken."""
+    last = F.when(F.col("key") == "", 1).otherwise(0)  # the null source
+    sources = rows.groupBy("key").agg(F.sum("size").alias("total")).withColumn("position", F.row_number().over(Window.orderBy(last, "key")))
+    plan = cut(targets(sources, weights, share, most).withColumn("full", F.when(F.col("total") > 0, F.floor(F.col("target") / F.greatest("total", F.lit(1)))).otherwise(0).cast("int")))
     running = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     state = plan.select("key", (F.col("target") - F.col("full") * F.col("total")).alias("need"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("upto"))
     for level in range(1, LEVELS + 1):
@@ -83,20 +77,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         else:
             mine = rows.select("key", F.shiftright("hash", shift + BITS).alias("prefix"), bucket, "size")
             sums = mine.join(state.select("key", "prefix"), ["key", "prefix"], "left_semi").groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-        ends = sums.withColumn("end", F.sum("words").over(running)).join(state.select("key", "need", "upto"), "key").withColumn("end", F.col("end") + F.col("upto")).where("end > need")
-        state = ends.groupBy("key").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("upto"), "need", "end")).alias("b")).select("key", F.col("b.need").alias("need"), F.col("b.bucket").alias("prefix"), F.col("b.upto").alias("upto"), F.col("b.end").alias("end"))
-        state = cut(state)
-    limits = plan.join(state, "key", "left").select(
-        "key", "total", "target", "full", (F.col("prefix") + F.when(F.col("need") - F.col("upto") > F.col("end") - F.col("need"), 1).otherwise(0)).alias("below")
-    )
-    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        ends = sums.withColumn("end", F.sum("words").over(running)).join(state.select("key", "need", "upto"), "key").withColumn("end", F.col("end") + F.col("upto"))
+        boundary = F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("upto"), "need", "end")).alias("b")
+        state = cut(ends.where("end > need").groupBy("key").agg(boundary).select("key", "b.need", F.col("b.bucket").alias("prefix"), "b.upto", "b.end"))
+    nearer = F.when(F.col("need") - F.col("upto") > F.col("end") - F.col("need"), 1).otherwise(0)
+    return cut(plan.join(state, "key", "left").select("key", "total", "target", "full", (F.col("prefix") + nearer).alias("below")))
+
+
+def with_limits(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """rows (key, hash and more) with their source's limits and copies.
+
+    Up to BROADCAST sources, counted here, their limits go to every task; more are joined under
+    a salt from the hash, so that no source is dealt to one task.
+    """
     copies = (F.col("full") + F.when((F.col("hash") < F.col("below")) & (F.col("full") < most), 1).otherwise(0)).cast("int")
-    return (
-        rows.withColumn("salt", (F.col("hash") % SALTS).cast("int"))
-        .join(salted, ["key", "salt"])
-        .withColumn("copies", copies)
-        .select("doc_id", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["carried"] if carry else []))
-    )
+    if found.count() <= BROADCAST:
+        return rows.join(F.broadcast(found), "key").withColumn("copies", copies)
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", (F.col("hash") % SALTS).cast("int")).join(salted, ["key", "salt"]).withColumn("copies", copies)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", _key().alias("key"), word_count(F.col("text")).alias("size"), _hash().alias("hash")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (size x copies) of each row.
+
+    weights: of the sources in order of code point, repeating; share: of all words that the mix
+    takes; most: times that a document may be taken.
+    """
+    rows = _rows(docs)
+    joined = with_limits(rows, limits(rows, weights, share, most), most)
+    return joined.select("doc_id", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of docs, all columns unchanged, as often as the mix takes them."""
+    found = limits(_rows(docs), weights, share, most)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), _key().alias("key"), _hash().alias("hash"))
+    return with_limits(rows, found, most).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 #: DuckDB: the same mix by sorting each source's documents by hash.

@@ -83,7 +83,8 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = counted.join(lost, ["_key", "copy"], "left").withColumn("base_failed", failed)
     out = out.withColumn("lost_chars", F.coalesce("lost", F.lit(0)).cast("long"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("chars")))
+    # Not a conjunction: a filter on part of it would move below the counts and compute them anew for each use.
+    out = out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("lost_chars") <= max_lost * F.col("chars")))
     extra = []
     if carry:
         clean = F.array_join(F.filter(F.split("whole", "\n"), lambda x: ~F.array_contains("common", _line_hash(x))), "\n")
