@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -55,14 +55,20 @@ def spectrum_udf(rate: float):
     return summary
 
 
-@pandas_udf("double")
-def rectilinearity_udf(z: pd.Series, n: pd.Series, e: pd.Series) -> pd.Series:
-    return pd.Series([rectilinearity(*x) for x in zip(z, n, e)], dtype=float)
+def rectilinearity_udf():
+    @pandas_udf("double")
+    def linear(z: pd.Series, n: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([rectilinearity(*x) for x in zip(z, n, e)], dtype=float)
+
+    return linear
+
 
+def unit_vectors(rows: DataFrame, x: str, name: str) -> DataFrame:
+    """Adds an array less its mean, of length 1; null if it is constant.
 
-def unit_vector(x: Column) -> Column:
-    """An array less its mean, of length 1; null if it is constant."""
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    off = F.transform(x, lambda v: v.cast("double") - mean)
-    norm = F.sqrt(F.aggregate(off, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(norm > 0, F.transform(off, lambda v: v / norm))
+    Mean and length are columns of their own, so that they are not computed again for each element.
+    """
+    out = rows.withColumn("_mean", F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    out = out.withColumn("_off", F.transform(x, lambda v: v.cast("double") - F.col("_mean")))
+    out = out.withColumn("_norm", F.sqrt(F.aggregate("_off", F.lit(0.0), lambda a, v: a + v * v)))
+    return out.withColumn(name, F.when(F.col("_norm") > 0, F.transform("_off", lambda v: v / F.col("_norm")))).drop("_mean", "_off", "_norm")
