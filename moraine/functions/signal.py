@@ -63,12 +63,13 @@ def rectilinearity_udf():
     return linear
 
 
-def unit_vectors(rows: DataFrame, x: str, name: str) -> DataFrame:
-    """Adds an array less its mean, of length 1; null if it is constant.
+def mean_pair_correlation(rows: DataFrame, key: str, x: str) -> DataFrame:
+    """(key, n_pairs, coherence): mean correlation over all pairs of arrays of equal length; constant arrays take no part.
 
-    Mean and length are columns of their own, so that they are not computed again for each element.
+    The squared sum of unit vectors holds the products of all pairs, so none is formed.
     """
-    out = rows.withColumn("_mean", F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
-    out = out.withColumn("_off", F.transform(x, lambda v: v.cast("double") - F.col("_mean")))
-    out = out.withColumn("_norm", F.sqrt(F.aggregate("_off", F.lit(0.0), lambda a, v: a + v * v)))
-    return out.withColumn(name, F.when(F.col("_norm") > 0, F.transform("_off", lambda v: v / F.col("_norm")))).drop("_mean", "_off", "_norm")
+    sums = F.aggregate(x, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v.cast("double") * v).alias("q")))
+    scaled = rows.select(key, x, sums.alias("m")).select(key, x, (F.col("m.s") / F.size(x)).alias("mean"), F.sqrt(F.col("m.q") - F.col("m.s") * F.col("m.s") / F.size(x)).alias("norm")).where("norm > 0")
+    points = scaled.select(key, "mean", "norm", F.posexplode(x).alias("i", "v")).groupBy(key, "i").agg(F.sum((F.col("v") - F.col("mean")) / F.col("norm")).alias("s"), F.count("*").cast("double").alias("n"))
+    pairs = F.max("n") * (F.max("n") - 1) / 2
+    return points.groupBy(key).agg(pairs.cast("long").alias("n_pairs"), F.when(pairs > 0, (F.sum(F.col("s") * F.col("s")) - F.max("n")) / (2 * pairs)).alias("coherence"))

@@ -125,12 +125,7 @@ select label, count(*) as n_pairs, round(avg(r), 6) as coherence from c group by
 )
 def pairwise_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean correlation over all pairs of a group, from the sum of unit vectors: no pair is formed."""
-    u = signal.unit_vectors(table(spark, sf_dir, "embeddings").select("label", "embedding"), "embedding", "u").select("label", "u").where("u is not null")
-    sums = u.select("label", F.posexplode("u").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("s"))
-    n = u.groupBy("label").agg(F.count("*").cast("double").alias("n"))
-    square = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return n.join(square, "label").select("label", pairs.cast("long").alias("n_pairs"), rounded((F.col("s2") - F.col("n")) / (2 * pairs)).alias("coherence"))
+    return signal.mean_pair_correlation(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("coherence", rounded("coherence"))
 
 
 @query()
