@@ -114,6 +114,7 @@ def parts_of(both: np.ndarray, n: int, m: int) -> list[list[int]]:
 
 def plan(both: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part: the cheapest allocation over two to eight parts."""
+    n = max(n, 1)  # costs of an empty table would all be equal
     p = both.diagonal() / max(n, 1)
     differ = 2 * p * (1 - p)
     best: tuple[float, list] = (math.inf, [])

@@ -95,13 +95,14 @@ def test_simhash_links_chains_of_dense_groups(spark):
     rows = [(k, int(np.array([x], np.uint64).view(np.int64)[0])) for k, x in prints.items()]
     entries = spark.createDataFrame(rows, "node long, f0 long").groupBy("f0").agg(F.min("node").alias("node"))
     links = [(r.u, r.v) for r in simhash.links(entries, 1, 6, 6).collect()]
-    assert all((prints[u] ^ prints[v]).bit_count() <= 6 or brute_groups(prints, 6)[u] == brute_groups(prints, 6)[v] for u, v in links)
+    label = brute_groups(prints, 6)
+    assert all(label[u] == label[v] for u, v in links)
     from moraine.llm.components import components
 
     df = spark.createDataFrame(links, "u long, v long")
     roots = {r.node: r.root for r in components(df).collect()}
     ids = {f: min(k for k, x in prints.items() if x == f) for f in prints.values()}
-    assert {k: roots.get(ids[x], ids[x]) for k, x in prints.items()} == brute_groups(prints, 6)
+    assert {k: roots.get(ids[x], ids[x]) for k, x in prints.items()} == label
 
 
 def test_sentencepiece_equals_the_library(spark):
@@ -151,7 +152,6 @@ def test_line_dedup_equals_all_pairs(spark):
 
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
-    assert line_dedup.patience([5, 5, 1, 5], [5, 1, 5, 5]) == [(0, 0), (2, 1), (3, 3)] or True
     r = random.Random(4)
     for _ in range(200):
         a, b = ([r.randrange(6) for _ in range(r.randrange(9))] for _ in range(2))
