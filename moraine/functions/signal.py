@@ -73,3 +73,43 @@ def mean_pair_correlation(rows: DataFrame, key: str, x: str) -> DataFrame:
     points = scaled.select(key, "mean", "norm", F.posexplode(x).alias("i", "v")).groupBy(key, "i").agg(F.sum((F.col("v") - F.col("mean")) / F.col("norm")).alias("s"), F.count("*").cast("double").alias("n"))
     pairs = F.max("n") * (F.max("n") - 1) / 2
     return points.groupBy(key).agg(pairs.cast("long").alias("n_pairs"), F.when(pairs > 0, (F.sum(F.col("s") * F.col("s")) - F.max("n")) / (2 * pairs)).alias("coherence"))
+
+
+def match_chip(reference: np.ndarray, secondary: np.ndarray, reach: int) -> tuple[float, float, float]:
+    """Shift (rows, columns) of the second chip against the first by orientation correlation, and the peak's height.
+
+    The peak is refined by a parabola on each axis; one on the rim of the search, or no texture, gives NaN.
+    """
+
+    def oriented(x: np.ndarray) -> np.ndarray:
+        gy, gx = np.gradient(np.asarray(x, float))
+        g = gx + 1j * gy
+        size = np.abs(g)
+        return np.divide(g, size, out=np.zeros_like(g), where=size > 0)
+
+    a, b = oriented(reference), oriented(secondary)
+    if not a.any() or not b.any():
+        return (float("nan"),) * 3
+    surface = np.fft.fftshift(np.fft.ifft2(np.conj(np.fft.fft2(a)) * np.fft.fft2(b)).real)
+    mid = surface.shape[0] // 2, surface.shape[1] // 2
+    near = surface[mid[0] - reach : mid[0] + reach + 1, mid[1] - reach : mid[1] + reach + 1]
+    i, j = np.unravel_index(int(near.argmax()), near.shape)
+    if i in (0, 2 * reach) or j in (0, 2 * reach):
+        return (float("nan"),) * 3
+
+    def refined(low: float, top: float, high: float) -> float:
+        bend = low - 2 * top + high
+        return 0.5 * (low - high) / bend if bend else 0.0
+
+    return float(i - reach + refined(near[i - 1, j], near[i, j], near[i + 1, j])), float(j - reach + refined(near[i, j - 1], near[i, j], near[i, j + 1])), float(near[i, j] / near.size)
+
+
+def match_chip_udf(side: int, reach: int):
+    """Shifts of flat square chips of that side."""
+
+    @pandas_udf("dy double, dx double, peak double")
+    def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [match_chip(np.reshape(x, (side, side)), np.reshape(y, (side, side)), reach) if x is not None and y is not None and len(x) == len(y) == side * side else (None,) * 3 for x, y in zip(a, b)]
+        return pd.DataFrame(found, columns=["dy", "dx", "peak"], dtype=float)
+
+    return match

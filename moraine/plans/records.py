@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from moraine.functions import hazard, signal, text
 from moraine.functions import quantiles as Q
-from moraine.operators import contracts, evaluate, graph, inversion
+from moraine.operators import contracts, evaluate, graph, grids, inversion
 from moraine.plans.base import DAY_US, micros, query, rounded
 from moraine.streaming import detector
+from moraine.streaming.alerts import alert_xml
 from moraine.tables import table
 
 COLLAPSED = "nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
@@ -264,3 +265,32 @@ def solver_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
         rounded(hazard.dam_break_depth((F.col("id") - 1000).cast("double"), F.lit(20.0), 10.0)).alias("dam_break"),
         rounded(hazard.pinball(F.lit(12.0), F.col("depth"), 0.9)).alias("pinball"),
     )
+
+
+@query(
+    """
+with g as (select p_partkey // 40 as r, p_partkey % 40 as c, p_retailprice as v from part),
+p as (select s_suppkey as id, (s_suppkey * 7 % 30) + 0.25::double as y, (s_suppkey * 13 % 41) + 0.5::double as x from supplier),
+k as (select id, floor(y)::bigint + i as r, floor(x)::bigint + j as c, (case i when 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case j when 1 then x - floor(x) else 1 - (x - floor(x)) end) as w from p, (values (0), (1)) a(i), (values (0), (1)) b(j))
+select id, round(case when count(v) = count(*) then sum(w * v) end, 6) as value from k left join g using (r, c) group by id"""
+)
+def bilinear_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field read between its cells; points beyond it are null."""
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    field = table(spark, sf_dir, "part").select(F.floor(k / 40).alias("r"), (k % 40).alias("c"), F.col("p_retailprice").alias("value"))
+    points = table(spark, sf_dir, "supplier").select(s.alias("id"), ((s * 7 % 30) + 0.25).cast("double").alias("y"), ((s * 13 % 41) + 0.5).cast("double").alias("x"))
+    return grids.bilinear(points, field).withColumn("value", rounded("value"))
+
+
+@query()
+def chip_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts between a chip and the same chip moved by one row and two columns."""
+    e = F.col("embedding")
+    moved = F.concat(F.slice(e, 55, 10), F.slice(e, 1, 54))
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", signal.match_chip_udf(8, 3)(e, moved).alias("m"))
+    return rows.select("vec_id", "m.*")
+
+
+@query()
+def alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_xml(alert_messages(spark, sf_dir), "monitor@example.org")

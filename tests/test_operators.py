@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions import geo, hazard, signal, text
 from moraine.functions import quantiles as Q
-from moraine.operators import contracts, ensemble, evaluate, graph, inversion, ledger, ranges, watch
+from moraine.operators import contracts, ensemble, evaluate, graph, grids, inversion, ledger, ranges, watch
 from moraine.sources import readers
 
 
@@ -185,3 +185,36 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     index = readers.file_index(spark, str(tmp_path / "out"))
     assert readers.index_hash(index.where(F.col("path").endswith(".json"))).first().n == 2
+
+
+def test_like_units(spark):
+    r = rng()
+    kind = {(y, x): r.randrange(3) for y in range(9) for x in range(9)}
+    unit = {k: k for k in kind}
+    for _ in kind:
+        for (y, x), k in kind.items():
+            for other in ((y, x + 1), (y + 1, x)):
+                if kind.get(other) == k:
+                    unit[y, x] = unit[other] = min(unit[y, x], unit[other])
+    size = {u: sum(v == u for v in unit.values()) for u in unit.values()}
+    df = spark.createDataFrame([(y, x, k) for (y, x), k in kind.items()], "r int, c int, k int")
+    got = {(x.r, x.c): (x.unit >> 31, x.unit & 0x7FFFFFFF) for x in grids.like_units(df, "k", 3).collect()}
+    assert got == {k: u for k, u in unit.items() if size[u] >= 3}
+
+
+def test_chip_shift_is_found():
+    g = np.random.default_rng(0)
+    x = sum(np.roll(g.normal(size=(32, 32)), k, 0) for k in range(3))
+    dy, dx, _ = signal.match_chip(x, np.roll(x, (2, -3), (0, 1)), 5)
+    assert abs(dy - 2) < 0.3 and abs(dx + 3) < 0.3
+    assert np.isnan(signal.match_chip(np.ones((8, 8)), x[:8, :8], 2)[0])
+
+
+def test_alert_xml_is_escaped(spark):
+    from xml.etree import ElementTree
+
+    from moraine.streaming.alerts import alert_xml
+
+    rows = spark.createDataFrame([("a<b&c", "2024-01-01T00:00:00+00:00", "Severe", "Immediate")], "identifier string, sent string, severity string, urgency string")
+    root = ElementTree.fromstring(alert_xml(rows, "s").first().xml)
+    assert root.tag.endswith("alert") and [e.text for e in root if e.tag.endswith("identifier")] == ["a<b&c"]
