@@ -4,7 +4,8 @@
    a line owns it, and every later document with that line is paired with the owner: at most one
    pair for each line of a document, however many documents share it.
 2. A line is rare if at most ``rare`` documents hold it. A pair overlaps if it shares a rare line
-   or two lines of any frequency. Lines above ``rare`` thus still count, but not one alone.
+   or two lines of any frequency. A looked-up line above ``rare`` needs no pair: it is deleted
+   wherever it stands in a document later than its owner.
 3. Each pair is aligned with patience diff over line hashes (of another seed than the lookup's).
 4. A common block, lines that follow each other in both documents, is deleted from the later
    document if it holds a rare line or at least two lines that are looked up.
@@ -95,15 +96,23 @@ def deletions(docs: DataFrame, rare: int = 100, min_chars: int = 20) -> DataFram
         F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= min_chars), lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("h"))))).alias("x"),
     ).select("doc_id", "copy", "x.line", "x.h")
     owners = held.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where("df > 1")
-    pairs = held.join(owners, "line").where("doc_id > owner").groupBy("doc_id", "copy", "owner").agg(F.count("*").alias("shared"), F.collect_list(F.when(F.col("df") <= rare, F.col("h"))).alias("rare"))
-    pairs = pairs.where((F.size("rare") > 0) | (F.col("shared") > 1)).drop("shared")
+    shared = held.join(owners, "line").where("doc_id > owner").groupBy("doc_id", "copy", "owner").agg(
+        F.count("*").alias("shared"), F.collect_list(F.when(F.col("df") <= rare, F.col("h"))).alias("rare"), F.collect_list(F.when(F.col("df") > rare, F.col("h"))).alias("often")
+    )
+    pairs = shared.where((F.size("rare") > 0) | (F.col("shared") > 1)).select("doc_id", "copy", "owner", "rare")
+    often = shared.where(F.size("often") > 0).groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("often")).alias("often"))
     first = signed.groupBy("doc_id").agg(F.min(F.struct("copy", "lines")).alias("x")).select(F.col("doc_id").alias("owner"), F.col("x.lines.h").alias("theirs"))
-    rows = pairs.join(first, "owner").join(signed.distinct(), ["doc_id", "copy"]).select("doc_id", "copy", F.col("lines.h").alias("mine"), F.col("lines.long").alias("long"), "theirs", "rare")
+    none = F.array().cast("array<long>")
+    found = pairs.join(first, "owner").select("doc_id", "copy", "theirs", "rare", none.alias("often")).unionAll(often.select("doc_id", "copy", none, none, "often"))
+    rows = found.join(signed.distinct(), ["doc_id", "copy"]).select("doc_id", "copy", F.col("lines.h").alias("mine"), F.col("lines.long").alias("long"), "theirs", "rare", "often")
 
     def align(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("gone", pa.list_(pa.int32()))])
         for batch in batches:
-            gone = [doomed(m.as_py(), t.as_py(), g.as_py(), set(r.as_py())) for m, t, g, r in zip(batch["mine"], batch["theirs"], batch["long"], batch["rare"])]
+            gone = []
+            for mine, theirs, long, rare, often in zip(*(batch[x].to_pylist() for x in ("mine", "theirs", "long", "rare", "often"))):
+                often = set(often)
+                gone.append([i for i, x in enumerate(mine) if x in often] if often else doomed(mine, theirs, long, set(rare)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], pa.array(gone, schema.field("gone").type)], schema=schema)
 
     found = rows.mapInArrow(align, "doc_id long, copy long, gone array<int>").where(F.size("gone") > 0)

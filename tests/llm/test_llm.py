@@ -150,6 +150,14 @@ def test_line_dedup_equals_all_pairs(spark):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
+def test_line_dedup_deletes_lines_on_many_documents(spark):
+    notice, passage = "Subscribe to our letter for more news", " ".join(f"word{k}" for k in range(60))
+    docs = [(k, f"the own first line of {k}\n{notice}\nshort {k}\nthe own last line of {k}\n{notice}" if k % 2 else passage) for k in range(240)]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == (0, docs[0][1]) and got[1] == (0, docs[1][1])
+    assert all(got[k] == ((2, docs[k][1].replace("\n" + notice, "")) if k % 2 else (1, "")) for k in range(2, 240))
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     r = random.Random(4)
