@@ -9,6 +9,9 @@
 3. Each pair is aligned with patience diff over line hashes (of another seed than the lookup's).
 4. A common block, lines that follow each other in both documents, is deleted from the later
    document if it holds a rare line or at least two lines that are looked up.
+5. If a looked-up line of the owner is left, as it is repeated or moved, every run of lines that
+   stands anywhere in the owner counts as a common block (suffix automaton). So no looked-up line
+   stays that an earlier document holds.
 
 Line groups are only aggregated (least id, count) and joined, never gathered, so a line on a
 third of all documents is one row of a join whose large side can be split.
@@ -22,6 +25,7 @@ are carried only if named in ``carry``, in a struct of their own.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +75,65 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(a: list[int], b: list[int]) -> list[int]:
+    """At each place of a, how many lines up to it (itself too) stand as one run anywhere in b."""
+    # The suffix automaton of b: moves, suffix link and longest run of each state.
+    moves: list[dict[int, int]] = [{}]
+    link, most, last = [-1], [0], 0
+    for x in b:
+        new = len(moves)
+        moves.append({})
+        link.append(0)
+        most.append(most[last] + 1)
+        p = last
+        while p >= 0 and x not in moves[p]:
+            moves[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = moves[p][x]
+            if most[q] == most[p] + 1:
+                link[new] = q
+            else:
+                clone = len(moves)
+                moves.append(dict(moves[q]))
+                link.append(link[q])
+                most.append(most[p] + 1)
+                while p >= 0 and moves[p].get(x) == q:
+                    moves[p][x] = clone
+                    p = link[p]
+                link[q] = link[new] = clone
+        last = new
+    out, at, n = [], 0, 0
+    for x in a:
+        while at and x not in moves[at]:
+            at = link[at]
+            n = most[at]
+        if x in moves[at]:
+            at, n = moves[at][x], n + 1
+        out.append(n)
+    return out
+
+
 def doomed(a: list[int], b: list[int], long: list[bool], rare: set[int]) -> list[int]:
     """Places in a of the common blocks that are deleted."""
+    out = _aligned(a, b, long, rare)
+    theirs = set(b)
+    left = set(range(len(a))).difference(out)
+    if not any(long[i] and a[i] in theirs for i in left):
+        return out
+    # Repeated or moved: every run of a that stands anywhere in b.
+    scarce, looked = ([0, *accumulate(x)] for x in ((x in rare for x in a), long))
+    start = len(a)
+    for i, n in reversed([*enumerate(runs(a, b))]):
+        if n and (scarce[i + 1] > scarce[i + 1 - n] or looked[i + 1] - looked[i + 1 - n] > 1):
+            start = min(start, i + 1 - n)
+        if start <= i and i in left:
+            out.append(i)
+    return out
+
+
+def _aligned(a: list[int], b: list[int], long: list[bool], rare: set[int]) -> list[int]:
+    """Places in a of the blocks that patience alignment finds."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)

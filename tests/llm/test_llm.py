@@ -158,6 +158,34 @@ def test_line_dedup_deletes_lines_on_many_documents(spark):
     assert all(got[k] == ((2, docs[k][1].replace("\n" + notice, "")) if k % 2 else (1, "")) for k in range(2, 240))
 
 
+def test_doomed_equals_all_common_runs():
+    assert sorted(line_dedup.doomed([1, 5, 5, 7], [5, 2, 5, 1], [True] * 4, {1, 5})) == [0, 1, 2]
+    r = random.Random(6)
+    for _ in range(2000):
+        a, b = ([r.randrange(7) for _ in range(r.randrange(14))] for _ in range(2))
+        rare, long = {x for x in range(4) if r.random() < 0.3}, [x < 4 for x in a]
+        spans = [(i, k) for k in range(1, len(a) + 1) for i in range(k) if any(a[i:k] == b[j : j + k - i] for j in range(len(b)))]
+        every = {p for i, k in spans if sum(long[i:k]) > 1 or rare & set(a[i:k]) for p in range(i, k)}
+        got = line_dedup.doomed(a, b, long, rare)
+        assert len(got) == len(set(got)) and set(got) <= every
+        assert {p for p in every if long[p]} <= set(got)
+        if any(x in b for p, x in enumerate(a) if long[p] and p not in line_dedup._aligned(a, b, long, rare)):
+            assert set(got) == every
+
+
+def test_no_line_of_an_earlier_document_stays(spark):
+    r = random.Random(8)
+    pool = [f"a passage that many documents hold {k}" for k in range(30)] + [f"s{k}" for k in range(5)]
+    docs = [(k, "\n".join(r.choice(pool) if r.random() < 0.5 else f"the own line {r.random()} of {k}" for _ in range(r.randrange(3, 20)))) for k in range(150)]
+    lines = {i: t.split("\n") for i, t in docs}
+    for rare in (5, 100):
+        got = {x.doc_id: x.kept_text for x in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), rare=rare).collect()}
+        seen = set()
+        for i in sorted(lines):
+            assert [x for x in got[i].split("\n") if len(x) >= 20] == [x for x in lines[i] if len(x) >= 20 and x not in seen]
+            seen.update(lines[i])
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     r = random.Random(4)
