@@ -68,16 +68,18 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     )
     key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("host")).alias("_key")
     lines = rows.select(
-        "host", key, F.xxhash64("text").alias("copy"), F.explode(F.transform(_lines(F.col("text")), lambda x: F.struct(_line_hash(x).alias("line"), F.length(x).alias("chars")))).alias("x")
-    ).select("host", "_key", "copy", "x.line", "x.chars")
+        "host", key, F.xxhash64("text").alias("copy"), F.explode(F.transform(_lines(F.col("text")), lambda x, i: F.struct(_line_hash(x).alias("line"), F.length(x).alias("chars"), i.alias("place")))).alias("x")
+    ).select("host", "_key", "copy", "x.line", "x.chars", "x.place")
     sizes = rows.select("host", F.xxhash64("text").alias("copy")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
     spread = lines.select("host", "line", "copy").distinct().groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") > max_docs)
     common = spread.join(sizes, "host").where(F.col("held") > max_share * F.col("texts")).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     lost = (
         lines.withColumn("salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
         .join(common, ["host", "line", "salt"])
+        .groupBy("_key", "copy", "place")  # rows that repeat a document have one key and lose their lines once
+        .agg(F.first("chars").alias("chars"), F.first("line").alias("line"))
         .groupBy("_key", "copy")
-        .agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("common"), F.count_distinct("host").alias("hosts"))
+        .agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("common"))
     )
     counted = features(rows, F.col("doc_id"), key, F.xxhash64("text").alias("copy"), F.length("text").alias("chars"), *([F.col("text").alias("whole"), F.col("carried")] if carry else []))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

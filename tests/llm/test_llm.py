@@ -315,6 +315,15 @@ def test_boilerplate_goes_and_clean_documents_stay(spark):
     assert not got[100].kept and got[101].kept and got[101].lost_chars == 0
 
 
+def test_repeated_rows_lose_their_boilerplate_once(spark):
+    notice = "Subscribe to our letter for more news"
+    body = lambda k: "\n".join(" ".join(f"w{k}x{n}x{j}" for j in range(12)) for n in range(6))
+    rows = [(k, f"{body(k)}\n{notice}\n{notice}", "en", "h", 1) for k in range(60)]
+    rows += [rows[7]] * 40 + [(None, rows[8][1], "en", "h", 1)] * 30
+    got = quality.quality_rules(spark.createDataFrame(rows, DOCS), max_repeat_percent=100, carry=("lang",)).collect()
+    assert len(got) == 130 and all(x.lost_chars == 2 * len(notice) and x.kept and notice not in x.clean_text for x in got)
+
+
 def test_licenses_find_spread_and_altered_notices(spark):
     rows = [
         (1, "x MIT License y\nmit license", "", "", 0), (2, "Permission is hereby granted free of charge to any person obtaining a copy of the software with associated documentation", "", "", 0),
