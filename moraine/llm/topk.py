@@ -1,15 +1,23 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors become integers, so scores are exact. Rows are dealt by a hash of their id into blocks;
-the queries go to every block. In a block both sides are indexed by a tree: a node's children
-are points more than half its radius apart that cover all its points within half its radius,
-and each node knows the exact radius of what it holds. For nodes with centres q, p and radii r,
-s no pair below scores more than <q,p> + r|p| + s|q| + rs; the pair of nodes is dropped if that
-is below the worst kth score of the queries below. Pairs of leaves are scored at once.
+Vectors become integers, so scores are exact.
 
-So that every block prunes from the start, a query begins with its kth score among a sample of
-``seeds`` rows, a bound on what can be in its result. The sample's size is a parameter; it
-affects time only.
+1. The upper level of the cover tree: ``sample`` rows, chosen by a hash, are walked farthest first
+   until their points are no further apart than need be for one centre a ``block_rows`` rows.
+   Every row goes to its nearest centre; the exact radius of each part, over all its rows, and
+   of the queries in it are aggregated. Parts above ``block_rows`` are dealt further by a hash.
+2. A query begins with its kth score among the sample, a bound on what can be in its result.
+   For centres q, p and radii r, s no pair below scores more than <q,p> + r|p| + s|q| + rs. A group
+   of queries isn't sent to a part where that is below the worst kth score in the group, nor is a
+   query where its own bound <q,p> + s|q| is below its own.
+3. In a block both sides are indexed by a tree: a node's children are points more than half its
+   radius apart that cover all its points within half its radius, and each node knows the exact
+   radius of what it holds. Pairs of nodes are visited the most promising first and dropped by the
+   same bound against the worst kth score found so far; pairs of leaves are scored at once.
+
+A task holds one block of rows and one chunk of at most ``chunk_queries`` of its queries. The
+sample, the centres and a boolean for each pair of centres are all that is sent to every task,
+so the size of that is set by ``sample``; it affects time only.
 
 Nulls, ties and odd inputs: vectors that are null or hold a null or non-finite component, and
 rows without id, take no part; shorter vectors are filled up with zeros; equal scores go to the
@@ -27,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 32
-BLOCK_ROWS = 8192
-LEAST_BLOCKS = 32
+LEAF = 128
+SLICE = 1024
 LOW = -np.iinfo(np.int64).max
 
 
@@ -52,8 +59,46 @@ def matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out.astype(np.float64) if top < 2**31 and width * top * top < 2**53 else out
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows of a with all of b."""
+    if a.dtype != b.dtype:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+    return (a @ b.T).astype(np.int64)
+
+
+def norms(points: np.ndarray) -> np.ndarray:
+    return np.sqrt((points.astype(np.float64) ** 2).sum(1))
+
+
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of every point to every centre, not below the true ones."""
+    a, b = points.astype(np.float64), centres.astype(np.float64)
+    squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0)) + 1e-7 * (norms(a)[:, None] + norms(b)[None, :])
+
+
+def upper(product: np.ndarray, q: np.ndarray, r: np.ndarray, p: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """No pair within r and s of centres with norms q and p and this product scores more."""
+    return product + r * p + s * q + r * s + 1e-9 * (q + r) * (p + s) + 1e-6
+
+
+def spread_out(points: np.ndarray, most: int, reach: float = 0.0, first: int = 0) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """At most that many points, each the farthest from those before, until all are within reach; each point's centre and distance."""
+    chosen = [first]
+    nearest, owner = distances(points, points[[first]])[:, 0], np.zeros(len(points), np.int64)
+    while len(chosen) < most and nearest.max() > reach:
+        new = int(nearest.argmax())
+        d = distances(points, points[[new]])[:, 0]
+        if new in chosen:  # only copies of the centres are left
+            break
+        closer = d < nearest
+        owner[closer], nearest[closer] = len(chosen), d[closer]
+        chosen.append(new)
+    return chosen, owner, nearest
+
+
 class Tree:
-    """A cover tree of points, built from the top; nodes in arrays, leaves with their points."""
+    """A cover tree of points, built from the top: centre, radius, children and rows of each node."""
 
     def __init__(self, points: np.ndarray):
         self.exact = points
@@ -61,37 +106,27 @@ class Tree:
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
-        self.members: list[np.ndarray] = []
-        if len(points):
-            self.build(np.arange(len(points)), 0)
-        self.norm = np.sqrt((self.points[self.centre] ** 2).sum(1)) if self.centre else np.empty(0)
-
-    def build(self, rows: np.ndarray, centre: int) -> None:
-        todo = [(rows, centre, -1)]
+        self.rows: list[np.ndarray] = []
+        todo = [(np.arange(len(points)), 0, -1)] if len(points) else []
         while todo:
             rows, centre, parent = todo.pop()
-            far = np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(1))
+            radius = float(distances(self.points[rows], self.points[[centre]]).max())
             node = len(self.centre)
             self.centre.append(centre)
-            self.radius.append(float(far.max()) * (1 + 1e-9))
+            self.radius.append(radius)
             self.children.append([])
-            self.members.append(rows)
+            self.rows.append(rows)
             if parent >= 0:
                 self.children[parent].append(node)
-            if len(rows) <= LEAF or not far.max():
+            if len(rows) <= LEAF:
                 continue
-            reach, nearest, owner, centres = far.max() / 2, far, np.zeros(len(rows), np.int64), [centre]
-            while nearest.max() > reach:
-                if len(centres) * 4 > len(rows):  # points as far from each other as here are not worth nodes of their own
-                    break
-                new = int(nearest.argmax())
-                d = np.sqrt(((self.points[rows] - self.points[rows[new]]) ** 2).sum(1))
-                owner[d < nearest] = len(centres)
-                nearest = np.minimum(nearest, d)
-                centres.append(int(rows[new]))
-            if len(centres) > 1:
-                self.members[node] = rows[:0]
-                todo += [(rows[owner == k], c, node) for k, c in enumerate(centres)]
+            # Points so far from each other that nodes would hold few are better scored at once.
+            most = max(2, len(rows) // (LEAF // 4))
+            chosen, owner, nearest = spread_out(self.points[rows], most, radius / 2, int(np.flatnonzero(rows == centre)[0]))
+            if len(chosen) > 1 and nearest.max() <= radius / 2:
+                todo += [(rows[owner == k], int(rows[c]), node) for k, c in enumerate(chosen)]
+        self.centres = self.points[self.centre]
+        self.norm = norms(self.centres)
 
 
 class Search:
@@ -99,94 +134,148 @@ class Search:
 
     def __init__(self, ids: np.ndarray, seeds: np.ndarray, k: int):
         self.ids, self.k = ids, k
-        self.scores = np.full((len(ids), k), LOW)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.least = seeds.copy()  # no score below can be in the result
+        self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.more: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: of the queries ``rows`` with the points ``ids``."""
-        good = (scores >= self.least[rows, None]) & (ids[None, :] != self.ids[rows, None])
-        for i in np.flatnonzero(good.any(1)):
-            at, row = good[i], rows[i]
-            s, v = np.concatenate((self.scores[row], scores[i, at])), np.concatenate((self.found[row], ids[at]))
-            best = np.lexsort((v, -s))[: self.k]
-            self.scores[row], self.found[row] = s[best], v[best]
-            self.least[row] = max(self.least[row], self.scores[row, -1])
+        i, j = np.nonzero((scores >= self.least[rows, None]) & (ids[None, :] != self.ids[rows, None]))
+        self.more.append((rows[i], scores[i, j], ids[j]))
+        self.waiting += len(i)
+        if self.waiting > max(100_000, len(self.held[0])):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the best k so far, which also raises the bounds."""
+        query, score, found = (np.concatenate(x) for x in zip(self.held, *self.more))
+        order = np.lexsort((found, -score, query))
+        query, score, found = query[order], score[order], found[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = np.maximum(self.least[query[last]], score[last])
+        good = place < self.k
+        self.held, self.more, self.waiting = (query[good], score[good], found[good]), [], 0
+        return self.held
 
 
 def dual(queries: Tree, points: Tree, ids: np.ndarray, search: Search) -> None:
     """Visit node pairs, the most promising first, and drop those that can't matter."""
+
+    def bounds(q: list[int], p: list[int]) -> np.ndarray:
+        product = (queries.centres[q] @ points.centres[p].T).ravel()
+        many = [np.repeat(x, len(p)) for x in (queries.norm[q], np.array(queries.radius)[q])]
+        return upper(product, *many, *(np.tile(x, len(q)) for x in (points.norm[p], np.array(points.radius)[p])))
+
     if not queries.centre or not points.centre:
         return
-    todo = [(0, 0)]
+    todo = [(float(bounds([0], [0])[0]), 0, 0)]
     while todo:
-        q, p = todo.pop()
-        below = queries.members[q] if len(queries.members[q]) else None
-        bound = queries.points[queries.centre[q]] @ points.points[points.centre[p]] + queries.radius[q] * points.norm[p] + points.radius[p] * queries.norm[q] + queries.radius[q] * points.radius[p]
-        worst = search.least[below].min() if below is not None else search.least[_rows(queries, q)].min()
-        if bound * (1 + 1e-9) + 1e-6 < worst if bound >= 0 else bound * (1 - 1e-9) + 1e-6 < worst:
+        bound, q, p = todo.pop()
+        below = queries.rows[q]
+        if bound < search.least[below].min():
             continue
         if queries.children[q] and (not points.children[p] or queries.radius[q] >= points.radius[p]):
-            todo += [(c, p) for c in queries.children[q]]
+            pairs = [(c, p) for c in queries.children[q]]
+            found = bounds(queries.children[q], [p])
         elif points.children[p]:
-            near = points.points[[points.centre[c] for c in points.children[p]]] @ queries.points[queries.centre[q]]
-            todo += [(q, points.children[p][c]) for c in np.argsort(near, kind="stable")]
+            pairs = [(q, c) for c in points.children[p]]
+            found = bounds([q], points.children[p])
         else:
-            rows = points.members[p]
-            scores = queries.exact[below] @ points.exact[rows].T
-            search.offer(below, scores.astype(np.int64), ids[rows])
-
-
-def _rows(tree: Tree, node: int) -> np.ndarray:
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        out.append(tree.members[n])
-        todo += tree.children[n]
-    return np.concatenate(out)
+            rows = points.rows[p]
+            for at in range(0, len(below), SLICE):
+                part = below[at : at + SLICE]
+                search.offer(part, products(queries.exact[part], points.exact[rows]), ids[rows])
+            continue
+        todo += [(float(found[k]), *pairs[k]) for k in np.argsort(found, kind="stable")]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, seeds: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, sample: int = 1024, block_rows: int = 8192, chunk_queries: int = 32_768) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best other rows."""
     rows = quantised(vectors, scale)
-    n = rows.count()
-    blocks = max(LEAST_BLOCKS, math.ceil(n / BLOCK_ROWS))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(seeds).collect()
-    sample_ids = np.array([r[0] for r in sample], np.int64)
-    sample_rows = pa.array([r[1] for r in sample], pa.list_(pa.int64()))
-    schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("seed", pa.int64())])
-
-    def seeded(batches):
+    n, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    chunks = max(1, math.ceil(asked / chunk_queries))
+    seeds = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
+    seed_ids, seed_rows = np.array([r[0] for r in seeds], np.int64), pa.array([r[1] for r in seeds], pa.list_(pa.int64()))
+    seed_width = max((len(r[1]) for r in seeds), default=0)
+    centres = spread_out(matrix(seed_rows), max(1, math.ceil(n / block_rows)))[0] if seeds else []
+    centre_rows = seed_rows.take(pa.array(centres, pa.int64()))
+
+    def same_width(column: pa.Array, *others: pa.Array) -> list[np.ndarray]:
+        width = max(seed_width, int(pa.compute.max(column.value_lengths()).as_py() or 0))
+        return [matrix(x, width) for x in (column, *others)]
+
+    placed = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("part", pa.int32()), ("far", pa.float64()), ("seed", pa.int64())])
+
+    def place(seeded: bool):
+        """Rows with their part, the distance to its centre, and queries with their kth score among the sample."""
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4 * SLICE):
+                    part = batch.slice(at, 4 * SLICE)
+                    ids, seed = part["vec_id"].to_numpy(), None
+                    points, middle, known = same_width(part["v"], centre_rows, seed_rows)
+                    far = distances(points, middle)
+                    near = far.argmin(1)
+                    if seeded:
+                        scores = np.where(ids[:, None] == seed_ids[None, :], LOW, products(points, known))
+                        seed = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), LOW)
+                    yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(near)), near]), pa.nulls(len(ids), pa.int64()) if seed is None else pa.array(seed)], schema=placed)
+
+        return run
+
+    columns = "vec_id long, v array<long>, part int, far double, seed long"
+    dealt = rows.mapInArrow(place(False), columns)
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(place(True), columns)
+    radius, held = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in dealt.groupBy("part").agg(F.max("far"), F.count("*")).collect():
+        radius[r[0]], held[r[0]] = r[1], r[2]
+    pieces = np.maximum(1, -(-held // block_rows)).tolist()
+    reach, worst = np.zeros(len(centres)), np.full(len(centres), np.inf)
+    for r in queries.groupBy("part").agg(F.max("far"), F.min("seed")).collect():
+        reach[r[0]], worst[r[0]] = r[1], r[2]
+    middle = matrix(centre_rows)
+    size = norms(middle)
+    # The upper nodes of both trees, pair by pair.
+    meets = (upper(middle.astype(np.float64) @ middle.T, size[:, None], reach[:, None], size[None, :], radius[None, :]) >= worst[:, None]) & (held > 0)[None, :] if len(centres) else np.empty((0, 0), bool)
+
+    sent = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("seed", pa.int64()), ("parts", pa.list_(pa.int32()))])
+
+    def route(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                width = max([len(x) for x in part["v"]] + [len(x) for x in sample_rows], default=0)
-                ids = part["vec_id"].to_numpy()
-                scores = (matrix(part["v"], width) @ matrix(sample_rows, width).T).astype(np.int64)
-                own = ids[:, None] == sample_ids[None, :]
-                scores = np.where(own, LOW, scores)
-                seed = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), LOW)
-                yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(seed)], schema=schema)
-
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(seeded, "vec_id long, v array<long>, seed long")
-    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+            points, middle = same_width(batch["v"], centre_rows)
+            own = upper(points.astype(np.float64) @ middle.T, norms(points)[:, None], 0.0, size[None, :], radius[None, :])
+            good = (own >= batch["seed"].to_numpy()[:, None]) & meets[batch["part"].to_numpy()]
+            ends = np.concatenate(([0], np.cumsum(good.sum(1)))).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(good)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], batch["seed"], parts], schema=sent)
+
+    def salt(many: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(7), "vec_id"), many).cast("int")
+
+    shared = F.element_at(F.array(*map(F.lit, pieces or [1])), F.col("part") + 1)
+    spread = (
+        queries.mapInArrow(route, "vec_id long, v array<long>, seed long, parts array<int>")
+        .select("vec_id", "v", "seed", F.explode("parts").alias("part"))
+        .select("vec_id", "v", "seed", "part", salt(F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), shared - 1)).alias("piece"))
+    )
+    blocks = dealt.select("vec_id", "v", "part", salt(shared).alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({c: [] for c in out.names}, out)
-        width = max(pa.compute.max(left["v"].combine_chunks().value_lengths()).as_py(), pa.compute.max(right["v"].combine_chunks().value_lengths()).as_py())
-        points, asked = matrix(left["v"], width), matrix(right["v"], width)
-        if points.dtype != asked.dtype:
-            points, asked = points.astype(np.int64), asked.astype(np.int64)
-        ids, query_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            return out.empty_table()
+        width = max(pa.compute.max(x["v"].combine_chunks().value_lengths()).as_py() for x in (left, right))
+        query_ids = right["vec_id"].to_numpy()
         search = Search(query_ids, right["seed"].to_numpy(), k)
-        dual(Tree(asked), Tree(points), ids, search)
-        got = search.found != np.iinfo(np.int64).max
-        return pa.table({"query_id": np.repeat(query_ids, got.sum(1)), "vec_id": search.found[got], "score": search.scores[got]}, out)
+        dual(Tree(matrix(right["v"], width)), Tree(matrix(left["v"], width)), left["vec_id"].to_numpy(), search)
+        query, score, found = search.best()
+        return pa.table({"query_id": query_ids[query], "vec_id": found, "score": score}, out)
 
-    found = dealt.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(block, "query_id long, vec_id long, score long")
+    keys = ("part", "piece", "chunk")
+    found = blocks.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
