@@ -1,24 +1,34 @@
 """Near-duplicate groups by SimHash fingerprints and generalised pigeonhole search.
 
-1. Fingerprints: XXH64 of word shingles, majority by bit.
+1. Fingerprints: hashes of word shingles, majority by bit. ``near_duplicates`` takes XXH64 and links
+   fingerprints; ``one_of_each`` takes the distinct shingles and links by their Jaccard similarity.
 2. Copies of one fingerprint become one entry, so a group of copies costs one row from here on.
 3. The 64 x 64 co-occurrence of bits over all entries groups correlated bits into parts.
 4. If a pair differs in at most ``distance`` bits, then for any thresholds t_i >= -1 with
    sum(t_i + 1) = distance + 1 some part i differs in at most t_i bits. Dynamic programming over
    the parts picks the thresholds that cost least: probes sent plus candidates expected, these
    from the bits' frequencies over all entries. The number of parts is chosen the same way.
-5. Each entry is sent once a part as an index row and once for every value within t_i of its
-   part as a probe. Rows travel packed by chunk (a hash range of part values). A chunk matches
-   probes with index rows in bounded slices, verifies whole fingerprints, and emits a spanning
-   forest of its true links: less rows than entries, however dense a group is.
-6. Components of all forests by alternating stars.
-
-Nothing but bit counts, of constant size, reaches the driver.
-
-Nulls, ties and odd inputs: a null or wordless text has fingerprint zero and is linked like any
-other; a row without doc_id gets its fingerprint and its own class's component, but passes no
-link on if no row of its class has a doc_id; rows that share a doc_id are one node. An empty
+   With several words each is searched by its own plan, and any of them may find a pair.
+5. Each entry is sent once a part as an index row and once for every greater value within t_i of its
+   part as a probe, so that a pair meets once. Rows travel packed by chunk (a hash range of part
+   values). A chunk verifies whole fingerprints and emits a minimum spanning forest of its links,
+   the nearest first: less rows than entries, however dense a group is.
+6. A value that many entries share is searched by pivots: entries near the middle of the group are
+   held against all others, which joins dense groups in a few passes; only entries outside the
+   largest component are then held against all. Chunks above ``CHUNK_ROWS`` are cut into blocks of
+   entries, a task for each two blocks.
+7. Components of all forests by alternating stars.
+
+Nothing but bit counts, of constant size, and the sizes of chunks above the limit reach the driver.
+
+Nulls, ties and odd inputs of ``near_duplicates``: a null or wordless text has fingerprint zero and is
+linked like any other; a row without doc_id gets its fingerprint and its own class's component, but
+passes no link on if no row of its class has a doc_id; rows that share a doc_id are one node. An empty
 table gives an empty result. Columns other than ``doc_id`` and ``text`` are ignored.
+
+Of ``one_of_each``: wordless texts, null or not, are copies of each other; rows are told apart by doc_id
+and text, and repeated rows are copies; a row without doc_id is kept only if no row of its group has
+one; all columns are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +45,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut
-from .words import mix
+from .words import mix, slices, text_buffers, word_bounds, word_hashes
 
 CHUNK_BYTES = 4_000_000
+CHUNK_ROWS = 2_000_000
 LEAST_CHUNKS_BITS = 7
 SLICE = 1_000_000
+HOT_PAIRS = 4_000_000
+HOT_ROWS = 100_000
+PIVOTS = 64
 
 
 def fingerprint(text: str | None, shingle: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -76,22 +90,23 @@ def fingerprints(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] = (42
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def bit_counts(entries: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of entries, and how many have both bit i and bit j, over all entries."""
+def bit_counts(entries: DataFrame, words: int = 1) -> tuple[int, list[np.ndarray]]:
+    """Number of entries, and for each word how many have both bit i and bit j, over all entries."""
 
     def count(batches):
-        total = np.zeros((64, 64))
+        total = np.zeros((words, 64, 64))
         for batch in batches:
-            bits = np.unpackbits(batch["f0"].to_numpy().view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.float32)
-            for at in range(0, len(bits), 1 << 20):
-                total += bits[at : at + (1 << 20)].T @ bits[at : at + (1 << 20)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096, dtype=np.int32)), pa.array(total.ravel().astype(np.int64))], names=["cell", "n"])
-
-    cells = entries.select("f0").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros(4096)
+            for k in range(words):
+                bits = np.unpackbits(batch[f"f{k}"].to_numpy().view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.float32)
+                for at in range(0, len(bits), 1 << 20):
+                    total[k] += bits[at : at + (1 << 20)].T @ bits[at : at + (1 << 20)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096 * words, dtype=np.int32)), pa.array(total.ravel().astype(np.int64))], names=["cell", "n"])
+
+    cells = entries.select(*[f"f{k}" for k in range(words)]).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros(4096 * words)
     for cell, n in cells:
         both[cell] = n
-    return entries.count(), both.reshape(64, 64)
+    return entries.count(), list(both.reshape(words, 64, 64))
 
 
 def parts_of(both: np.ndarray, n: int, m: int) -> list[list[int]]:
@@ -127,7 +142,7 @@ def plan(both: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]
                 chance = np.convolve(chance, [1 - differ[b], differ[b]])
             within = np.cumsum(chance)
             balls = np.cumsum([math.comb(len(bits), r) for r in range(len(bits) + 1)])
-            costs.append([0.0, *(n * 40.0 * (1 + balls[t]) + float(n) * n * within[t] for t in range(min(distance, len(bits)) + 1))])
+            costs.append([0.0, *(n * 40.0 * (1 + (balls[t] - 1) / 2) + float(n) * n * within[t] for t in range(min(distance, len(bits)) + 1))])
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for cost in costs:  # by what is spent of distance + 1
             step: dict[int, tuple[float, list[int]]] = {}
@@ -141,74 +156,172 @@ def plan(both: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]
     return [(bits, t) for bits, t in best[1] if t >= 0]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links between nodes a and b: (node, least node)."""
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a minimum spanning forest; of equal weights the first counts as less."""
+    if not len(a):
+        return np.empty(0, np.int64)
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
+    order = np.argsort(weight, kind="stable")
+    x, y = ends[: len(a)][order], ends[len(a) :][order]
+    label, place, taken = np.arange(len(nodes)), np.arange(len(a)), []
     while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
-def _match(table: pa.Table, words: int, probe: int, total: int) -> pa.Table:
+        cross = label[x] != label[y]
+        x, y, place = x[cross], y[cross], place[cross]
+        if not len(x):
+            return np.sort(order[np.concatenate(taken)]) if taken else np.empty(0, np.int64)
+        # Each component takes its least edge; x and y are in order of weight.
+        p, q = label[x], label[y]
+        best = np.full(len(nodes), len(x))
+        np.minimum.at(best, p, np.arange(len(x)))
+        np.minimum.at(best, q, np.arange(len(x)))
+        mine = np.flatnonzero(best < len(x))
+        edge = best[mine]
+        taken.append(place[np.unique(edge)])
+        parent = np.arange(len(nodes))
+        parent[mine] = np.where(p[edge] == mine, q[edge], p[edge])
+        mutual = mine[(parent[parent[mine]] == mine) & (mine < parent[mine])]
+        parent[mutual] = mutual
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+class Links:
+    """Verified links of a chunk, cut down to a minimum spanning forest as they grow."""
+
+    def __init__(self, prints: np.ndarray, nodes: np.ndarray, distance: int, total: int):
+        self.prints, self.nodes, self.distance, self.total = prints, nodes, distance, total
+        self.held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        self.size = 0
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs of rows link, and how many bits differ; i and j broadcast."""
+        bits = np.bitwise_count(self.prints[i] ^ self.prints[j])
+        far = bits.sum(-1, dtype=np.int64)
+        return (bits.min(-1) <= self.distance) & (far <= self.total) & (self.nodes[i] != self.nodes[j]), far
+
+    def add(self, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        self.held.append((i, j, far))
+        self.size += len(i)
+        if self.size > 4 * SLICE:
+            self.reduced()
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray]:
+        i, j, far = (np.concatenate(x) for x in zip(*self.held))
+        good = forest(self.nodes[i], self.nodes[j], far)
+        self.held, self.size = [(i[good], j[good], far[good])], len(good)
+        return self.nodes[i[good]], self.nodes[j[good]]
+
+    def pivots(self, rows: np.ndarray, index: np.ndarray) -> None:
+        """The links of a hot value: ``rows`` with each other where one at least is an index row."""
+        ones = np.unpackbits(self.prints[rows].view(np.uint8).reshape(len(rows), -1), axis=1).mean(0) > 0.5
+        middle = np.packbits(ones).view(np.uint64)
+        rows = rows[np.argsort(np.bitwise_count(self.prints[rows] ^ middle).sum(1, dtype=np.int64), kind="stable")]
+        index = index[rows]
+        label, open_ = np.arange(len(rows)), np.ones(len(rows), bool)
+        for _ in range(PIVOTS):
+            left = np.flatnonzero(open_)
+            if not len(left):
+                break
+            at = left[0]
+            open_[at] = False
+            good, far = self.near(rows[at], rows)
+            good = np.flatnonzero(good & (index | index[at]))
+            open_[good] = False
+            self.add(np.full(len(good), rows[at]), rows[good], far[good])
+            joined = np.isin(label, label[np.append(good, at)])
+            label[joined] = label[joined].min()
+        names, count = np.unique(label, return_counts=True)
+        rest = np.flatnonzero(label != names[count.argmax()])
+        step = max(1, SLICE // len(rows))
+        for at in range(0, len(rest), step):
+            part = rest[at : at + step]
+            good, far = self.near(rows[part][:, None], rows[None, :])
+            i, j = np.nonzero(good & (index[None, :] | index[part][:, None]) & (label[None, :] != label[part][:, None]))
+            self.add(rows[part[i]], rows[j], far[i, j])
+
+
+def _match(table: pa.Table, words: int, distance: int, total: int) -> pa.Table:
     """The forest of one chunk's links."""
+    probe = table["probe"].to_pylist()
+    order = [k for kind in (False, True) for k, x in enumerate(probe) if x == kind]
+    column = lambda name, dtype: np.frombuffer(b"".join(table[name][k].as_py() for k in order), dtype)
+    keys, prints, nodes = column("keys", np.uint64), column("prints", np.uint64).reshape(-1, words), column("nodes", np.int64)
+    n_index = sum(len(table["keys"][k].as_py()) for k in order if not probe[k]) // 8
+    by_key = np.argsort(keys[:n_index], kind="stable")
+    place = np.concatenate((by_key, np.arange(n_index, len(keys))))
+    keys, links = keys[place], Links(prints[place], nodes[place], distance, total)
+    own = keys[:n_index]
+    low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
+    low[:n_index] = np.arange(1, n_index + 1)  # of two index rows the first meets the second
+    count = high - low
+    starts = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1))) if n_index else np.empty(0, np.int64)
+    group = np.where(high > 0, np.searchsorted(starts, high, "left") - 1, -1)
+    group[count == 0] = -1
+    weight = np.bincount(group[group >= 0], count[group >= 0], minlength=len(starts))
+    hot = np.flatnonzero(weight > HOT_PAIRS)
+    if len(hot):
+        index = np.arange(len(keys)) < n_index
+        for g in hot:
+            links.pivots(np.flatnonzero(keys == own[starts[g]]), index)
+        count = np.where(np.isin(group, hot), 0, count)
+    rows = np.flatnonzero(count)
+    ends = np.cumsum(count[rows])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
+        pair = np.arange(at, min(int(ends[-1]), at + SLICE))
+        which = np.searchsorted(ends, pair, "right")
+        i = rows[which]
+        j = low[i] + pair - (ends[which] - count[i])
+        good, far = links.near(i, j)
+        links.add(i[good], j[good], far[good])
+    u, v = links.reduced()
+    return pa.table({"u": u, "v": v}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def links(entries: DataFrame, words: int, distance: int, total: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(u, v) links that span all links within each chunk; entries: node, f0, f1, ... of which any word finds a pair.
+
+    Two entries link if a word differs in at most ``distance`` bits and all words in at most ``total``.
+    """
+    n, both = bit_counts(entries, words)
+    plans = [(k, bits, t) for k in range(words) for bits, t in plan(both[k], n, distance)]
+    masks = [np.uint64(sum(1 << b for b in bits)) for _, bits, _ in plans]
+    flips = [np.array([sum(1 << b for b in c) for r in range(1, t + 1) for c in combinations(bits, r)], np.uint64) for _, bits, t in plans]
+    width = 16 + 8 * words
+    chunk_bits = max(LEAST_CHUNKS_BITS, math.ceil(math.log2(max(1, n * sum(1 + len(f) / 2 for f in flips) * width / CHUNK_BYTES))))
+    schema = pa.schema([("chunk", pa.int64()), ("block", pa.int32()), ("probe", pa.bool_()), ("keys", pa.binary()), ("prints", pa.binary()), ("nodes", pa.binary())])
+
+    def dealt(rows: pa.RecordBatch, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each value that the rows are sent to, in order, and the row's place."""
+        hashed, source = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for number, ((k, _, _), mask, flip) in enumerate(zip(plans, masks, flips)):
+            own = rows[f"f{k}"].to_numpy().view(np.uint64) & mask
+            if probe:
+                values = own[:, None] ^ flip[None, :]
+                at, column = np.nonzero(values > own[:, None])
+                values = values[at, column]
+            else:
+                values, at = own, np.arange(len(own))
+            hashed.append(mix(values + np.uint64(0x9E3779B97F4A7C15 * (number + 1) % (1 << 64))))
+            source.append(at)
+        h, at = np.concatenate(hashed), np.concatenate(source)
+        order = np.argsort(h)
+        return h[order], at[order]
+
+    def count(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                for probe in (False, True):
+                    found = np.bincount((dealt(batch.slice(at, 4096), probe)[0] >> np.uint64(64 - chunk_bits)).astype(np.int64), minlength=len(total))
+                    found[: len(total)] += total
+                    total = found
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["chunk", "n"])
 
-    def column(kind: bool, name: str, dtype) -> np.ndarray:
-        return np.frombuffer(b"".join(x for x, k in zip(table[name].to_pylist(), kinds) if k == kind), dtype)
-
-    kinds = table["probe"].to_pylist()
-    keys, prints, nodes = (column(False, x, t) for x, t in (("keys", np.uint32), ("prints", np.uint64), ("nodes", np.int64)))
-    order = np.argsort(keys, kind="stable")
-    keys, prints, nodes = keys[order], prints.reshape(-1, words)[order], nodes[order]
-    pkeys, pprints, pnodes = (column(True, x, t) for x, t in (("keys", np.uint32), ("prints", np.uint64), ("nodes", np.int64)))
-    pprints = pprints.reshape(-1, words)
-    low = np.searchsorted(keys, pkeys, "left")
-    counts = np.searchsorted(keys, pkeys, "right") - low
-    hit = np.flatnonzero(counts)
-    ends = np.cumsum(counts[hit])
-    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    held, at, all_pairs = 0, 0, int(ends[-1]) if len(ends) else 0
-    while at < all_pairs:
-        to = min(all_pairs, at + SLICE)
-        place = np.arange(at, to)
-        row = np.searchsorted(ends, place, "right")
-        i = hit[row]
-        j = low[i] + place - (ends[row] - counts[i])
-        first = np.bitwise_count(pprints[i, 0] ^ prints[j, 0])
-        good = (first <= probe) & (pnodes[i] < nodes[j])
-        i, j = i[good], j[good]
-        if words > 1:
-            close = np.bitwise_count(pprints[i] ^ prints[j]).sum(1, dtype=np.int64) <= total
-            i, j = i[close], j[close]
-        found_a.append(pnodes[i])
-        found_b.append(nodes[j])
-        held, at = held + len(i), to
-        if held > 4 * SLICE:
-            a, b = _forest(np.concatenate(found_a), np.concatenate(found_b))
-            found_a, found_b, held = [a], [b], len(a)
-    a, b = _forest(np.concatenate(found_a), np.concatenate(found_b))
-    return pa.table({"u": a, "v": b})
-
-
-def links(entries: DataFrame, words: int, distance: int, total: int) -> DataFrame:
-    """(u, v) stars of nodes within reach of each other in some chunk; entries: node, f0, f1, ..."""
-    n, both = bit_counts(entries)
-    parts = plan(both, n, distance)
-    masks = [np.uint64(sum(1 << b for b in bits)) for bits, _ in parts]
-    flips = [np.array([0, *(sum(1 << b for b in c) for r in range(1, t + 1) for c in combinations(bits, r))], np.uint64) for bits, t in parts]
-    width = 12 + 8 * words
-    chunk_bits = max(LEAST_CHUNKS_BITS, math.ceil(math.log2(max(1, n * sum(1 + len(f) for f in flips) * width / CHUNK_BYTES))))
-    schema = pa.schema([("chunk", pa.int64()), ("probe", pa.bool_()), ("keys", pa.binary()), ("prints", pa.binary()), ("nodes", pa.binary())])
+    # At least a chunk's average: what this collects is bounded by all rows sent over the limit.
+    many = entries.mapInArrow(count, "chunk long, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows).collect()
+    blocks = {chunk: 2 * math.ceil(size / chunk_rows) for chunk, size in many}
 
     def deal(batches):
         for batch in batches:
@@ -217,41 +330,143 @@ def links(entries: DataFrame, words: int, distance: int, total: int) -> DataFram
                 nodes = rows["node"].to_numpy()
                 prints = np.column_stack([rows[f"f{k}"].to_numpy().view(np.uint64) for k in range(words)])
                 for probe in (False, True):
-                    hashed, source = [], []
-                    for k, (mask, flip) in enumerate(zip(masks, flips)):
-                        values = (prints[:, 0] & mask)[:, None] ^ (flip[None, :] if probe else flip[None, :1])
-                        hashed.append(mix(values.ravel() + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))))
-                        source.append(np.repeat(np.arange(len(nodes)), values.shape[1]))
-                    h, s = np.concatenate(hashed), np.concatenate(source)
-                    order = np.argsort(h)
-                    h, s = h[order], s[order]
+                    h, source = dealt(rows, probe)
                     chunk = (h >> np.uint64(64 - chunk_bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
-                    out = [[], [], [], [], []]
-                    for i, j in zip(cuts[:-1], cuts[1:]):
-                        for column, x in zip(out, (int(chunk[i]), probe, h[i:j].astype(np.uint32).tobytes(), prints[s[i:j]].tobytes(), nodes[s[i:j]].tobytes())):
+                    out = [[], [], [], [], [], []]
+
+                    def put(chunk: int, block: int, h: np.ndarray, s: np.ndarray) -> None:
+                        for column, x in zip(out, (chunk, block, probe, h.tobytes(), prints[s].tobytes(), nodes[s].tobytes())):
                             column.append(x)
+
+                    for i, j in zip(cuts[:-1], cuts[1:]):
+                        key, part, s = int(chunk[i]), h[i:j], source[i:j]
+                        if key not in blocks:
+                            put(key, 0, part, s)
+                            continue
+                        b = blocks[key]
+                        piece = (mix(nodes[s].view(np.uint64)) % np.uint64(b)).astype(np.int64)
+                        for x, y in combinations(range(b), 2):  # a task for each two blocks
+                            mine = (piece == x) | (piece == y)
+                            if mine.any():
+                                put(key, x * b + y, part[mine], s[mine])
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
     def match(table):
         return _match(table, words, distance, total)
 
-    return entries.mapInArrow(deal, "chunk long, probe boolean, keys binary, prints binary, nodes binary").groupBy("chunk").applyInArrow(match, "u long, v long")
+    return entries.mapInArrow(deal, "chunk long, block int, probe boolean, keys binary, prints binary, nodes binary").groupBy("chunk", "block").applyInArrow(match, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 10, seeds: tuple[int, ...] = (42, 43), total: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 10, seeds: tuple[int, ...] = (42,), total: int | None = None) -> DataFrame:
     """doc_id, f0, f1, ... and component_id (the smallest doc_id reachable) of each row.
 
-    Two fingerprints link when their first words differ in at most ``distance`` bits and all
+    Two fingerprints link when one of their words differs in at most ``distance`` bits and all
     words together in at most ``total`` (default: ``distance`` for each word). With five-word
     shingles a similarity (Jaccard) of 0.8 differs in 15 % of the bits on average.
     """
     names = [f"f{k}" for k in range(len(seeds))]
     total = distance * len(seeds) if total is None else total
     rows = cut(fingerprints(docs, shingle, seeds))
-    entries = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"))
-    found = links(entries, len(seeds), distance, total)
-    same = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").join(rows, "doc_id").join(entries, names)
+    entries = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    found = links(entries.where("node is not null"), len(seeds), distance, total)
+    same = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").join(rows, "doc_id").join(entries.where("node is not null"), names)
     roots = components(found.unionAll(same.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
-    classes = entries.join(roots, entries["node"] == roots["node"], "left").select(*names, F.coalesce("root", entries["node"]).alias("component_id"))
-    return rows.join(classes, names, "left").select("doc_id", *names, "component_id")
+    classes = entries.join(roots, "node", "left").select(*names, "copies", F.coalesce("root", "node").alias("component_id"))
+    return _with_classes(rows, classes, names).select("doc_id", *names, "component_id")
+
+
+def _with_classes(rows: DataFrame, classes: DataFrame, names: list[str]) -> DataFrame:
+    """rows joined with their class. Classes of more than HOT_ROWS copies, less than one for each HOT_ROWS rows, go to every task."""
+    hot = F.broadcast(classes.where(F.col("copies") > HOT_ROWS))
+    return rows.join(hot, names).unionByName(rows.join(hot, names, "left_anti").join(classes.where(F.col("copies") <= HOT_ROWS), names))
+
+
+# Groups by similarity
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted; ASCII capitals are folded; fewer words are one shingle."""
+    for at, to in slices(texts):
+        data, offsets = text_buffers(texts.slice(at, to - at))
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        starts, ends, first = word_bounds(data, offsets)
+        h = word_hashes(data, starts, ends)
+        run = np.zeros(len(h), np.uint64)
+        for k in range(shingle):
+            run[: len(h) - k] = mix(run[: len(h) - k] * np.uint64(0x9FB21C651E98DF25) + h[k:])
+        for i, j in zip(first[:-1], first[1:]):
+            if i == j:
+                yield np.empty(0, np.uint64)
+            elif j - i < shingle:
+                whole = np.uint64(0)
+                for x in h[i:j]:
+                    whole = mix(np.array([whole]) * np.uint64(0x9FB21C651E98DF25) + x)[0]
+                yield np.array([whole])
+            else:
+                yield np.unique(run[i : j - shingle + 1])
+
+
+def sketch(hashes: np.ndarray, words: int) -> list[int]:
+    """The SimHash words of a set of hashes, and a hash of the whole set."""
+    out = []
+    for k in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 50_000):
+            salted = mix(hashes[at : at + 50_000] + np.uint64(0xD1B54A32D192ED03 * (k + 1) % (1 << 64)))
+            ones += np.unpackbits(salted.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0]) if len(hashes) else 0)
+    return [*out, int(mix(hashes).sum(dtype=np.uint64).view(np.int64)) if len(hashes) else 0]
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 3, distance: int = 10, slack: float = 0.06) -> DataFrame:
+    """The rows of docs that stay: of each group linked by ``similarity`` of shingles the one with the smallest doc_id (then text hash).
+
+    Candidates come from ``words`` independent fingerprints, each searched within ``distance`` bits:
+    at similarity 0.8 and ten bits one word finds 6 of 10 pairs, three 94 of 100. Candidates
+    that differ in more bits of all words than ``similarity`` does on average and ``slack`` of them go;
+    the Jaccard similarity of the others, as far as they are in a chunk's spanning forest of
+    nearest pairs, is computed from all their shingles.
+    """
+    names = [f"f{k}" for k in range(words)]
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), *((x, pa.int64()) for x in (*names, "content"))])
+
+    def sketched(batches):
+        for batch in batches:
+            found = np.array([sketch(x, words) for x in shingle_sets(batch["text"], shingle)], np.int64).reshape(-1, words + 1)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], *(pa.array(found[:, k]) for k in range(words + 1))], schema=schema)
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
+    rows = cut(keyed.mapInArrow(sketched, ", ".join(f"{x} long" for x in schema.names)))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    entries = cut(rows.groupBy(*names, "content").agg(F.min(key).alias("first")).withColumn("node", F.xxhash64(*names, "content")))
+    cosine = 2 * similarity / (1 + similarity)
+    total = round(64 * words * (math.acos(cosine) / math.pi + slack))
+    pairs = cut(links(entries, words, distance, total).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+    packed = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def sets(batches):
+        for batch in batches:
+            found = [x.tobytes() for x in shingle_sets(batch["text"], shingle)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], schema=packed)
+
+    def similar(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch["a"], batch["b"]):
+                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (a, b))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(entries, "node").select("node", "first.doc_id", "first.copy")
+    named = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["copy"] == wanted["copy"])).dropDuplicates(["node"]).select("node", "text")
+    held = cut(named.mapInArrow(sets, "node long, hashes binary"))
+    both = pairs.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    roots = components(both.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"))
+    first = entries.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    joined = whole.join(kept, whole["_doc"].eqNullSafe(kept["_id"]) & (whole["_text"] == kept["_copy"]))
+    return joined.groupBy("_id", "_copy").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")
