@@ -2,10 +2,11 @@
 
 1. Lines are hashed; lines of ``min_chars`` or more are looked up. The smallest doc_id that holds
    a line owns it, and every later document with that line is paired with the owner: at most one
-   pair for each line of a document, however many documents share it.
+   pair for each line of a document, however many documents share it. A document with shorter lines only
+   is looked up as a whole.
 2. A line is rare if at most ``rare`` documents hold it. A pair overlaps if it shares a rare line
    or two lines of any frequency. A looked-up line above ``rare`` needs no pair: it is deleted
-   wherever it stands in a document later than its owner.
+   wherever it stands in a document later than its owner. So is all of a later copy of a text of short lines.
 3. Each pair is aligned with patience diff over line hashes (of another seed than the lookup's).
 4. A common block, lines that follow each other in both documents, is deleted from the later
    document if it holds a rare line or at least two lines that are looked up.
@@ -13,8 +14,9 @@
    stands anywhere in the owner counts as a common block (suffix automaton). So no looked-up line
    stays that an earlier document holds.
 
-Line groups are only aggregated (least id, count) and joined, never gathered, so a line on a
-third of all documents is one row of a join whose large side can be split.
+Line groups are only aggregated (least id, count) and joined under a salt, never gathered, so a line on
+a third of all documents is spread over tasks. Later documents are sent to their owners in buckets; an owner of more than
+``HOT_PAIRS`` of them is in many buckets, once in each, and is read once for all of a bucket.
 
 Nulls, ties and odd inputs: a null text has no lines and stays null; a row without doc_id is kept
 whole and owns nothing; rows that share a doc_id are compared with smaller ids only, not with
@@ -24,14 +26,21 @@ are carried only if named in ``carry``, in a struct of their own.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
+SALTS = 16
+BUCKET_PAIRS = 4_000
+HOT_PAIRS = 20_000
+LEAST_BUCKETS = 128
+
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of pairs, given by their first, whose seconds increase."""
@@ -149,35 +158,55 @@ def _aligned(a: list[int], b: list[int], long: list[bool], rare: set[int]) -> li
 
 def deletions(docs: DataFrame, rare: int = 100, min_chars: int = 20) -> DataFrame:
     """(doc_id, copy, gone): the places of the lines that each document, named by id and hash of its text, loses."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("h"), (F.length(x) >= min_chars).alias("long")))
-    signed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("copy"), lines.alias("lines"))
-    held = docs.where("doc_id is not null and text is not null").select(
-        "doc_id",
-        F.xxhash64("text").alias("copy"),
-        F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= min_chars), lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("h"))))).alias("x"),
-    ).select("doc_id", "copy", "x.line", "x.h")
+    known = docs.where("doc_id is not null and text is not null")
+    copy = F.xxhash64("text").alias("copy")
+    split = F.split("text", "\n")
+    lines = F.transform(split, lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("h"), (F.length(x) >= min_chars).alias("long")))
+    signed = known.select("doc_id", copy, lines.alias("lines"))
+    entry = lambda line, h: F.struct(line.alias("line"), h.cast("long").alias("h"))
+    long = F.array_distinct(F.transform(F.filter(split, lambda x: F.length(x) >= min_chars), lambda x: entry(F.xxhash64(x), F.xxhash64(F.lit(1), x))))
+    whole = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.array(entry(F.xxhash64(F.lit(2), "text"), F.lit(None)))).otherwise(F.filter(F.array(entry(F.lit(0).cast("long"), F.lit(None))), lambda _: F.lit(False)))
+    held = known.select("doc_id", copy, F.explode(F.when(F.size(long) > 0, long).otherwise(whole)).alias("x")).select("doc_id", "copy", "x.line", "x.h")
     owners = held.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where("df > 1")
-    shared = held.join(owners, "line").where("doc_id > owner").groupBy("doc_id", "copy", "owner").agg(
-        F.count("*").alias("shared"), F.collect_list(F.when(F.col("df") <= rare, F.col("h"))).alias("rare"), F.collect_list(F.when(F.col("df") > rare, F.col("h"))).alias("often")
-    )
+    salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]).where("doc_id > owner")
+    scarce, often = (F.collect_list(F.when(x, F.col("h"))) for x in (F.col("df") <= rare, F.col("df") > rare))
+    shared = cut(met.groupBy("doc_id", "copy", "owner").agg(F.count("h").alias("shared"), scarce.alias("rare"), often.alias("often"), F.bool_or(F.col("h").isNull()).alias("whole")))
+    # Whole copies and frequent lines need no pair.
+    direct = shared.where((F.size("often") > 0) | F.col("whole")).groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("often")).alias("often"), F.bool_or("whole").alias("whole"))
+    place = lambda x, i: F.when(F.col("whole") | F.array_contains("often", x["h"]), i)
+    plain = signed.distinct().join(direct, ["doc_id", "copy"]).select("doc_id", "copy", F.array_compact(F.transform("lines", place)).alias("gone"))
     pairs = shared.where((F.size("rare") > 0) | (F.col("shared") > 1)).select("doc_id", "copy", "owner", "rare")
-    often = shared.where(F.size("often") > 0).groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("often")).alias("often"))
+    both = plain.unionAll(_aligned_pairs(pairs, signed).select("doc_id", "copy", "gone"))
+    return both.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _aligned_pairs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(doc_id, copy, gone) of each pair (doc_id, copy, owner, rare) that loses lines; signed: doc_id, copy, lines."""
+    buckets = max(LEAST_BUCKETS, math.ceil(pairs.count() / BUCKET_PAIRS))
+    # Less than one for each HOT_PAIRS pairs.
+    hot = F.broadcast(pairs.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select("owner", F.ceil(F.col("n") / BUCKET_PAIRS).cast("int").alias("many")))
+    bucket = F.pmod(F.xxhash64("owner", "salt"), F.lit(buckets)).cast("int").alias("bucket")
+    many = F.coalesce("many", F.lit(1))
+    later = pairs.join(signed.distinct(), ["doc_id", "copy"]).join(hot, "owner", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), many).cast("int"))
+    later = later.select(bucket, "owner", "doc_id", "copy", F.col("lines.h").alias("mine"), F.col("lines.long").alias("long"), "rare")
+    leads = pairs.select("owner").distinct().join(hot, "owner", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
     first = signed.groupBy("doc_id").agg(F.min(F.struct("copy", "lines")).alias("x")).select(F.col("doc_id").alias("owner"), F.col("x.lines.h").alias("theirs"))
-    none = F.array().cast("array<long>")
-    found = pairs.join(first, "owner").select("doc_id", "copy", "theirs", "rare", none.alias("often")).unionAll(often.select("doc_id", "copy", none, none, "often"))
-    rows = found.join(signed.distinct(), ["doc_id", "copy"]).select("doc_id", "copy", F.col("lines.h").alias("mine"), F.col("lines.long").alias("long"), "theirs", "rare", "often")
-
-    def align(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("gone", pa.list_(pa.int32()))])
-        for batch in batches:
-            gone = []
-            for mine, theirs, long, rare, often in zip(*(batch[x].to_pylist() for x in ("mine", "theirs", "long", "rare", "often"))):
-                often = set(often)
-                gone.append([i for i, x in enumerate(mine) if x in often] if often else doomed(mine, theirs, long, set(rare)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], pa.array(gone, schema.field("gone").type)], schema=schema)
-
-    found = rows.mapInArrow(align, "doc_id long, copy long, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    theirs = leads.join(first, "owner").select(bucket, F.col("owner").alias("lead"), "theirs")
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("gone", pa.list_(pa.int32()))])
+
+    def align(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {owner: k for k, owner in enumerate(left["lead"].to_pylist())}
+        last, lines, out = None, [], []
+        for k in pa.compute.sort_indices(right["owner"]).to_pylist():
+            owner = right["owner"][k].as_py()
+            if owner != last:
+                last, lines = owner, left["theirs"][held[owner]].as_py()
+            out.append((k, doomed(right["mine"][k].as_py(), lines, right["long"][k].as_py(), set(right["rare"][k].as_py()))))
+        rows = pa.array([k for k, gone in out if gone], pa.int64())
+        return pa.table([right["doc_id"].take(rows), right["copy"].take(rows), pa.array([gone for _, gone in out if gone], schema.field("gone").type)], schema=schema)
+
+    return theirs.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(align, "doc_id long, copy long, gone array<int>")
 
 
 def line_dedup(docs: DataFrame, rare: int = 100, min_chars: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:

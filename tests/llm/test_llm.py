@@ -1,5 +1,6 @@
 """Training-data operators against SQL, libraries and brute force, and on odd inputs."""
 
+import collections
 import hashlib
 import json
 import random
@@ -219,33 +220,71 @@ def test_sentencepiece_equals_the_library(spark):
         assert got[k] == (len(ids), " ".join(map(str, ids)), sp.decode(ids)), repr(t[:80])
 
 
-def brute_lines(docs, rare=100, min_chars=20):
+def check_lines(docs, got, rare=100, min_chars=20):
+    """Holds kept texts against all earlier documents. docs: id and text, ids in order and distinct.
+
+    Looked-up lines stay exactly where no earlier document holds them; a shorter line goes only as part
+    of a run that an earlier document holds too, with a rare looked-up line or two of any frequency in it;
+    a text of short lines goes as a whole if an earlier one is the same, and only then.
+    """
     lines = {i: t.split("\n") for i, t in docs}
-    owner, df = {}, {}
-    for i in sorted(lines):
-        for x in {x for x in lines[i] if len(x) >= min_chars}:
-            owner.setdefault(x, i)
-            df[x] = df.get(x, 0) + 1
-    out = {}
-    for i, mine in lines.items():
-        shared = {}
-        for x in {x for x in mine if len(x) >= min_chars}:
-            if owner[x] < i:
-                shared.setdefault(owner[x], set()).add(x)
-        gone = set()
-        for o, held in shared.items():
-            scarce = {x for x in held if df[x] <= rare}
-            if scarce or len(held) > 1:
-                gone.update(line_dedup.doomed(mine, lines[o], [len(x) >= min_chars for x in mine], scarce))
-        out[i] = (len(mine), len(gone), "\n".join(x for k, x in enumerate(mine) if k not in gone))
-    return out
+    df = collections.Counter(x for ls in lines.values() for x in set(ls) if len(x) >= min_chars)
+    holders = collections.defaultdict(list)
+    seen, texts = set(), set()
+    for i, t in docs:
+        mine, kept = lines[i], got[i].split("\n") if got[i] else []
+        long = [len(x) >= min_chars for x in mine]
+        if not any(long):
+            assert got[i] == ("" if t.strip(" \n\t\r\x0b\x0c") and t in texts else t)
+        else:
+            assert [x for x in kept if len(x) >= min_chars] == [x for x in mine if len(x) >= min_chars and x not in seen]
+            may = set()
+            for o in {o for x in mine for o in holders[x]}:
+                theirs = lines[o]
+                for a in range(len(mine)):
+                    for b in range(len(theirs)):
+                        n = 0
+                        while a + n < len(mine) and b + n < len(theirs) and mine[a + n] == theirs[b + n]:
+                            n += 1
+                        run = mine[a : a + n]
+                        if sum(long[a : a + n]) > 1 or any(0 < df[x] <= rare for x in run):
+                            may.update(range(a, a + n))
+            must = collections.Counter(x for p, x in enumerate(mine) if not long[p] and p not in may)
+            short = collections.Counter(x for x in kept if len(x) < min_chars)
+            assert not must - short - collections.Counter([] if kept else [""]) and not short - collections.Counter(x for p, x in enumerate(mine) if not long[p])
+        for x in set(mine):
+            if len(x) >= min_chars:
+                holders[x].append(i)
+        seen.update(mine)
+        texts.add(t)
+
+
+def test_line_dedup_against_all_earlier_documents(spark):
+    docs = sorted(texts(spark))
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_lines(docs, {r.doc_id: r.kept_text for r in got})
+    assert sum(r.n_removed for r in got) > 0 and all(r.n_lines - r.n_removed == (len(r.kept_text.split("\n")) if r.n_removed < r.n_lines else 0) for r in got)
+
+
+def test_line_dedup_of_random_documents(spark, monkeypatch):
+    r = random.Random(12)
+    pool = [f"a line that some documents hold {k}" for k in range(25)] + ["short", "--", ""]
+    docs = [(k, "\n".join(r.choice(pool) if r.random() < 0.6 else f"own line number {k} {r.random()}" for _ in range(r.randrange(1, 15)))) for k in range(120)]
+    docs += [(k, f"a\nb {k % 3}\nc") for k in range(200, 212)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (3, line_dedup.HOT_PAIRS):
+        monkeypatch.setattr(line_dedup, "HOT_PAIRS", limit)
+        monkeypatch.setattr(line_dedup, "BUCKET_PAIRS", limit)
+        for rare in (4, 100):
+            check_lines(docs, {x.doc_id: x.kept_text for x in line_dedup.line_dedup(df, rare=rare).collect()}, rare)
 
 
-def test_line_dedup_equals_all_pairs(spark):
-    docs = texts(spark)
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = brute_lines(docs)
-    assert got == want and sum(x[1] for x in want.values()) > 0
+@pytest.mark.parametrize("copies", [2, 101, 150])
+def test_copies_of_one_line_leave_one(spark, copies):
+    for text in ("a document that is a single line of some length", "short"):
+        df = spark.createDataFrame([(k, text) for k in range(copies)], "doc_id long, text string")
+        got = {x.doc_id: x.kept_text for x in line_dedup.line_dedup(df).collect()}
+        assert got.pop(0) == text and set(got.values()) == {""}
 
 
 def test_line_dedup_deletes_lines_on_many_documents(spark):
@@ -286,6 +325,10 @@ def test_no_line_of_an_earlier_document_stays(spark):
 
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
+    # Unique lines anchor, repeated ones align between them; a moved block keeps the longer order.
+    assert line_dedup.patience([0, 1, 0, 2, 0, 3], [9, 1, 0, 2, 8, 0, 3]) == [(1, 1), (2, 2), (3, 3), (4, 5), (5, 6)]
+    assert line_dedup.patience([1, 2, 3, 7, 8], [7, 8, 1, 2, 3]) == [(0, 2), (1, 3), (2, 4)]
+    assert line_dedup.patience([5, 5, 5], [4, 5, 5, 6]) == []
     r = random.Random(4)
     for _ in range(200):
         a, b = ([r.randrange(6) for _ in range(r.randrange(9))] for _ in range(2))
@@ -324,8 +367,7 @@ def test_pipeline_stages_follow_brute_force(spark, tmp_path):
         assert k == 4 or out.columns == columns
         before, after = {r.doc_id: r.text for r in docs.collect()}, [r for r in out.collect()]
         if name == "line dedup":
-            want = brute_lines([(i, t or "") for i, t in before.items()])
-            assert {r.doc_id: r.text for r in after} == {i: t for i, (_, n, t) in want.items() if not n or t.split()}
+            check_lines(sorted((i, t or "") for i, t in before.items()), dict.fromkeys(before, "") | {r.doc_id: r.text for r in after})
         if name == "SimHash near-dedup":
             label = brute_similar([(r.doc_id, r.text or "") for r in docs.collect()])
             assert {r.doc_id for r in after} == set(label.values())
