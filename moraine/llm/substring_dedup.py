@@ -10,12 +10,15 @@ their leading bits into buckets. At each level a block sends each *distinct* fin
 surviving windows once, packed, to its bucket; the bucket answers with one bit for each. So a
 passage that a third of all documents hold costs one entry a block, not one a copy, nothing is
 expanded into pairs, and the text is shuffled once, its exchange being reused at each level.
+Blocks grow with the root of the table up to 64 MB, and there are as many buckets as blocks, so that
+a packed row keeps many fingerprints; a block's work doesn't depend on their number.
 
-Below the last level a fingerprint only filters, so a collision there costs nothing but work.
-At the last level fingerprints have 96 bits.
+Below the last level four bytes of a fingerprint go to its bucket; they only filter, and as a bucket's
+size is bounded, so is the share of collisions, which cost nothing but work. At the last level
+fingerprints have 64 bits, and 32 of a second one from another hash of the words.
 
 Nulls, ties and odd inputs: a null text has no words; a null doc_id counts as smaller than
-all others; rows that repeat a doc_id are kept apart, ordered by their text, and count as one
+all others, and such rows are dealt by their text; rows that repeat a doc_id are kept apart, ordered by their text, and count as one
 document after another. An empty table gives an empty result. Columns other than ``doc_id``
 and ``text`` are ignored.
 """
@@ -31,10 +34,11 @@ from pyspark.sql import functions as F
 
 from .words import doubled, mix, text_buffers, word_bounds, word_hashes
 
-BLOCK_BYTES = 4_000_000
+LEAST_BYTES, MOST_BYTES = 4_000_000, 64_000_000
 LEAST_BLOCKS = 128
 SENT = "block int, bucket int, prints binary, owners binary"
 FLAGS = "block int, bucket int, flags binary"
+PACKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary())])
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -49,24 +53,30 @@ class Block:
         self.ids = ids.take(order).to_numpy()
         data, offsets = text_buffers(self.rows["text"])
         starts, ends, first = word_bounds(data, offsets)
+        self.words = (data, starts, ends)
         self.first = first
-        self.hashes = self.widened(word_hashes(data, starts, ends), 1, base)
-        self.extra, self.length = mix(self.hashes), base
+        self.base = self.length = base
+        self.hashes = self.widened(word_hashes(*self.words))
         self.left = np.repeat(first[1:], np.diff(first)) - np.arange(len(starts))  # words from here to the text's end
         self.live = self.left >= base
 
-    @staticmethod
-    def widened(h: np.ndarray, length: int, to: int) -> np.ndarray:
+    def widened(self, h: np.ndarray) -> np.ndarray:
         """Fingerprints of the first level's windows from hashes of single words."""
-        out = np.zeros(max(0, len(h) - to + 1), np.uint64)
-        for k in range(to):
+        out = np.zeros(max(0, len(h) - self.base + 1), np.uint64)
+        for k in range(self.base):
             out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[k : k + len(out)])
         return out
 
+    def second(self) -> np.ndarray:
+        """Fingerprints of this level's windows from another hash of the words."""
+        h, length = self.widened(word_hashes(*self.words, 1)), self.base
+        while length < self.length:
+            h, length = doubled(h, length, 1), 2 * length
+        return h
+
     def double(self, repeated: np.ndarray) -> None:
         """Keep the windows both of whose halves repeat, at twice the length."""
         half = self.length
-        self.extra = doubled(self.hashes, half, 1)
         self.hashes, self.length = doubled(self.hashes, half), 2 * half
         self.live = self.left >= self.length
         n = len(self.hashes)
@@ -78,33 +88,32 @@ class Block:
         prints, first, inverse, count = np.unique(self.hashes[at], return_index=True, return_inverse=True, return_counts=True)
         return at, prints, at[first], inverse, count
 
+    @staticmethod
+    def buckets(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of sorted fingerprints, and where each begins (one more at the end)."""
+        bucket = (prints >> np.uint64(64 - bits)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return bucket[starts], np.append(starts, len(prints))
+
     def send(self, key: int, bits: int, last: bool) -> pa.Table:
         _, prints, first, _, _ = self.distinct()
-        cuts = np.searchsorted(prints >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        low = prints & np.uint64((1 << 48) - 1)
-        extra = self.extra[first] if last else None
+        held, cuts = self.buckets(prints, bits)
+        extra = (self.second()[first] >> np.uint64(32)).astype(np.uint32) if last else None
         owner = self.ids[np.searchsorted(self.first, first, "right") - 1] if last else None
-        out: dict[str, list] = {"block": [], "bucket": [], "prints": [], "owners": []}
-        for b in np.flatnonzero(np.diff(cuts)):
-            i, j = cuts[b], cuts[b + 1]
-            out["block"].append(key)
-            out["bucket"].append(int(b))
-            if last:
-                out["prints"].append(prints[i:j].tobytes() + (extra[i:j] >> np.uint64(32)).astype(np.uint32).tobytes())
-                out["owners"].append(owner[i:j].tobytes())
-            else:  # the bucket's number and the low 48 bits
-                out["prints"].append((low[i:j] >> np.uint64(32)).astype(np.uint16).tobytes() + low[i:j].astype(np.uint32).tobytes())
-                out["owners"].append(None)
-        return pa.table(out, pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary())]))
+        packed, owners = [], []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            packed.append(prints[i:j].tobytes() + extra[i:j].tobytes() if last else prints[i:j].astype(np.uint32).tobytes())
+            owners.append(owner[i:j].tobytes() if last else None)
+        return pa.table([pa.array(np.full(len(held), key, np.int32)), pa.array(held.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(owners, pa.binary())], schema=PACKED)
 
     def receive(self, flags: pa.Table, bits: int, last: bool) -> np.ndarray:
         """Which windows repeat; at the last level, which of them start earlier elsewhere."""
         at, prints, first, inverse, count = self.distinct()
         elsewhere = np.zeros(len(prints), bool)
-        cuts = np.searchsorted(prints >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for b, packed in zip(flags["bucket"].to_pylist(), flags["flags"].to_pylist()):
-            n = cuts[b + 1] - cuts[b]
-            elsewhere[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).view(bool)
+        held, cuts = self.buckets(prints, bits)
+        for k, packed in zip(np.searchsorted(held, flags["bucket"].to_numpy()), flags["flags"].to_pylist()):
+            i, j = cuts[k], cuts[k + 1]
+            elsewhere[i:j] = np.unpackbits(np.frombuffer(packed, np.uint8), count=j - i).view(bool)
         out = np.zeros(len(self.left), bool)
         out[at] = elsewhere[inverse] | (at != first[inverse] if last else (count > 1)[inverse])
         return out
@@ -113,18 +122,18 @@ class Block:
 def _answer(rows: pa.Table, last: bool) -> pa.Table:
     """One bucket: a bit for each fingerprint of each block."""
     sent = rows["prints"].to_pylist()
-    sizes = [len(x) // (12 if last else 6) for x in sent]
+    sizes = [len(x) // (12 if last else 4) for x in sent]
     ends = np.cumsum(sizes)
     if last:
         a = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(sent, sizes)])
         b = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(sent, sizes)])
         owner = np.concatenate([np.frombuffer(x, np.int64) for x in rows["owners"].to_pylist()])
-        order = np.lexsort((owner, b, a))
+        order = np.lexsort((np.repeat(rows["block"].to_numpy(), sizes), owner, b, a))
         same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
         flag = np.zeros(len(a), bool)
         flag[order[1:]] = same  # all but the smallest owner of each fingerprint
     else:
-        v = np.concatenate([(np.frombuffer(x, np.uint16, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(x[2 * n :], np.uint32, n) for x, n in zip(sent, sizes)])
+        v = np.concatenate([np.frombuffer(x, np.uint32) for x in sent])
         order = np.argsort(v)
         same = v[order][1:] == v[order][:-1]
         flag = np.zeros(len(v), bool)
@@ -143,19 +152,20 @@ def _replay(rows: pa.Table, flags: pa.Table, base: int, level: int, bits: int) -
     return block
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 2, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of each row.
 
     window: words of a window, a multiple of ``2^levels``; levels: how often the first
-    level's length is doubled.
+    level's length is doubled; block_bytes: text of a block, else by the table's size.
     """
     base = window >> levels
     if base < 1 or base << levels != window:
         raise ValueError("window must be a positive multiple of 2^levels")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, math.ceil(size / block_bytes))
+    blocks = max(LEAST_BLOCKS, math.ceil(size / (block_bytes or min(MOST_BYTES, max(LEAST_BYTES, 64 * math.isqrt(size))))))
     bits = max(7, math.ceil(math.log2(blocks)))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = named.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     dealt = rows.groupBy("block")
 
     def first_level(key, table):
@@ -163,7 +173,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 2, block_by
 
     def next_level(level):
         def send(key, left, right):
-            return _replay(left, right, base, level, bits).send(key[0].as_py(), bits, level == levels) if left.num_rows else pa.table({"block": [], "bucket": [], "prints": [], "owners": []}, pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary())]))
+            return _replay(left, right, base, level, bits).send(key[0].as_py(), bits, level == levels) if left.num_rows else PACKED.empty_table()
 
         return send
 
