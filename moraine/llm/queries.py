@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import chat, licenses, mixing, quality, topk, warc
 from .line_dedup import line_dedup
 from .sentencepiece_codec import encode_decode
-from .shared import shared_folder
+from .shared import cut, remove, shared_folder
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 
@@ -56,13 +56,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     records = warc.read_records(warc.read_index(spark, folder), folder)
     payload = F.col("payload").isNotNull()
-    return records.select(
+    digests = cut(records.select(
         "page_id",
         F.when(payload, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(payload, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
-    )
+    ))
+    remove(spark, folder)
+    return digests
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
+SALTS = 16
 # Fixed values of the WARC format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -70,12 +71,17 @@ def parse(data: bytes) -> tuple:
 
 
 def typed(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, html, digest and refers_to (null for responses) of each page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digests = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.withColumn("digest", F.sha2("html", 256)).join(first, "digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    """page_id, url, html, digest and refers_to (null for responses) of each page.
+
+    What a page refers to is found among digests, salted, so that a payload on a third of all pages is
+    spread; payloads are shuffled once, by page.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
+    long = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = long.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = salted.join(first, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
+    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, file_bytes: int = 64 << 20) -> None:
