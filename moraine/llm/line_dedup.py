@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 SALTS = 16
-BUCKET_PAIRS = 4_000
-HOT_PAIRS = 20_000
+BUCKET_PAIRS = 1_000
+HOT_PAIRS = 2_000
 LEAST_BUCKETS = 128
 
 
@@ -172,24 +172,27 @@ def deletions(docs: DataFrame, rare: int = 100, min_chars: int = 20) -> DataFram
     met = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]).where("doc_id > owner")
     scarce, often = (F.collect_list(F.when(x, F.col("h"))) for x in (F.col("df") <= rare, F.col("df") > rare))
     shared = cut(met.groupBy("doc_id", "copy", "owner").agg(F.count("h").alias("shared"), scarce.alias("rare"), often.alias("often"), F.bool_or(F.col("h").isNull()).alias("whole")))
-    # Whole copies and frequent lines need no pair.
-    direct = shared.where((F.size("often") > 0) | F.col("whole")).groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("often")).alias("often"), F.bool_or("whole").alias("whole"))
-    place = lambda x, i: F.when(F.col("whole") | F.array_contains("often", x["h"]), i)
-    plain = signed.distinct().join(direct, ["doc_id", "copy"]).select("doc_id", "copy", F.array_compact(F.transform("lines", place)).alias("gone"))
-    pairs = shared.where((F.size("rare") > 0) | (F.col("shared") > 1)).select("doc_id", "copy", "owner", "rare")
-    both = plain.unionAll(_aligned_pairs(pairs, signed).select("doc_id", "copy", "gone"))
-    return both.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def _aligned_pairs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(doc_id, copy, gone) of each pair (doc_id, copy, owner, rare) that loses lines; signed: doc_id, copy, lines."""
-    buckets = max(LEAST_BUCKETS, math.ceil(pairs.count() / BUCKET_PAIRS))
+    # Whole copies and frequent lines need no owner.
+    direct = shared.where((F.size("often") > 0) | F.col("whole")).groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("often")).alias("sought"), F.bool_or("whole").alias("whole"))
+    pairs = shared.where((F.size("rare") > 0) | (F.col("shared") > 1)).select("doc_id", "copy", "owner", F.col("rare").alias("sought"), F.lit(False).alias("whole"))
+    asked = pairs.unionByName(direct.withColumn("owner", F.lit(None).cast("long")))
+    return _places(asked, signed).groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _places(asked: DataFrame, signed: DataFrame) -> DataFrame:
+    """(doc_id, copy, gone) of what loses lines.
+
+    asked: doc_id, copy and owner, to be aligned with it by the rare lines ``sought``; or no owner, to lose all lines ``sought`` or, if ``whole``, all.
+    signed: doc_id, copy, lines.
+    """
+    pairs = asked.where("owner is not null")
+    buckets = max(LEAST_BUCKETS, math.ceil(asked.count() / BUCKET_PAIRS))
     # Less than one for each HOT_PAIRS pairs.
     hot = F.broadcast(pairs.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select("owner", F.ceil(F.col("n") / BUCKET_PAIRS).cast("int").alias("many")))
     bucket = F.pmod(F.xxhash64("owner", "salt"), F.lit(buckets)).cast("int").alias("bucket")
-    many = F.coalesce("many", F.lit(1))
-    later = pairs.join(signed.distinct(), ["doc_id", "copy"]).join(hot, "owner", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), many).cast("int"))
-    later = later.select(bucket, "owner", "doc_id", "copy", F.col("lines.h").alias("mine"), F.col("lines.long").alias("long"), "rare")
+    many = F.coalesce("many", F.when(F.col("owner").isNull(), buckets).otherwise(1))
+    later = asked.join(signed.distinct(), ["doc_id", "copy"]).join(hot, "owner", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), many).cast("int"))
+    later = later.select(bucket, "owner", "doc_id", "copy", F.col("lines.h").alias("mine"), F.col("lines.long").alias("long"), "sought", "whole")
     leads = pairs.select("owner").distinct().join(hot, "owner", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
     first = signed.groupBy("doc_id").agg(F.min(F.struct("copy", "lines")).alias("x")).select(F.col("doc_id").alias("owner"), F.col("x.lines.h").alias("theirs"))
     theirs = leads.join(first, "owner").select(bucket, F.col("owner").alias("lead"), "theirs")
@@ -197,14 +200,21 @@ def _aligned_pairs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
     def align(left: pa.Table, right: pa.Table) -> pa.Table:
         held = {owner: k for k, owner in enumerate(left["lead"].to_pylist())}
-        last, lines, out = None, [], []
+        last, lines, rows, out = None, [], [], []
         for k in pa.compute.sort_indices(right["owner"]).to_pylist():
-            owner = right["owner"][k].as_py()
-            if owner != last:
-                last, lines = owner, left["theirs"][held[owner]].as_py()
-            out.append((k, doomed(right["mine"][k].as_py(), lines, right["long"][k].as_py(), set(right["rare"][k].as_py()))))
-        rows = pa.array([k for k, gone in out if gone], pa.int64())
-        return pa.table([right["doc_id"].take(rows), right["copy"].take(rows), pa.array([gone for _, gone in out if gone], schema.field("gone").type)], schema=schema)
+            owner, mine, sought = (right[c][k].as_py() for c in ("owner", "mine", "sought"))
+            if owner is None:
+                often = set(sought)
+                gone = list(range(len(mine))) if right["whole"][k].as_py() else [i for i, x in enumerate(mine) if x in often]
+            else:
+                if owner != last:
+                    last, lines = owner, left["theirs"][held[owner]].as_py()
+                gone = doomed(mine, lines, right["long"][k].as_py(), set(sought))
+            if gone:
+                rows.append(k)
+                out.append(gone)
+        at = pa.array(rows, pa.int64())
+        return pa.table([right["doc_id"].take(at), right["copy"].take(at), pa.array(out, schema.field("gone").type)], schema=schema)
 
     return theirs.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(align, "doc_id long, copy long, gone array<int>")
 

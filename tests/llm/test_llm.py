@@ -459,16 +459,71 @@ def test_repeated_rows_lose_their_boilerplate_once(spark):
     assert len(got) == 130 and all(x.lost_chars == 2 * len(notice) and x.kept and notice not in x.clean_text for x in got)
 
 
+def brute_blocks(text, threshold=0.8):
+    """Best containment of each template in any block of the text."""
+    found, out = licenses.words(text), {}
+    for label, (template, names) in licenses.TEMPLATES.items():
+        t = set(licenses.words(template))
+        need, width = licenses.shape(template, threshold)
+        best = max((len(t & set(w)) for i in range(len(found)) for w in [found[i : i + width]] if set(licenses.words(names)) <= set(w)), default=0)
+        if best >= need:
+            out[label] = best / len(t)
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    r = random.Random(5)
+    filler = ["software", "the", "of", "license", "copy", "permission", "word", "other", "notice"]
+    rows = []
+    for k in range(60):
+        parts = []
+        for label in r.sample(sorted(licenses.TEMPLATES), 2):
+            words = licenses.TEMPLATES[label][0].split()
+            kept = [w for w in words if r.random() > r.choice((0, 0.1, 0.25))]
+            for _ in range(r.randrange(8)):
+                kept.insert(r.randrange(len(kept) + 1), r.choice(filler))
+            parts += [" ".join(r.choice(filler) for _ in range(r.randrange(40))), "\n * ".join(" ".join(kept[i : i + 9]) for i in range(0, len(kept), 9))]
+        rows.append((k, "\n".join(parts)))
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={}).collect()}
+    for k, text in rows:
+        want = brute_blocks(text)
+        best = {}
+        for x in got[k].blocks:
+            best[x.label] = max(best.get(x.label, 0), x.containment)
+            block = " ".join(w.decode() for w in licenses.words(text)[x.word : x.word + x.n_words])
+            assert x.label in brute_blocks(block)
+        assert best == pytest.approx(want) and got[k].score == pytest.approx(max(want.values(), default=0))
+    assert len({x for k, t in rows for x in brute_blocks(t)}) > 8
+
+
+def test_positional_filter_prunes_only_what_cannot_match():
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    mit = next(t for t in index.templates if t.label == "mit")
+    rare = next(w for w, r in index.rank.items() if r == mit.ordered[0])
+    calls = []
+    index._verified = lambda t, part: calls.append(t.label) or iter(())
+    list(index.blocks([rare, *[b"filler"] * 300]))
+    assert "mit" not in calls  # a rare word alone is dropped before its words are counted
+    list(index.blocks(licenses.words(licenses.TEMPLATES["mit"][0])))
+    assert "mit" in calls
+
+
 def test_licenses_find_spread_and_altered_notices(spark):
+    wrapped = "\n * ".join(re.findall(r".{1,70}(?:\s|$)", " ".join(licenses.TEMPLATES["mit"][0].split())))
     rows = [
         (1, "x MIT License y\nmit license", "", "", 0), (2, "Permission is hereby granted free of charge to any person obtaining a copy of the software with associated documentation", "", "", 0),
-        (3, "nothing here", "", "", 0), (4, "GNU general\npublic LICENSE", "", "", 0),
+        (3, "nothing here", "", "", 0), (4, "GNU general\npublic LICENSE", "", "", 0), (5, f"/*\n * {wrapped}\n */\nint main;", "", "", 0), (6, "released under the Apache License", "", "", 0),
+        (7, "licensed under the GNU General Public License, version 2.0", "", "", 0), (8, None, "", "", 0), (9, "w " * 200_000 + "Released under the MIT License", "", "", 0),
     ]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (2, 1, 4, "mit")
-    assert got[2].labels == "mit-text" and 0.8 <= got[2].score < 1 and got[2].base_labels == ""
+    assert got[2].labels == "mit-grant" and 0.8 <= got[2].score < 1 and got[2].base_labels == ""
     assert (got[3].n_base, got[3].first_word, got[3].labels, got[3].score) == (0, None, "", 0.0)
     assert got[4].base_labels == "gpl"
+    assert got[5].labels == "mit,mit-grant" and got[5].score == 1.0 and got[5].base_labels == ""
+    assert got[6].labels == "apache" and "apache" not in got[7].labels.split(",") and got[7].base_labels == "gpl"
+    assert got[8].labels == "" and got[8].n_words == 0
+    assert got[9].labels == "mit,mit-notice" and (got[9].blocks[0].word, got[9].n_words) == (200_000, 200_005)
 
 
 def test_chat_snapshots_collapse(spark):
@@ -481,6 +536,29 @@ def test_chat_snapshots_collapse(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_copies_of_substrings_without_ids_and_many_blocks(spark):
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(10, 120))) for _ in range(60)]
+    texts = [" ".join([*t.split(), *texts[k - 7].split()[:30]]) if k > 7 and k % 3 == 0 else t for k, t in enumerate(texts)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (None, 50):
+        got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in substring_dedup.substring_dedup(df, block_bytes=size).collect()}
+        assert got == brute_substring(docs)
+    none = spark.createDataFrame([(None, texts[0])] * 3 + [(1, texts[0])], "doc_id long, text string")
+    left = sorted((str(x.doc_id), x.n_removed) for x in substring_dedup.substring_dedup(none).collect())
+    n = len(texts[0].split())
+    assert left == [("1", n), ("None", 0), ("None", n), ("None", n)]
+
+
+def test_second_fingerprints_are_independent():
+    rows = pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["a b c d e f g h i j k l"]})
+    block = substring_dedup.Block(rows, 2)
+    block.hashes[:] = 0  # as if every window collided
+    block.double(np.ones(len(block.left), bool))
+    assert len(set(block.second().tolist())) == len(block.second()) == 9
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\n" * 30_000
     rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, None), (4, "u", ""), (None, "v", big), (5, "w", "x" * 99), (6, "w", "x" * 99), (1, "again", big)]
