@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tiers of a score; breach regression; gravity.
+# Tiers of a score; breach regression and wedge of a dam; standard gravity and that of closed forms.
 ELEVATED, WATCH = 2.0, 3.0
 BREACH_FACTOR, BREACH_POWER = 0.0026, 0.79
+BED_SLOPE, LEAST_WIDTH_M, INDEX_BAND, INDEX_SCALE = 0.01, 30.0, 0.5, 0.4
 GRAVITY = 9.81
+STANDARD_GRAVITY = 9.80665
+# Severity by largest stage (m) and urgency by earliest arrival (min).
+SEVERITY = ((5.0, "Extreme"), (2.0, "Severe"), (0.5, "Moderate"), (0.0, "Minor"))
+IMMEDIATE_MIN, EXPECTED_MIN = 30.0, 180.0
 
 
 def tier(score: Column, reason: Column | None = None) -> Column:
@@ -27,26 +32,37 @@ def avoidable_share(lead_min: Column, threshold: float, full: float, most: float
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lead_min - threshold) / (full - threshold))) * most
 
 
-def damming_index(deposit: Column, height: Column) -> Column:
-    return F.when(height > 0, deposit / height)
+def damming_index(deposit: Column, channel: Column) -> Column:
+    """Depth of the deposit as a share of the channel's."""
+    return deposit / F.greatest(channel, F.lit(1e-6))
 
 
-def wedge_volume(height: Column, width: float, bed_slope: float) -> Column:
-    """Water behind a dam of that height in a valley of that width and bed slope."""
-    return 0.5 * F.pow(height, F.lit(2.0)) / bed_slope * width
+def dam_height(deposit: Column, channel: Column) -> Column:
+    """A dam is no higher than its channel is deep."""
+    return F.least(deposit, channel)
 
 
-def breach_peak(volume: Column, height: Column) -> Column:
-    return BREACH_FACTOR * F.pow(volume * height, F.lit(BREACH_POWER))
+def wedge_volume(height: Column, width: Column) -> Column:
+    """Water behind a dam of that height, a wedge over the bed's slope."""
+    return 0.5 * height * height * F.greatest(width, F.lit(LEAST_WIDTH_M)) / BED_SLOPE
 
 
-def breach_duration(volume: Column, peak: Column) -> Column:
-    return F.when(peak > 0, 2 * volume / peak)
+def damming_probability(index: Column) -> Column:
+    """An uncalibrated logistic with its middle at index 1."""
+    return logistic((index - 1) / INDEX_SCALE)
 
 
-def surge_arrival_s(distance: Column, height: Column) -> Column:
-    """Null upstream of the dam."""
-    return F.when((distance >= 0) & (height > 0), distance / (1.5 * F.sqrt(GRAVITY * height)))
+def breach_wave(volume: Column, height: Column) -> tuple[Column, Column, Column]:
+    """Peak discharge, rise and total time of a triangle whose area is the volume."""
+    volume = F.greatest(volume, F.lit(1.0))
+    peak = BREACH_FACTOR * F.pow(volume * F.greatest(height, F.lit(0.1)), F.lit(BREACH_POWER))
+    total = 2 * volume / F.greatest(peak, F.lit(1e-6))
+    return peak, total / 3, total
+
+
+def surge_travel_s(distance: Column, height: Column) -> Column:
+    """Null at the dam and upstream of it."""
+    return F.when(distance > 0, distance / (1.5 * F.sqrt(STANDARD_GRAVITY * F.greatest(height, F.lit(1.0)))))
 
 
 def logistic(x: Column) -> Column:
@@ -75,12 +91,17 @@ def pinball(prediction: Column, truth: Column, q: float) -> Column:
     return F.greatest(q * d, (q - 1) * d)
 
 
-def severity(depth_m: Column) -> Column:
-    return F.when(depth_m.isNull(), "Unknown").when(depth_m >= 40, "Extreme").when(depth_m >= 25, "Severe").when(depth_m >= 10, "Moderate").otherwise("Minor")
+def severity(largest_stage_m: Column) -> Column:
+    """Of a forecast, by the largest stage of its transects; unknown without one."""
+    out = F.lit("Unknown")
+    for least, name in reversed(SEVERITY):
+        out = F.when(largest_stage_m >= least, name).otherwise(out)
+    return out
 
 
-def urgency(arrival_min: Column) -> Column:
-    return F.when(arrival_min.isNull(), "Unknown").when(arrival_min <= 15, "Immediate").when(arrival_min <= 60, "Expected").otherwise("Future")
+def urgency(earliest_arrival_min: Column) -> Column:
+    """Of a forecast, by the earliest arrival at its transects; unknown if it reaches none."""
+    return F.when(earliest_arrival_min.isNull(), "Unknown").when(earliest_arrival_min <= IMMEDIATE_MIN, "Immediate").when(earliest_arrival_min <= EXPECTED_MIN, "Expected").otherwise("Future")
 
 
 def in_season(day: Column, first: tuple[int, int], last: tuple[int, int]) -> Column:
@@ -102,3 +123,31 @@ def dam_break_depth(x: Column, t: Column, depth: float) -> Column:
 
 def effective_acceleration(angle_deg: Column, friction: Column) -> Column:
     return F.greatest(GRAVITY * F.sin(F.radians(angle_deg)) * (1 - friction), F.lit(0.05))
+
+
+def issue_delay_s(*parts: Column) -> Column:
+    """Seconds until an alert, the sum of its parts; null if one of them is unknown."""
+    out = parts[0]
+    for x in parts[1:]:
+        out = out + x
+    return out
+
+
+def delivered_lead(arrival: tuple[Column, Column, Column], elapsed_min: Column) -> tuple[Column, Column, Column]:
+    """Minutes from the message to the arrival (its ends in either order, best or null); may be negative."""
+    a, b, best = arrival
+    return F.least(a, b) - elapsed_min, F.greatest(a, b) - elapsed_min, best - elapsed_min
+
+
+# Nearest permitted receiver, assumed speed of surface waves, start of a window before origin.
+NEAREST_KM, WAVE_KM_S, LEAD_IN_S = 100.0, 3.0, 60.0
+
+
+def detection_floor_s(record_s: Column) -> Column:
+    """The earliest that any detector could decide: travel time and the record it needs, less the lead-in."""
+    return NEAREST_KM / WAVE_KM_S + record_s - LEAD_IN_S
+
+
+def log_parameter(x: Column) -> Column:
+    """A parameter that was sampled by its logarithm."""
+    return F.ln(F.greatest(x, F.lit(1e-12)))

@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+def power_spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and power of a trace without its mean, after a Hann window."""
+    x = np.asarray(x, float)
+    return np.fft.rfftfreq(len(x), 1 / rate), np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
+
+
+def band_energies(x: np.ndarray, rate: float, *bands: tuple[float, float]) -> tuple[float, ...]:
+    """Energy in closed bands."""
+    at, power = power_spectrum(x, rate)
+    return tuple(float(power[(at >= low) & (at <= high)].sum()) for low, high in bands)
+
+
 def band_ratio(x: np.ndarray, rate: float, low: tuple[float, float], high: tuple[float, float]) -> float:
-    """Energy in one closed band over that in another, after a Hann window; infinite if only the second is empty."""
+    """Energy in one closed band over that in another; infinite if only the second is empty."""
     x = np.asarray(x, float)
     if not len(x):
         return float("nan")
-    power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
-    at = np.fft.rfftfreq(len(x), 1 / rate)
-    a, b = (power[(at >= lo) & (at <= hi)].sum() for lo, hi in (low, high))
+    a, b = band_energies(x, rate, low, high)
     return float(a / b) if b > 0 else float("inf") if a > 0 else 0.0
 
 
@@ -76,32 +86,33 @@ def mean_pair_correlation(rows: DataFrame, key: str, x: str) -> DataFrame:
 
 
 def match_chip(reference: np.ndarray, secondary: np.ndarray, reach: int) -> tuple[float, float, float]:
-    """Shift (rows, columns) of the second chip against the first by orientation correlation, and the peak's height.
+    """Shift (rows, columns) of the second chip against the first, and the height of the peak over the mean correlation, as a share of it.
 
-    The peak is refined by a parabola on each axis; one on the rim of the search, or no texture, gives NaN.
+    Gradients, scaled to directions, are correlated; the peak within ``reach`` is refined by a parabola on each
+    axis. Chips without texture, and a peak on the rim of the search, are no measurement and give zeros.
     """
 
-    def oriented(x: np.ndarray) -> np.ndarray:
-        gy, gx = np.gradient(np.asarray(x, float))
-        g = gx + 1j * gy
-        size = np.abs(g)
-        return np.divide(g, size, out=np.zeros_like(g), where=size > 0)
+    def directions(x: np.ndarray) -> np.ndarray:
+        down, across = np.gradient(np.asarray(x, float))
+        size = np.hypot(down, across)
+        return np.divide(across + 1j * down, size, out=np.zeros(size.shape, complex), where=size > 0)
 
-    a, b = oriented(reference), oriented(secondary)
+    a, b = directions(reference), directions(secondary)
     if not a.any() or not b.any():
-        return (float("nan"),) * 3
-    surface = np.fft.fftshift(np.fft.ifft2(np.conj(np.fft.fft2(a)) * np.fft.fft2(b)).real)
-    mid = surface.shape[0] // 2, surface.shape[1] // 2
-    near = surface[mid[0] - reach : mid[0] + reach + 1, mid[1] - reach : mid[1] + reach + 1]
-    i, j = np.unravel_index(int(near.argmax()), near.shape)
-    if i in (0, 2 * reach) or j in (0, 2 * reach):
-        return (float("nan"),) * 3
-
-    def refined(low: float, top: float, high: float) -> float:
+        return 0.0, 0.0, 0.0
+    height = np.abs(np.fft.ifft2(np.fft.fft2(b) * np.fft.fft2(a).conj()))
+    shifts = [np.arange(max(-(n // 2), -reach), min((n + 1) // 2 - 1, reach) + 1) for n in height.shape]
+    searched = height[np.ix_(*shifts)]  # negative shifts are at the far end
+    best = np.unravel_index(int(searched.argmax()), searched.shape)
+    if any(i in (0, len(s) - 1) for i, s in zip(best, shifts)):
+        return 0.0, 0.0, 0.0
+    out = []
+    for axis in (0, 1):
+        low, top, high = (searched[tuple(i + (k if n == axis else 0) for n, i in enumerate(best))] for k in (-1, 0, 1))
         bend = low - 2 * top + high
-        return 0.5 * (low - high) / bend if bend else 0.0
-
-    return float(i - reach + refined(near[i - 1, j], near[i, j], near[i + 1, j])), float(j - reach + refined(near[i, j - 1], near[i, j], near[i, j + 1])), float(near[i, j] / near.size)
+        out.append(float(shifts[axis][best[axis]] + (0.5 * (low - high) / bend if bend else 0.0)))
+    mean = height.mean()
+    return *out, float((searched[best] - mean) / mean) if mean > 0 else 0.0
 
 
 def match_chip_udf(side: int, reach: int):

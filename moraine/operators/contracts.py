@@ -41,8 +41,28 @@ def interval_rules(low: str, best: str, high: str) -> dict[str, Column]:
     return {"low above high": F.col(low) > F.col(high), "best below low": F.col(best) < F.col(low), "best above high": F.col(best) > F.col(high)}
 
 
-def union_interval(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column, Column]:
-    """Both intervals in one, centred on the geometric mean of their geometric centres, which is kept inside."""
-    low, high = F.least(a[0], b[0]), F.greatest(a[1], b[1])
-    centre = F.sqrt(F.sqrt(a[0] * a[1]) * F.sqrt(b[0] * b[1]))
-    return low, F.greatest(low, F.least(high, centre)), high
+def spread(low: Column, mid: Column, high: Column, by: float = 1.5) -> tuple[Column, Column, Column]:
+    """A strict interval: an end that isn't beyond the middle is put there by a factor."""
+    return F.when(low < mid, low).otherwise(mid / by), mid, F.when(high > mid, high).otherwise(mid * by)
+
+
+def union_interval(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], by: float = 1.5) -> tuple[Column, Column, Column, Column]:
+    """Both intervals (low, median, high) in one, about the geometric mean of their medians, and the medians' ratio.
+
+    The middle is kept strictly inside; where the ends meet they are put apart by a factor.
+    """
+    low, high = F.least(a[0], b[0]), F.greatest(a[2], b[2])
+    mid = F.greatest(low * 1.0000001, F.least(high * 0.9999999, F.sqrt(a[1] * b[1])))
+    strict = (low < mid) & (mid < high)
+    return F.when(strict, low).otherwise(mid / by), mid, F.when(strict, high).otherwise(mid * by), a[1] / b[1]
+
+
+def agreement(published: tuple[Column, Column, Column], low: Column, mid: Column, high: Column) -> Column:
+    """Whether an interval agrees with a published one (low, best or null, high): struct of centre, width, both tests and the verdict.
+
+    The published centre is its best value, else the geometric mean of positive ends, else the mean.
+    """
+    a, best, b = published
+    centre = F.coalesce(best, F.when((a > 0) & (b > 0), F.sqrt(a * b)).otherwise((a + b) / 2))
+    wide, mid_in, centre_in = b > a, mid.between(a, b), centre.between(low, high)
+    return F.struct(centre.alias("centre"), wide.alias("has_width"), mid_in.alias("median_inside"), centre_in.alias("centre_inside"), ((mid_in | ~wide) & centre_in).alias("ok"))

@@ -37,10 +37,34 @@ def profile_gap(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
     return both.agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("l1"), F.try_divide(F.sum(F.abs(F.col("a") - F.col("b"))), F.sum("a")).alias("relative_l1"), wet.alias("iou"))
 
 
-def closest_member(mismatches: DataFrame, member: str) -> DataFrame:
-    """The member that reaches most transects, then with the least mean gap."""
-    per = mismatches.groupBy(member).agg(F.count("gap").alias("reached"), F.avg(F.abs("gap")).alias("mean_gap"))
-    return per.agg(F.min(F.struct((-F.col("reached")).alias("r"), F.coalesce(F.round("mean_gap", 9), F.lit(float("inf"))).alias("mean_gap"), F.col(member))).alias("b")).select(f"b.{member}", (-F.col("b.r")).alias("reached"), "b.mean_gap")
+def mismatches(arrivals: DataFrame, targets: DataFrame) -> DataFrame:
+    """arrivals (transect, arrival and more) with ``gap`` to the target's interval (transect, low, high), null where either lacks a time."""
+    joined = arrivals.join(targets.where("low is not null and high is not null"), "transect", "left")
+    return joined.withColumn("gap", F.when(F.col("low").isNotNull(), F.round(hazard.signed_gap(F.col("arrival"), F.col("low"), F.col("high")), 2))).drop("low", "high")
+
+
+def closest_member(gaps: DataFrame, member: str) -> DataFrame:
+    """The member that reaches most of the compared transects, then with the least mean gap; one without a gap isn't ranked."""
+    per = gaps.groupBy(member).agg(F.count("gap").alias("reached"), F.round(F.avg(F.abs("gap")), 3).alias("mean_gap")).where("reached > 0")
+    return per.agg(F.min(F.struct((-F.col("reached")).alias("r"), "mean_gap", member)).alias("b")).where("b is not null").select(f"b.{member}", (-F.col("b.r")).alias("reached"), "b.mean_gap")
+
+
+def latest_members(index: DataFrame, member: str, place: str | Column) -> DataFrame:
+    """The row of each member that stands last in the index."""
+    return index.groupBy(member).agg(F.max_by(F.struct(*[c for c in index.columns if c != member]), place).alias("x")).select(member, "x.*")
+
+
+def is_valid() -> Column:
+    """Mass balances, repairs and shortfall are small, no step was floored and depths are finite."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return finite("balance_error") & (F.abs("balance_error") <= 1e-6) & (F.col("repaired") <= 1e-3 * F.greatest("release", F.lit(1.0))) & (F.col("shortfall") <= 1e-3) & (F.col("floor_steps") == 0) & finite("max_depth")
+
+
+def index_summary(members: DataFrame) -> DataFrame:
+    """Counts of valid, invalid and flagged members, percentiles of the valid ones' reach, and total time."""
+    rows = members.withColumn("valid", is_valid()).withColumn("far", F.when(F.col("valid"), F.col("reach")))
+    marks = [F.round(F.percentile("far", q / 100), 2).alias(f"reach_p{q}") for q in (5, 25, 50, 75, 95)]
+    return rows.agg(F.count("*").alias("n_members"), F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("valid") & (F.size("reasons") > 0)).alias("n_flagged_kept"), *marks, F.max("far").alias("reach_max"), F.min("far").alias("reach_min"), F.round(F.sum("wall"), 1).alias("wall_total"))
 
 
 def loss_interval(value: Column, damage: tuple[Column, Column], share: tuple[Column, Column]) -> tuple[Column, Column, Column, Column]:
@@ -66,34 +90,39 @@ def cumulative_trapezoid(rows: DataFrame, keys: list[str], order: str, x: str, s
     return parts.withColumn(name, F.sum("_part").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_part")
 
 
-def constrictions(profile: DataFrame, keys: list[str], half: int, most: int, apart: int) -> DataFrame:
-    """Deepest narrows of a corridor: centred running maximum less the bed, then greedy suppression within ``apart`` bins.
+def constrictions(profile: DataFrame, keys: list[str], spacing: float, sites: int = 12, apart: float = 2000.0, reach: float = 1500.0, least: float = 5.0) -> DataFrame:
+    """Deepest narrows of a corridor: keys, bin, chainage, channel_depth, deposit of at most ``sites`` bins.
 
-    A corridor has a fixed number of bins, so a group is bounded.
+    Channel depth is the greatest bed within ``reach`` less the bin's own. Unknown beds count as the
+    corridor's greatest and are no site; a corridor with fewer than five known beds has none; sites
+    are ``least`` deep at least and ``apart`` from deeper ones, of equals the later bin first. A
+    corridor has a fixed number of bins, so a group of the greedy part is bounded. profile: keys, bin, min_bed, deposit.
     """
     import pandas as pd
 
-    w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-half, half)
-    rows = profile.where("min_bed is not null").withColumn("height", F.max("min_bed").over(w) - F.col("min_bed"))
+    half = max(3, round(reach / max(spacing, 1.0)))
+    corridor = Window.partitionBy(*keys)
+    known = profile.withColumns({"_n": F.count("min_bed").over(corridor), "_z": F.coalesce("min_bed", F.max("min_bed").over(corridor))}).where("_n >= 5")
+    depth = F.max("_z").over(corridor.orderBy("bin").rowsBetween(-half, half)) - F.col("_z")
+    rows = known.withColumns({"channel_depth": depth, "chainage": (F.col("bin") + 0.5) * spacing}).where((F.col("channel_depth") >= least) & F.col("min_bed").isNotNull())
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["height", "bin"], ascending=[False, True])
-        taken: list[int] = []
-        for b in group["bin"]:
-            if len(taken) < most and all(abs(b - t) > apart for t in taken):
-                taken.append(b)
-        out = group[group["bin"].isin(taken)].copy()
-        out["site"] = [taken.index(b) for b in out["bin"]]
-        return out
+        group = group.sort_values(["channel_depth", "bin"], ascending=[False, False])
+        taken: list[float] = []
+        for x in group["chainage"]:
+            if len(taken) < sites and all(abs(x - t) >= apart for t in taken):
+                taken.append(x)
+        return group[group["chainage"].isin(taken)]
 
     kinds = dict(rows.dtypes)
-    columns = [*keys, "bin", "height", "min_bed", "max_depth"]
-    return rows.select(*columns).groupBy(*keys).applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", site long")
+    columns = [*keys, "bin", "chainage", "channel_depth", "min_bed", "deposit"]
+    return rows.select(*columns).groupBy(*keys).applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def dam_break_chain(sites: DataFrame, width: float, bed_slope: float, to: Column) -> DataFrame:
-    """Index, probability, volume, breach and surge of each site."""
-    index = hazard.damming_index(F.col("max_depth"), F.col("height"))
-    volume = hazard.wedge_volume(F.col("height"), width, bed_slope)
-    out = sites.withColumns({"index": index, "volume": volume}).withColumn("peak", hazard.breach_peak(F.col("volume"), F.col("height")))
-    return out.withColumns({"probability": hazard.logistic(4 * (F.col("index") - 1)), "duration": hazard.breach_duration(F.col("volume"), F.col("peak")), "surge_s": hazard.surge_arrival_s(to - F.col("bin"), F.col("height"))})
+def dam_break_chain(sites: DataFrame, width: Column, to: Column) -> DataFrame:
+    """Index with its band, probabilities, dam, lake, breach and surge of each site with a deposit. sites: chainage, channel_depth, deposit."""
+    rows = sites.where("deposit > 0").withColumns({"index": hazard.damming_index(F.col("deposit"), F.col("channel_depth")), "dam_height": hazard.dam_height(F.col("deposit"), F.col("channel_depth"))})
+    rows = rows.withColumns({"index_low": F.col("index") * (1 - hazard.INDEX_BAND), "index_high": F.col("index") * (1 + hazard.INDEX_BAND), "volume": hazard.wedge_volume(F.col("dam_height"), width)})
+    peak, rise, total = hazard.breach_wave(F.col("volume"), F.col("dam_height"))
+    chances = {f"probability{x}": hazard.damming_probability(F.col(f"index{x}")) for x in ("", "_low", "_high")}
+    return rows.withColumns({**chances, "peak": peak, "rise_s": rise, "duration_s": total, "surge_s": hazard.surge_travel_s(to - F.col("chainage"), F.col("dam_height"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions import hazard, quantiles
 
-BUCKETS = 1024
+BUCKETS = 128
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -22,13 +22,13 @@ def _all(*keys: str) -> list[Column]:
 def counts_below(values: DataFrame, keys: list[str], x: str, sums: list[str]) -> DataFrame:
     """Adds for each sum c the total ``c_below`` over smaller x of the same keys.
 
-    x is cut into buckets by its range; running sums are taken inside a bucket and over the bucket
-    totals, so a single key is spread over up to ``BUCKETS`` tasks.
+    x is cut into buckets at approximate quantiles, so that far-off values don't crowd the others
+    together; running sums are taken inside a bucket and over the bucket totals, so a single key is
+    spread over up to ``BUCKETS`` tasks. Equal values share a bucket.
     """
-    span = values.groupBy(*_all(*keys)).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")).drop("0")
-    joined = values.join(F.broadcast(span), keys) if keys else values.crossJoin(F.broadcast(span))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS))).otherwise(0)
-    cut = joined.withColumn("_b", place.cast("int")).drop("_lo", "_hi")
+    marks = F.percentile_approx(x, [k / BUCKETS for k in range(1, BUCKETS)], 10_000).alias("_marks")
+    joined = values.join(values.groupBy(*keys).agg(marks), keys) if keys else values.crossJoin(F.broadcast(values.agg(marks)))  # one row without keys
+    cut = joined.withColumn("_b", F.size(F.filter("_marks", lambda m: m < F.col(x)))).drop("_marks")
     before = Window.partitionBy(*_all(*keys)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     starts = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums])
@@ -87,7 +87,7 @@ def kth_values(values: DataFrame, keys: list[str], x: str, level: float) -> Data
     """
     distinct = values.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*keys, x).agg(F.count("*").alias("c"))
     totals = distinct.groupBy(*keys).agg(F.sum("c").alias("n")).withColumn("k", quantiles.conformal_rank(F.col("n"), level))
-    ranked = counts_below(distinct, keys, x, ["c"]).join(F.broadcast(totals), keys)
+    ranked = counts_below(distinct, keys, x, ["c"]).join(totals, keys)
     return ranked.where((F.col("c_below") < F.col("k")) & (F.col("k") <= F.col("c_below") + F.col("c"))).select(*keys, "n", x)
 
 
@@ -97,4 +97,17 @@ def conformal(rows: DataFrame, keys: list[str], level: float) -> DataFrame:
     fitted = kth_values(scored, keys, "s", level).withColumnRenamed("s", "correction")
     low, high = hazard.corrected(F.col("low"), F.col("high"), F.col("correction"))
     share = lambda a, b: F.avg(F.col("truth").between(a, b).cast("double"))
-    return scored.join(F.broadcast(fitted), keys).groupBy(*keys, "n", "correction").agg(share(F.col("low"), F.col("high")).alias("before"), share(low, high).alias("after"), F.avg(high - low).alias("mean_width"))
+    return scored.join(fitted, keys).groupBy(*keys, "n", "correction").agg(share(F.col("low"), F.col("high")).alias("before"), share(low, high).alias("after"), F.avg(high - low).alias("mean_width"))
+
+
+def confusion(rows: DataFrame, truth: str, predicted: str, classes: int) -> DataFrame:
+    """truth and p0, p1, ...: how often each class was taken for each; classes that don't occur have zeros."""
+    counts = rows.groupBy(truth).pivot(predicted, list(range(classes))).count()
+    every = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias(truth))
+    return every.join(counts, truth, "left").na.fill(0).select(F.col(truth), *[F.col(str(k)).alias(f"p{k}") for k in range(classes)])
+
+
+def calibration_error(bins: DataFrame) -> DataFrame:
+    """n, Brier score and expected calibration error from the bins of ``reliability``."""
+    n = F.sum("n")
+    return bins.agg(n.alias("n"), (F.sum("squares") / n).alias("brier"), (F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / n).alias("ece"))

@@ -42,9 +42,10 @@ def solve(equations: DataFrame, n_basis: int, damping: tuple[float, ...]) -> lis
     return [(d, np.linalg.solve(ata + d * scale * np.eye(n_basis), atd)) for d in damping]
 
 
-def corner(solutions: list[tuple[float, np.ndarray]], misfits: list[float]) -> int:
-    """The inner point of greatest curvature of the curve of misfit against solution norm, both in logarithms."""
-    x, y = np.log(np.maximum(misfits, 1e-300)), np.log([max(np.linalg.norm(s), 1e-300) for _, s in solutions])
+def corner(misfits: list[float], norms: list[float]) -> int:
+    """The inner point of greatest signed curvature of the curve of misfit against solution norm, both in logarithms."""
+    x, y = (np.log(np.maximum(v, 1e-300)) for v in (misfits, norms))
     dx, dy = np.gradient(x), np.gradient(y)
-    bend = np.abs(dx * np.gradient(dy) - dy * np.gradient(dx)) / np.maximum((dx**2 + dy**2) ** 1.5, 1e-12)
-    return 1 + int(bend[1:-1].argmax())
+    size = (dx * dx + dy * dy) ** 1.5
+    bend = np.divide(dx * np.gradient(dy) - dy * np.gradient(dx), size, out=np.zeros_like(x), where=size > 0)
+    return 1 + int(bend[1:-1].argmax()) if len(x) > 2 else int(bend.argmax())

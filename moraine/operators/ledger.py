@@ -30,25 +30,26 @@ def overlaps(start: Column, end: Column, low: Column, high: Column, closed: tupl
 
 
 def record_entries(records: DataFrame, entries: DataFrame, reach_days: int, bucket_days: int = 90) -> DataFrame:
-    """(record_id, entry_id, by_event) of entries that share a record's event, or its area near its time.
+    """(record_id, entry_id, by_event, day, column, status, first_day, last_day) of entries that share a record's event, or its area near its time.
 
-    records: record_id, event_id, aoi_id, day; entries: entry_id, event_id, aoi_id, first_day, last_day
-    (null: undated, found by event only). Two equi-joins, the second also on time buckets, so that
+    records: record_id, event_id, aoi_id, day; entries: entry_id, event_id, aoi_id, column, status, first_day, last_day
+    (null: undated, found by event only). What the cells need travels with the pairs. Two equi-joins, the second also on time buckets, so that
     an area with many records and entries isn't multiplied out.
     """
-    by_event = records.join(entries, "event_id").select("record_id", "entry_id", F.lit(True).alias("by_event"))
+    with_pair = ("day", "column", "status", "first_day", "last_day")
+    by_event = records.select("record_id", "event_id", "day").join(entries.drop("aoi_id"), "event_id").select("record_id", "entry_id", F.lit(True).alias("by_event"), *with_pair)
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / bucket_days), F.floor(high / bucket_days)))
     left = records.select("record_id", "aoi_id", "day", cells(F.col("day") - reach_days, F.col("day") + reach_days).alias("cell"))
-    right = entries.where("first_day is not null and last_day >= first_day").select("entry_id", "aoi_id", "first_day", "last_day", cells(F.col("first_day"), F.col("last_day")).alias("cell"))
+    right = entries.where("first_day is not null and last_day >= first_day").select("entry_id", "aoi_id", "column", "status", "first_day", "last_day", cells(F.col("first_day"), F.col("last_day")).alias("cell"))
     near = left.join(right, ["aoi_id", "cell"]).where(overlaps(F.col("first_day"), F.col("last_day"), F.col("day") - reach_days, F.col("day") + reach_days))
-    both = by_event.unionByName(near.select("record_id", "entry_id", F.lit(False).alias("by_event")))
-    return both.groupBy("record_id", "entry_id").agg(F.bool_or("by_event").alias("by_event"))
+    both = by_event.unionByName(near.select("record_id", "entry_id", F.lit(False).alias("by_event"), *with_pair))
+    return both.groupBy("record_id", "entry_id").agg(F.bool_or("by_event").alias("by_event"), *[F.first(c).alias(c) for c in with_pair])
 
 
 def coverage(records: DataFrame, entries: DataFrame, columns: list[str], available: dict[str, int], ranks: dict[str, int], reach_days: int = 90) -> DataFrame:
     """A cell for each record, column and window: best status and number of entries; n/a before availability."""
     windows = [("pre", -reach_days, 0, True, False), ("event", -1, 1, True, True), ("post", 0, reach_days, False, True)]
-    found = record_entries(records, entries, reach_days).join(records.select("record_id", "day"), "record_id").join(entries.select("entry_id", "column", "status", "first_day", "last_day"), "entry_id")
+    found = record_entries(records, entries, reach_days)
     rank = F.coalesce(*[F.when(F.col("status") == s, r) for s, r in ranks.items()])
     undated = F.col("first_day").isNull() & F.col("by_event")
     inside = [F.when(undated | overlaps(F.col("first_day"), F.col("last_day"), F.col("day") + a, F.col("day") + b, (lc, rc)), F.lit(name)) for name, a, b, lc, rc in windows]

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moraine.checkpoints import cut
 from moraine.functions import quantiles as Q
 from moraine.functions.hazard import tier
 
@@ -34,6 +35,12 @@ class WatchConfig:
     year_days: float = 365.25
 
 
+def month_starts(first: Column, last: Column) -> Column:
+    """The first day of every month within [first, last]."""
+    start = F.when(F.dayofmonth(first) == 1, first).otherwise(F.add_months(F.trunc(first, "month"), 1))
+    return F.when(start <= last, F.sequence(start, last, F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
+
+
 def at_steps(samples: DataFrame, config: WatchConfig) -> DataFrame:
     """samples (unit_id, t, v, coh) once for each step whose (step - span, step] holds them."""
     last = F.lit(config.last_step).cast("long")
@@ -91,12 +98,13 @@ def _against_history(states: DataFrame, x: str, past: Window, config: WatchConfi
     return scaled.withColumn(f"zt_{x}", z).drop("_seen", "_centre", "_off", "_scale")
 
 
-def peer_scales(states: DataFrame, x: str) -> DataFrame:
-    """(step, centre, scale) of a value over all measurable units, the scored one included."""
+def peer_scales(states: DataFrame, *values: str) -> DataFrame:
+    """(step, x_c, x_s of each value x): centre and scale over all measurable units, the scored one included."""
     free = states.where("reason is null")
-    first = free.groupBy("step").agg(*[Q.linear(x, q).alias(n) for n, q in ((f"{x}_c", 0.5), ("q1", 0.25), ("q3", 0.75))])
-    mad = free.join(F.broadcast(first), "step").groupBy("step").agg(F.percentile(F.abs(F.col(x) - F.col(f"{x}_c")), F.lit(0.5)).alias("mad"))
-    return first.join(mad, "step").select("step", f"{x}_c", Q.robust_scale(F.col("mad"), F.col("q1"), F.col("q3")).alias(f"{x}_s"))
+    first = free.groupBy("step").agg(*[Q.linear(x, q).alias(f"{x}_{n}") for x in values for n, q in (("c", 0.5), ("q1", 0.25), ("q3", 0.75))])
+    mad = free.join(F.broadcast(first), "step").groupBy("step").agg(*[F.percentile(F.abs(F.col(x) - F.col(f"{x}_c")), F.lit(0.5)).alias(f"{x}_mad") for x in values])
+    scales = [F.col(f"{x}_c") for x in values] + [Q.robust_scale(F.col(f"{x}_mad"), F.col(f"{x}_q1"), F.col(f"{x}_q3")).alias(f"{x}_s") for x in values]
+    return first.join(mad, "step").select("step", *scales)
 
 
 def score(states: DataFrame, config: WatchConfig) -> DataFrame:
@@ -105,9 +113,12 @@ def score(states: DataFrame, config: WatchConfig) -> DataFrame:
     Peers are a row for each step, and steps are bounded by the configuration, hence the broadcast.
     """
     past = Window.partitionBy("unit_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    states = cut(states)  # read for histories and twice for peers
+    peers = F.broadcast(peer_scales(states, "velocity", "acceleration"))
     own = states.withColumn("history", F.count(F.when(F.col("reason").isNull(), 1)).over(past))
     for x in ("velocity", "acceleration"):
-        own = _against_history(own, x, past, config).join(F.broadcast(peer_scales(states, x)), "step", "left").withColumn(f"zs_{x}", Q.robust_z(F.col(x), F.col(f"{x}_c"), F.col(f"{x}_s")))
+        own = _against_history(own, x, past, config)
+    own = own.join(peers, "step", "left").withColumns({f"zs_{x}": Q.robust_z(F.col(x), F.col(f"{x}_c"), F.col(f"{x}_s")) for x in ("velocity", "acceleration")})
     reason = F.coalesce("reason", F.when(F.col("history") < config.min_history, "too_little_history"))
     value = F.greatest(F.least("zt_velocity", "zs_velocity"), F.least("zt_acceleration", "zs_acceleration"))
     out = own.withColumn("reason", reason).withColumn("score", F.when(F.col("reason").isNull(), value))

@@ -33,7 +33,7 @@ def match_negatives_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     a = ev.where("event_type = 'error'").select(F.col("event_id").alias("positive_id"), "t", "lat", "lon")
     b = ev.where("event_type = 'purchase' and value / 80 between 1 and 5").select(F.col("event_id").alias("negative_id"), F.col("t").alias("r_t"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    pairs = ranges.near(a, b, 60.001).where(F.abs(F.col("t") - F.col("r_t")).between(21_600, 172_800)).withColumn("km", rounded("km", 4)).where("km <= 60")
+    pairs = ranges.near(a, b, 60.001, times=("t", "r_t", 172_800)).where(F.abs(F.col("t") - F.col("r_t")) >= 21_600).withColumn("km", rounded("km", 4)).where("km <= 60")
     return ranges.first_k(pairs, ["positive_id"], [F.col("km"), F.col("negative_id")], 5).select("positive_id", "negative_id", "km", "rank")
 
 
@@ -103,7 +103,7 @@ def azimuthal_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with acq as (select distinct o_orderpriority as track, epoch_us(o_orderdate) // 86400000000 as day from orders where (epoch_us(o_orderdate) // 86400000000) % 12 = 0),
+with acq as (select distinct o_orderpriority as track, epoch_us(o_orderdate) // 86400000000 as day from orders),
 l as (select track, day as a, unnest([lead(day, 1) over w, lead(day, 2) over w]) as b from acq window w as (partition by track order by day)),
 short as (select track, a, b, 'short' as kind from l where b is not null and b - a <= 36),
 half as (select track, min(day) as a from acq group by track, year(date '1970-01-01' + day::int), month(date '1970-01-01' + day::int) > 6),
@@ -112,7 +112,7 @@ select track, a, b, max(kind) as kind from (select * from short union all select
 )
 def interferogram_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(micros("o_orderdate") / DAY_US)
-    acq = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("track"), day.alias("day")).where("day % 12 = 0").distinct()
+    acq = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("track"), day.alias("day")).distinct()
     return catalog.network(acq, 2, 36)
 
 

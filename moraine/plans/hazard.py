@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import geo, hazard
@@ -56,10 +56,66 @@ def ensemble_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arr.groupBy("transect").agg(F.count("*").alias("n"), F.count("arrival").alias("n_reach"), rounded(F.count("arrival") / F.count("*")).alias("reach"), *[rounded(Q.linear("arrival", q)).alias(n) for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))])
 
 
-@query(NEAREST + ", g as (select run, case when arrival < 60 then arrival - 60 when arrival > 90 then arrival - 90 when arrival is not null then 0 end as gap from arr), p as (select run, count(gap) as reached, round(avg(abs(gap)), 9) as mean_gap from g group by run) select run, reached, mean_gap from p order by reached desc, mean_gap, run limit 1")
+GAPS = NEAREST + """,
+t2 as (select r_regionkey as transect, 40.0::double + 20 * r_regionkey as low, case when r_regionkey % 2 = 0 then 70.0::double + 20 * r_regionkey else 40.0::double + 20 * r_regionkey end as high from region where r_regionkey in (1, 2)),
+g as (select run, transect, round(case when arrival < low then arrival - low when arrival > high then arrival - high when arrival >= low then 0 end, 2) as gap from arr left join t2 using (transect))"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes between each member's arrival and the recorded interval, where one is recorded."""
+    k = F.col("r_regionkey")
+    low = 40 + 20 * k.cast("double")
+    targets = table(spark, sf_dir, "region").where(k.isin(1, 2)).select(k.alias("transect"), low.alias("low"), F.when(k % 2 == 0, low + 30).otherwise(low).alias("high"))
+    return ensemble.mismatches(transect_nearest(spark, sf_dir), targets)
+
+
+@query(GAPS + ", p as (select run, count(gap) as reached, round(avg(abs(gap)), 3) as mean_gap from g group by run) select run, reached, mean_gap from p where reached > 0 order by reached desc, mean_gap, run limit 1")
 def closest_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = transect_nearest(spark, sf_dir).withColumn("gap", hazard.signed_gap(F.col("arrival"), F.lit(60.0), F.lit(90.0)))
-    return ensemble.closest_member(gaps, "run")
+    return ensemble.closest_member(_gaps(spark, sf_dir), "run")
+
+
+@query(GAPS + " select transect, count(gap) as n, min(gap) as least, round(quantile_cont(gap, 0.25), 2) as p25, round(quantile_cont(gap, 0.5), 2) as median, round(quantile_cont(gap, 0.75), 2) as p75, max(gap) as most, min(abs(gap)) as closest from g where gap is not null group by transect")
+def mismatch_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of the gaps at each transect with a recorded arrival."""
+    part = [F.round(Q.linear("gap", q), 2).alias(n) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
+    rows = _gaps(spark, sf_dir).where("gap is not null").groupBy("transect")
+    return rows.agg(F.count("gap").alias("n"), F.min("gap").alias("least"), *part, F.max("gap").alias("most"), F.min(F.abs("gap")).alias("closest"))
+
+
+@query(
+    """
+with i as (select l_orderkey % 500 as member, l_orderkey * 10 + l_linenumber as place, l_partkey as part, l_suppkey as supp, l_extendedprice as price, l_discount * 1e-5::double as balance, l_quantity / 20000 as repaired, l_extendedprice / 1000 as release, l_tax / 50 as shortfall, case when l_partkey % 40 = 0 then 1 else 0 end as floor_steps, l_suppkey * 100.0::double as reach, l_quantity as wall,
+    case when l_shipdate is not null and l_partkey % 5 = 0 then ['time limit ' || l_linenumber || ' s reached (moving)', 'mass 3.5 short'] when l_partkey % 7 = 0 then ['time limit 9 s reached (moving)'] else [] end as reasons, 30 * (1 + l_partkey % 3) as resolution from lineitem),
+l as (select *, abs(balance) <= 1e-6 and repaired <= 1e-3 * greatest(release, 1) and shortfall <= 1e-3 and floor_steps = 0 as valid from (select *, row_number() over (partition by member order by place desc, part desc, supp desc, price desc) as r from i) where r = 1)
+select count(*) as n_members, count(*) filter (where valid) as n_valid, count(*) filter (where not valid) as n_invalid, count(*) filter (where valid and len(reasons) > 0) as n_flagged_kept,
+  round(quantile_cont(reach, 0.05) filter (where valid), 2) as reach_p5, round(quantile_cont(reach, 0.25) filter (where valid), 2) as reach_p25, round(quantile_cont(reach, 0.5) filter (where valid), 2) as reach_p50, round(quantile_cont(reach, 0.75) filter (where valid), 2) as reach_p75, round(quantile_cont(reach, 0.95) filter (where valid), 2) as reach_p95,
+  max(reach) filter (where valid) as reach_max, min(reach) filter (where valid) as reach_min, round(sum(wall), 1) as wall_total from l"""
+)
+def ensemble_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest row of each member, which members are valid or flagged and kept, and how far the valid ones reach."""
+    return ensemble.index_summary(ensemble.latest_members(_member_index(spark, sf_dir), "member", "place"))
+
+
+@query(
+    """
+with i as (select l_orderkey % 500 as member, l_orderkey * 10 + l_linenumber as place, l_partkey as part, l_suppkey as supp, l_extendedprice as price, case when l_partkey % 5 = 0 then ['time limit ' || l_linenumber || ' s reached (moving)', 'mass 3.5 short'] when l_partkey % 7 = 0 then ['time limit 9 s reached (moving)'] else [] end as reasons from lineitem),
+l as (select unnest(reasons) as reason from (select *, row_number() over (partition by member order by place desc, part desc, supp desc, price desc) as r from i) where r = 1)
+select trim(split_part(regexp_replace(reason, '-?\\d+(?:\\.\\d+)?', 'N', 'g'), '(', 1)) as reason, count(*) as n from l group by 1"""
+)
+def ensemble_flag_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moraine.functions.text import normalised_reason
+
+    latest = ensemble.latest_members(_member_index(spark, sf_dir), "member", "place")
+    return latest.select(F.explode("reasons").alias("reason")).groupBy(normalised_reason(F.col("reason")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _member_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_partkey")
+    reasons = F.when(k % 5 == 0, F.array(F.concat(F.lit("time limit "), F.col("l_linenumber"), F.lit(" s reached (moving)")), F.lit("mass 3.5 short"))).when(k % 7 == 0, F.array(F.lit("time limit 9 s reached (moving)"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 500).alias("member"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_partkey", "l_suppkey", "l_extendedprice").alias("place"), (F.col("l_discount") * 1e-5).alias("balance_error"), (F.col("l_quantity") / 20000).alias("repaired"), (F.col("l_extendedprice") / 1000).alias("release"),
+        (F.col("l_tax") / 50).alias("shortfall"), F.when(k % 40 == 0, 1).otherwise(0).alias("floor_steps"), (F.col("l_suppkey") * F.lit(100.0)).alias("reach"), F.col("l_quantity").alias("wall"), reasons.alias("reasons"), F.lit(1.0).alias("max_depth"),
+    )
 
 
 @query(f"with {CELLS}, s as (select run, case when max(depth) >= 40 then 'depth 40 reached (run)' when sum(depth) < 4000 then 'mass 3.5 short' else null end as reason, sum(depth) as volume from cells group by run) select coalesce(trim(regexp_replace(split_part(reason, '(', 1), '-?\\d+(?:\\.\\d+)?', 'N', 'g')), 'valid') as reason, count(*) as n, round(sum(volume), 3) as volume, round(quantile_cont(volume, 0.5), 6) as median_volume from s group by 1")
@@ -118,20 +174,33 @@ def avoided_loss_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _losses(spark, sf_dir).groupBy("scenario").agg(F.count_if(free).alias("n_determined"), F.count_if(~free).alias("n_undetermined"), *[rounded(F.sum(F.when(free, F.col(c))), 1).alias(c) for c in ("avoided_low", "avoided_high")])
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beds that narrow in places, with the deposit left in each bin; a bin in ten is unknown."""
+    bed = F.when(F.col("bin") % 10 != 3, F.col("min_bed") - F.when(F.col("bin") % 7 == 0, 40.0).otherwise(0.0))
+    return profile(spark, sf_dir).select("run", "bin", bed.alias("min_bed"), (F.col("max_depth") - F.col("bin") % 9 * 5).alias("deposit"))
+
+
 @query()
 def damming_breach_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narrows of each member's corridor, and the breach of a dam there. Greedy suppression isn't SQL."""
-    sites = ensemble.constrictions(profile(spark, sf_dir), ["run"], 2, 5, 4)
-    return ensemble.dam_break_chain(sites, 120.0, 0.05, F.lit(39.0))
+    return ensemble.dam_break_chain(ensemble.constrictions(_sites(spark, sf_dir), ["run"], 250.0), F.lit(60.0), F.lit(9_000.0))
 
 
-@query(f"with {CELLS}, p as (select run, bin, min_bed, max(min_bed) over (partition by run order by bin rows between 2 preceding and 2 following) - min_bed as height, max_depth from profile), v as (select *, 0.5 * height ** 2 / 0.05 * 120 as volume from p), q as (select *, 0.0026 * (volume * height) ** 0.79 as peak from v) select run, bin, round(height, 6) as height, round(case when height > 0 then max_depth / height end, 6) as index, round(peak, 4) as peak, round(case when peak > 0 then 2 * volume / peak end, 4) as duration, round(case when height > 0 then (39 - bin) / (1.5 * sqrt(9.81 * height)) end, 6) as surge_s from q")
+@query(
+    f"""
+with {CELLS}, p as (select run, bin, case when bin % 10 <> 3 then min_bed - case when bin % 7 = 0 then 40 else 0 end end as bed, max_depth - bin % 9 * 5 as deposit from profile),
+z as (select *, coalesce(bed, max(bed) over (partition by run)) as z, count(bed) over (partition by run) as known from p),
+d as (select *, (bin + 0.5) * 250.0::double as chainage, max(z) over (partition by run order by bin rows between 6 preceding and 6 following) - z as channel from z where known >= 5),
+s as (select *, deposit / greatest(channel, 1e-6) as index, least(deposit, channel) as height from d where channel >= 5 and bed is not null and deposit > 0),
+v as (select *, 0.5::double * height * height * 60 / 0.01::double as volume from s), q as (select *, 0.0026::double * (greatest(volume, 1) * greatest(height, 0.1)) ** 0.79::double as peak from v)
+select run, bin, round(channel, 6) as channel_depth, round(index, 6) as index, round(index * 0.5, 6) as index_low, round(index * 1.5, 6) as index_high, height as dam_height, round(1 / (1 + exp(-(index - 1) / 0.4::double)), 6) as probability, round(volume, 3) as volume, round(peak, 4) as peak,
+  round(2 * greatest(volume, 1) / greatest(peak, 1e-6) / 3, 4) as rise_s, round(2 * greatest(volume, 1) / greatest(peak, 1e-6), 4) as duration_s, round(case when 9000 - chainage > 0 then (9000 - chainage) / (1.5::double * sqrt(9.80665::double * greatest(height, 1))) end, 4) as surge_s from q"""
+)
 def dam_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same quantities of every bin, before any suppression."""
-    w = Window.partitionBy("run").orderBy("bin").rowsBetween(-2, 2)
-    rows = profile(spark, sf_dir).withColumn("height", F.max("min_bed").over(w) - F.col("min_bed"))
-    out = ensemble.dam_break_chain(rows, 120.0, 0.05, F.lit(39.0))
-    return out.select("run", "bin", rounded("height").alias("height"), rounded("index").alias("index"), rounded("peak", 4).alias("peak"), rounded("duration", 4).alias("duration"), rounded("surge_s").alias("surge_s"))
+    """The same quantities of every bin that is deep enough, before any suppression."""
+    sites = ensemble.constrictions(_sites(spark, sf_dir), ["run"], 250.0, sites=40, apart=0.0)
+    out = ensemble.dam_break_chain(sites, F.lit(60.0), F.lit(9_000.0))
+    return out.select("run", "bin", "dam_height", *[rounded(c).alias(c) for c in ("channel_depth", "index", "index_low", "index_high", "probability")], rounded("volume", 3).alias("volume"), *[rounded(c, 4).alias(c) for c in ("peak", "rise_s", "duration_s", "surge_s")])
 
 
 @query(

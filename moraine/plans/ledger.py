@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.checkpoints import cut
 from moraine.operators import ledger
 from moraine.plans.base import DAY_US, micros, query
 from moraine.tables import table
@@ -98,10 +99,10 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best status and count of each record, column and window."""
     dated = F.col("l_quantity") <= 48
     first = F.when(dated, _days("l_shipdate"))
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = cut(table(spark, sf_dir, "lineitem").select(
         F.monotonically_increasing_id().alias("entry_id"), F.col("l_suppkey").alias("event_id"), (F.col("l_partkey") % 25).cast("int").alias("aoi_id"), F.col("l_linestatus").alias("column"), F.col("l_returnflag").alias("status"),
         first.alias("first_day"), (first + F.col("l_quantity").cast("long")).alias("last_day"),
-    )
+    ))
     records = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("aoi_id"), (10000 + F.col("s_suppkey") % 1000).alias("day"))
     return ledger.coverage(records, rows, ["O", "F"], {"O": 0, "F": 10050}, {"A": 0, "R": 1, "N": 2})
 
@@ -122,16 +123,16 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with a as (select doc_id, md5(coalesce(text, '')) as h from documents where doc_id % 7 <> 3),
-b as (select doc_id, case when doc_id % 11 = 5 then 'stale' else md5(coalesce(text, '')) end as h from documents where doc_id % 5 <> 2)
+with a as (select doc_id, md5(coalesce(text, '')) as h from documents),
+b as (select case when doc_id % 5 = 2 then -doc_id else doc_id end as doc_id, case when doc_id % 11 = 5 then 'stale' else md5(coalesce(text, '')) end as h from documents)
 select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'removed' when a.doc_id is null then 'added' else 'changed' end as kind
 from a full join b on a.doc_id = b.doc_id where a.h is distinct from b.h"""
 )
 def index_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys by which two hash indexes differ."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    a = docs.where("doc_id % 7 <> 3")
-    b = docs.where("doc_id % 5 <> 2").withColumn("h", F.when(F.col("doc_id") % 11 == 5, "stale").otherwise(F.col("h")))
+    a = docs
+    b = docs.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 2, -F.col("doc_id")).otherwise(F.col("doc_id"))).withColumn("h", F.when(F.abs("doc_id") % 11 == 5, "stale").otherwise(F.col("h")))
     return ledger.key_diff(a, b, "doc_id", "h")
 
 

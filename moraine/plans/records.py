@@ -10,7 +10,6 @@ from moraine.functions import quantiles as Q
 from moraine.operators import contracts, evaluate, graph, grids, inversion
 from moraine.plans.base import DAY_US, micros, query, rounded
 from moraine.streaming import detector
-from moraine.streaming.alerts import alert_xml
 from moraine.tables import table
 
 COLLAPSED = "nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
@@ -90,18 +89,6 @@ def record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.record_diff(_nested(spark, sf_dir, False), _nested(spark, sf_dir, True), ["id"], text.is_volatile(F.col("path")))
 
 
-@query(
-    """
-select l_suppkey as station, count(*) as n, round(quantile_cont(l_extendedprice, 0.05) / 1.5, 6) as low, round(quantile_cont(l_extendedprice, 0.5), 4) as mid, round(quantile_cont(l_extendedprice, 0.95) * 1.5, 6) as high,
-  quantile_cont(l_extendedprice, 0.05) < quantile_cont(l_extendedprice, 0.5) and quantile_cont(l_extendedprice, 0.5) < quantile_cont(l_extendedprice, 0.95) as strict from lineitem group by 1"""
-)
-def mass_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5/50/95 spread with widened ends, and whether it is strict."""
-    p = {n: Q.linear("l_extendedprice", q) for n, q in (("low", 0.05), ("mid", 0.5), ("high", 0.95))}
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station")).agg(F.count("*").alias("n"), *[x.alias(n) for n, x in p.items()])
-    return rows.select("station", "n", rounded(F.col("low") / 1.5).alias("low"), rounded("mid", 4).alias("mid"), rounded(F.col("high") * 1.5).alias("high"), ((F.col("low") < F.col("mid")) & (F.col("mid") < F.col("high"))).alias("strict"))
-
-
 @query(
     """
 with x as (select vec_id, unnest(embedding)::double as v, unnest(range(len(embedding))) as i from embeddings where embedding is not null),
@@ -171,14 +158,47 @@ def river_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(_edges(spark, sf_dir), 4)
 
 
+RATE = 4.0
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.floor(micros("ts") / 1_000_000).alias("t"), "value")
+    """Vectors as chunks of their label's channel, 16 s each; seven seconds are missing after every twenty. Every fifth chunk swings slowly."""
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("n", n)
+    slow = F.transform("embedding", lambda x, i: x.cast("double") + F.when(F.floor(F.col("n") / 5) % 2 == 0, 3 * F.sin((F.col("n") * 64 + i) * 0.1)).otherwise(0.0))
+    start = (F.col("n") * 16 + F.floor(F.col("n") / 20) * 7) * 1_000_000
+    return rows.select(F.col("label").alias("channel"), start.alias("start_us"), F.lit(RATE).alias("rate"), slow.alias("samples"))
 
 
 @query()
 def detector_stub_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the streaming detector fires over the same chunks."""
-    return detector.detect_batch(_chunks(spark, sf_dir))
+    """Every ratio that the streaming detector computes over the same chunks, and which of them fire."""
+    return detector.ratios_batch(_chunks(spark, sf_dir), detector.DetectorConfig(high=(0.5, 2.0), ratio=5.0))
+
+
+@query("select count(*)::int as n, 0 as n_other from (select 1 where 1 = 0)")
+def golden_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the detector differ nowhere."""
+    runs = [detector_stub_batch(spark, sf_dir) for _ in range(2)]
+    return detector.golden_differences(*runs).agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("problem") != "ratio").cast("int").alias("n_other"))
+
+
+@query(
+    """
+with m as (select event_id as id, case when event_id % 11 = 0 then 'no json' when event_id % 13 = 0 then '{"schema_version": "1.0.0"}' else 'x' end as raw, case event_id % 5 when 0 then 'detection' when 1 then 'other' else 'waveform' end as name, case event_id % 7 when 0 then '2.1.0' when 1 then 'x' else '1.4.0' end as version, event_id % 17 = 0 as bad from events)
+select case when raw = 'no json' then 'malformed envelope' when raw <> 'x' then 'schema_name or schema_version missing' when name = 'other' then 'unknown schema' when version = 'x' then 'malformed schema_version' when version = '2.1.0' then 'major version mismatch' when bad then 'payload does not satisfy its schema' else 'none' end as problem, count(*) as n from m group by 1"""
+)
+def decoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes by what is wrong with them."""
+    k = F.col("event_id")
+    name = F.when(k % 5 == 0, "detection").when(k % 5 == 1, "other").otherwise("waveform")
+    version = F.when(k % 7 == 0, "2.1.0").when(k % 7 == 1, "x").otherwise("1.4.0")
+    payload = F.when(k % 17 == 0, F.lit("5")).otherwise(F.to_json(F.struct("user_id", "value")))
+    good = F.concat(F.lit('{"schema_name":"'), name, F.lit('","schema_version":"'), version, F.lit('","payload":'), payload, F.lit("}"))
+    raw = F.when(k % 11 == 0, "no json").when(k % 13 == 0, '{"schema_version": "1.0.0"}').otherwise(good)
+    registry = {"detection": ("1.0.0", "user_id long, value double"), "waveform": ("1.2.0", "user_id long")}
+    out = detector.decoded(table(spark, sf_dir, "events").select(raw.alias("raw")), registry)
+    return out.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -220,22 +240,6 @@ def replay_latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("mode", "n", "fired").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
 
 
-@query(
-    """
-with d as (select event_id, user_id, event_type, epoch_us(ts) // 1000000 as t, value, cast(props->>'$.k' as int) as k, ts from events where value > 150)
-select translate(event_type || ' ' || user_id, ' ,<&', '----') || '-' || strftime(ts, '%Y%m%dT%H%M%S') as identifier, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as sent,
-  case when value / 10 >= 40 then 'Extreme' when value / 10 >= 25 then 'Severe' when value / 10 >= 10 then 'Moderate' else 'Minor' end as severity,
-  case when k = 0 then 'Unknown' when k <= 15 then 'Immediate' when k <= 60 then 'Expected' else 'Future' end as urgency, event_id from d"""
-)
-def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alert for each strong detection, with banded severity and urgency."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    ts = F.col("ts").cast("timestamp_ntz")
-    rows = table(spark, sf_dir, "events").where("value > 150")
-    name = F.concat_ws(" ", "event_type", "user_id")
-    return rows.select(text.identifier(name, ts).alias("identifier"), text.stamp(ts).alias("sent"), hazard.severity(F.col("value") / 10).alias("severity"), hazard.urgency(F.when(k > 0, k)).alias("urgency"), "event_id")
-
-
 @query(
     """
 select (epoch_us(o_orderdate) // 86400000000)::bigint as day, count(*) as n, count(distinct o_orderpriority) as n_levels, count(distinct o_orderpriority) > 1 as mixed from orders
@@ -287,10 +291,5 @@ def chip_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shifts between a chip and the same chip moved by one row and two columns."""
     e = F.col("embedding")
     moved = F.concat(F.slice(e, 55, 10), F.slice(e, 1, 54))
-    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", signal.match_chip_udf(8, 3)(e, moved).alias("m"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", signal.match_chip_udf(8, 3)(e, moved).alias("m"))
     return rows.select("vec_id", "m.*")
-
-
-@query()
-def alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alert_xml(alert_messages(spark, sf_dir), "monitor@example.org")

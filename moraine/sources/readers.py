@@ -106,3 +106,91 @@ def catalogue_items(layers: DataFrame) -> DataFrame:
     """A JSON item for each time, listing the layers valid then. layers: time, layer, valid."""
     held = layers.groupBy("time").agg(F.sort_array(F.collect_set(F.when(F.col("valid"), F.col("layer")))).alias("layers"))
     return held.select("time", F.to_json(F.struct(F.lit("Feature").alias("type"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), "layers")).alias("item"))
+
+
+def station_rows(inventory: DataFrame, centre: str, origin: tuple[float, float] | None = None) -> DataFrame:
+    """One row a channel of nested networks (code, restricted, stations[code, channels[code, location, latitude, longitude, elevation, rate]]), with key and distance from an origin, nearest first and those without a distance last."""
+    from moraine.functions import geo
+
+    rows = inventory.select(F.col("code").alias("network"), "restricted", F.explode("stations").alias("s")).select("network", "restricted", F.col("s.code").alias("station"), F.explode("s.channels").alias("c"))
+    km = geo.haversine_km(F.lit(float(origin[0])), F.lit(float(origin[1])), F.col("c.latitude"), F.col("c.longitude")) if origin else F.lit(None).cast("double")
+    location = F.coalesce("c.location", F.lit(""))
+    out = rows.select(
+        F.concat_ws(".", "network", "station", location, "c.code").alias("key"), "network", "station", location.alias("location"), F.col("c.code").alias("channel"), "c.latitude", "c.longitude", F.col("c.elevation").alias("elevation_m"),
+        F.when(F.col("c.rate") != 0, F.col("c.rate")).alias("rate_hz"), km.alias("distance_km"), F.lit(centre).alias("data_centre"), (F.col("restricted") != "open").alias("is_restricted"),
+    )
+    return out.orderBy(F.asc_nulls_last("distance_km"), "key")
+
+
+def cited_observations(observations: DataFrame, station: str, start, end, day_start, day_end) -> DataFrame:
+    """Readings of a station in a closed window; one without a time belongs to the event's day and matches any window that meets it. None is an error."""
+    inside = F.when(F.col("time_utc").isNotNull(), F.col("time_utc").between(start, end)).otherwise((F.lit(start) <= F.lit(day_end)) & (F.lit(end) >= F.lit(day_start)))
+    out = observations.where((F.col("station_id") == station) & inside)
+    if not out.limit(1).count():
+        raise LookupError(f"no reported observations for {station!r} in the window")
+    return out
+
+
+def first_matching(events: DataFrame, limit: int, **query) -> DataFrame:
+    """What ``matching`` keeps, the first so many rows in the order of ``ordinal``."""
+    return matching(events, **query).orderBy("ordinal").limit(limit)
+
+
+def index_rows(records: DataFrame, key: str, plain: list[str], ranges: str, prefixes: dict[str, str], sources: str, document: str) -> DataFrame:
+    """One wide row a nested record: plain columns, low, high and best of each range by prefix, number of sources and the document's hash, in order of the key."""
+    parts = [F.try_element_at(ranges, F.lit(field))[part].alias(f"{prefix}_{part}") for prefix, field in prefixes.items() for part in ("low", "high", "best")]
+    return records.select(key, *plain, *parts, F.size(sources).alias("n_sources"), F.sha2(document, 256).alias("json_sha256")).orderBy(key)
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """The whole index, written anew."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """An index, only the columns asked for."""
+    found = spark.read.parquet(path)
+    return found.select(*columns) if columns else found
+
+
+def write_window_store(windows: DataFrame, path: str) -> None:
+    """windows: window, slot, component, samples, valid; a folder a range of windows, so that a read of some prunes to theirs."""
+    windows.withColumn("part", F.floor(F.col("window") / 1024)).repartition("part").sortWithinPartitions("window", "slot", "component").write.partitionBy("part").mode("overwrite").parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The rows of windows first to last; other folders aren't opened."""
+    return spark.read.parquet(path).where(F.col("part").between(first // 1024, last // 1024) & F.col("window").between(first, last)).drop("part")
+
+
+def write_unit_cube(cube: DataFrame, path: str, provenance: dict[str, str]) -> None:
+    """A cube of units by time with what it was made from, which each column's metadata carries."""
+    noted = cube.select(*[F.col(c).alias(c, metadata={"provenance": provenance}) for c in cube.columns])
+    noted.write.partitionBy("day").mode("overwrite").parquet(path)
+
+
+def force_csv(histories: DataFrame, path: str) -> None:
+    """Samples of force histories (key, i, up, north, east) as CSV with a header, sorted within each file."""
+    histories.repartitionByRange("key", "i").sortWithinPartitions("key", "i").write.option("header", True).mode("overwrite").csv(path)
+
+
+def markdown_lines(cells: DataFrame, rows: list[str], column: str, names: list[str], value: str) -> DataFrame:
+    """(place, line): a table of cells (row keys, column, value) as Markdown, header and rule first, then the rows by their keys. A dash where there is no cell. names: the columns, in order."""
+    wide = cells.groupBy(*rows).pivot(column, names).agg(F.first(value))
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[text(c) for c in [*rows, *names]]), F.lit(" |"))
+    head = [f"| {' | '.join([*rows, *names])} |", "|" + "---|" * (len(rows) + len(names))]
+    top = F.explode(F.array(*[F.struct(F.array(F.lit(k)).cast("array<string>").alias("place"), F.lit(x).alias("line")) for k, x in enumerate(head)]))
+    header = cells.sparkSession.range(1).select(top.alias("t")).select("t.*")
+    body = wide.select(F.concat(F.array(F.lit("2")), F.array(*[F.col(c).cast("string") for c in rows])).alias("place"), line.alias("line"))
+    return header.unionByName(body).orderBy("place")
+
+
+def merged_tables(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """The union of tables with the name of each; a key in more than one row is an error that names it, raised when the result is read."""
+    rows = None
+    for name, df in tables.items():
+        part = df.withColumn("table", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    twice = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return rows.join(twice, key).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("duplicate key "), F.col(key).cast("string"))))).drop("_n")
