@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 BATCH_BYTES = 4_000_000
 
@@ -45,8 +45,8 @@ def read_model(path: str) -> tuple[tuple[str, float, int], ...]:
     if trained.model_type != 2 or not trained.byte_fallback or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
         raise ValueError("only identity-normalised BPE models with byte fallback and a dummy prefix are supported")
     pieces = tuple((p.piece, p.score, p.type) for p in model.pieces)
-    if any(kind == 4 or kind == 1 and MARK in piece.lstrip(MARK) for piece, _, kind in pieces):
-        raise ValueError("user-defined pieces and pieces that span words are not supported")
+    if any(kind == 4 or kind == 1 and (MARK in piece.lstrip(MARK) or "\n" in piece[1:]) for piece, _, kind in pieces):
+        raise ValueError("user-defined pieces and pieces that span words or lines are not supported")
     return pieces
 
 

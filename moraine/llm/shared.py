@@ -1,29 +1,12 @@
-"""Cutting of lineage in the folder that the cluster shares."""
+"""The folder that the cluster shares, cutting of lineage in it, and removal of what is done with."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from moraine.checkpoints import cut, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only for a local session without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="moraine-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint, so that a lost executor loses nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+__all__ = ["cut", "remove", "shared_folder"]
 
 
 def remove(spark: SparkSession, folder: str) -> None:

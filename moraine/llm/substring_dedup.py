@@ -14,8 +14,8 @@ Blocks grow with the root of the table up to 64 MB, and there are as many bucket
 a packed row keeps many fingerprints; a block's work doesn't depend on their number.
 
 Below the last level four bytes of a fingerprint go to its bucket; they only filter, and as a bucket's
-size is bounded, so is the share of collisions, which cost nothing but work. At the last level
-fingerprints have 64 bits, and 32 of a second one from another hash of the words.
+size is bounded, so is the share of collisions, which cost nothing but work. At the last level six bytes
+go, beside the bucket's own seven bits or more, and four of a second fingerprint from another hash of the words.
 
 Nulls, ties and odd inputs: a null text has no words; a null doc_id counts as smaller than
 all others, and such rows are dealt by their text; rows that repeat a doc_id are kept apart, ordered by their text, and count as one
@@ -102,8 +102,9 @@ class Block:
         owner = self.ids[np.searchsorted(self.first, first, "right") - 1] if last else None
         packed, owners = [], []
         for i, j in zip(cuts[:-1], cuts[1:]):
-            packed.append(prints[i:j].tobytes() + extra[i:j].tobytes() if last else prints[i:j].astype(np.uint32).tobytes())
-            owners.append(owner[i:j].tobytes() if last else None)
+            low = prints[i:j].astype(np.uint32).tobytes()
+            packed.append((prints[i:j] >> np.uint64(32)).astype(np.uint16).tobytes() + low + extra[i:j].tobytes() if last else low)
+            owners.append(_offsets(owner[i:j]) if last else None)
         return pa.table([pa.array(np.full(len(held), key, np.int32)), pa.array(held.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(owners, pa.binary())], schema=PACKED)
 
     def receive(self, flags: pa.Table, bits: int, last: bool) -> np.ndarray:
@@ -119,15 +120,29 @@ class Block:
         return out
 
 
+def _offsets(ids: np.ndarray) -> bytes:
+    """The least id, and the others from it in four bytes each if they fit, else all in eight."""
+    least = int(ids.min())
+    if int(ids.max()) - least < 1 << 32:
+        return np.int64(least).tobytes() + (ids - least).astype(np.uint32).tobytes()
+    return np.int64(least).tobytes() + ids.tobytes()
+
+
+def _from_offsets(data: bytes, n: int) -> np.ndarray:
+    if len(data) == 8 + 4 * n:
+        return np.frombuffer(data, np.uint32, n, 8).astype(np.int64) + np.frombuffer(data, np.int64, 1)
+    return np.frombuffer(data, np.int64, n, 8)
+
+
 def _answer(rows: pa.Table, last: bool) -> pa.Table:
     """One bucket: a bit for each fingerprint of each block."""
     sent = rows["prints"].to_pylist()
-    sizes = [len(x) // (12 if last else 4) for x in sent]
+    sizes = [len(x) // (10 if last else 4) for x in sent]
     ends = np.cumsum(sizes)
     if last:
-        a = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(sent, sizes)])
-        b = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(sent, sizes)])
-        owner = np.concatenate([np.frombuffer(x, np.int64) for x in rows["owners"].to_pylist()])
+        a = np.concatenate([(np.frombuffer(x, np.uint16, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(x, np.uint32, n, 2 * n) for x, n in zip(sent, sizes)])
+        b = np.concatenate([np.frombuffer(x, np.uint32, n, 6 * n) for x, n in zip(sent, sizes)])
+        owner = np.concatenate([_from_offsets(x, n) for x, n in zip(rows["owners"].to_pylist(), sizes)])
         order = np.lexsort((np.repeat(rows["block"].to_numpy(), sizes), owner, b, a))
         same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
         flag = np.zeros(len(a), bool)

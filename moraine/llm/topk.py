@@ -144,7 +144,7 @@ class Search:
         i, j = np.nonzero((scores >= self.least[rows, None]) & (ids[None, :] != self.ids[rows, None]))
         self.more.append((rows[i], scores[i, j], ids[j]))
         self.waiting += len(i)
-        if self.waiting > max(100_000, len(self.held[0])):
+        if self.waiting > 8 * self.k * len(self.ids):
             self.best()
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
