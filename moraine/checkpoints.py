@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only for a session in one process without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="moraine-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from spark.checkpoint.dir; a temporary folder serves a local session without one."""
+    """The same rows read from a reliable checkpoint, so that a lost executor loses nothing."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            named = tempfile.mkdtemp(prefix="moraine-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -69,3 +69,22 @@ def is_volatile(key: Column) -> Column:
 
 def forbidden_tokens(name: Column, tokens: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(name), t))
+
+
+CROSSREF = "status string, message struct<DOI string, title array<string>, author array<struct<family string, given string, name string>>, publisher string, `container-title` array<string>, `published-print` struct<`date-parts` array<array<int>>>, `published-online` struct<`date-parts` array<array<int>>>, published struct<`date-parts` array<array<int>>>, issued struct<`date-parts` array<array<int>>>, created struct<`date-parts` array<array<int>>>>"
+
+
+def crossref(doi: Column, status: Column, body: Column) -> Column:
+    """Struct of a work record; ``problem`` says why a response isn't one: not found, no JSON, no record, or that of another work."""
+    doc = F.from_json(body, CROSSREF)
+    m = doc["message"]
+    year = F.coalesce(*[F.get(F.get(m[k]["date-parts"], F.lit(0)), F.lit(0)) for k in ("published-print", "published-online", "published", "issued", "created")])
+    person = lambda p: F.coalesce(F.when(F.coalesce(p["family"], F.lit("")) != "", F.concat_ws(", ", p["family"], F.nullif(p["given"], F.lit("")))), p["name"])
+    problem = (
+        F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string"))).when(F.get_json_object(body, "$").isNull(), "non-JSON").when(m.isNull() | ~doc["status"].eqNullSafe(F.lit("ok")), "no work record")
+        .when(F.lower(F.coalesce(m["DOI"], F.lit(""))) != F.lower(doi), "another DOI")
+    )
+    return F.struct(
+        m["DOI"].alias("doi"), collapsed(unescaped(F.get(m["title"], F.lit(0)))).alias("title"), F.array_compact(F.transform(m["author"], person)).alias("authors"), year.alias("year"), m["publisher"].alias("publisher"),
+        F.get(m["container-title"], F.lit(0)).alias("container"), F.sha2(body, 256).alias("sha256"), problem.alias("problem"),
+    )

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moraine.checkpoints import cut
+from moraine.functions import geo
+from moraine.operators import graph
 from moraine.operators.ranges import first_k, islands
 
 
@@ -52,27 +55,41 @@ def scenes(candidates: DataFrame, key: str, day: str, cloud: str, most: int, lim
     return first_k(good, [key], [F.col(cloud).asc(), F.col(day).desc()], most)
 
 
-def greedy_clusters(rows: DataFrame, seconds: int, km: float) -> DataFrame:
-    """Adds ``cluster``: in time order, a row joins the latest cluster with a member near in time and space.
+def greedy_clusters(rows: DataFrame, seconds: int, km: float, lat_limit: float = 60.0) -> DataFrame:
+    """(id, block, cluster): in time order, a row joins the latest cluster with a member near in time and space; a cluster is named by its first row.
 
     Two clusters that a row would bridge stay apart, so these are not connected components. Runs
-    without a pause of ``seconds`` are independent and are the groups; such a run must fit a task.
-    rows: id, t (seconds), lat, lon.
+    without a pause of ``seconds`` are independent, and in a run so are groups of cells, as wide as ``km`` at the
+    latitude limit, that don't touch; such a group must fit a task. rows: id, t (seconds), lat, lon.
     """
     import numpy as np
 
     from moraine.functions.geo import EARTH_KM
 
-    def cluster(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["t", "id"], kind="stable")
-        t, lat, lon = (block[c].to_numpy(float) for c in ("t", "lat", "lon"))
-        lat, lon = np.radians(lat), np.radians(lon)
-        label = np.full(len(block), -1)
-        for i in range(len(block)):
-            low = np.searchsorted(t[:i], t[i] - seconds)
-            h = np.sin((lat[low:i] - lat[i]) / 2) ** 2 + np.cos(lat[low:i]) * np.cos(lat[i]) * np.sin((lon[low:i] - lon[i]) / 2) ** 2
-            close = label[low:i][2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))) <= km]
-            label[i] = close.max() if len(close) else label[:i].max(initial=-1) + 1
-        return block.assign(cluster=label)[["id", "block", "cluster"]]
-
-    return islands(rows, "t", seconds, 86_400).groupBy("block").applyInPandas(cluster, "id long, block long, cluster long")
+    dlat, dlon = geo.offsets_deg(km, lat_limit)
+    columns = max(1, int(360 // dlon))
+    y, x = F.floor(F.col("lat") / dlat), F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / (360.0 / columns))
+    placed = cut(islands(rows, "t", seconds, 86_400).withColumns({"_y": y, "_x": x}).withColumn("cell", F.xxhash64("block", "_y", "_x")))
+    cells = placed.select("block", "_y", "_x", "cell").distinct()
+    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    asked = cells.withColumn("d", shift).select("block", F.col("cell").alias("src"), (F.col("_y") + F.col("d.i")).alias("_y"), F.pmod(F.col("_x") + F.col("d.j"), F.lit(columns)).alias("_x"))
+    touching = asked.join(cells, ["block", "_y", "_x"]).select("src", F.col("cell").alias("dst")).where("src <> dst")
+    found = graph.components(touching)
+    grouped = placed.join(found, placed["cell"] == found["node"], "left").withColumn("region", F.coalesce("component", "cell"))
+
+    def cluster(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "id"], kind="stable")
+        t, lat, lon = (part[c].to_numpy(float) for c in ("t", "lat", "lon"))
+        lat, lon, ids = np.radians(lat), np.radians(lon), part["id"].to_numpy()
+        label, first = np.full(len(part), -1), []
+        low = np.searchsorted(t, t - seconds)
+        for i in range(len(part)):
+            a = slice(low[i], i)
+            h = np.sin((lat[a] - lat[i]) / 2) ** 2 + np.cos(lat[a]) * np.cos(lat[i]) * np.sin((lon[a] - lon[i]) / 2) ** 2
+            close = label[a][2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))) <= km]
+            if not len(close):
+                first.append(ids[i])
+            label[i] = close.max() if len(close) else len(first) - 1
+        return pd.DataFrame({"id": ids, "block": part["block"], "cluster": np.array(first)[label]})
+
+    return grouped.select("id", "t", "lat", "lon", "block", "region").groupBy("block", "region").applyInPandas(cluster, "id long, block long, cluster long")

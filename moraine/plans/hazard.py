@@ -137,26 +137,26 @@ def profile_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOSS = """
 with x as (
-  select l_orderkey % 50 as scenario, s_nationkey as transect, p_type as asset, l_extendedprice as price, case when l_linenumber < 7 then l_quantity / 10 end as depth, case when l_suppkey % 9 > 0 then l_partkey % 120 end::double as lead,
+  select l_orderkey % 50 as scenario, case when l_suppkey % 11 > 0 then s_nationkey end as transect, p_type as asset, case when l_tax > 0 then l_extendedprice end as price, case when l_linenumber < 7 then l_quantity / 10 end as depth, case when l_suppkey % 9 > 0 then l_partkey % 120 end::double as lead,
     case p_type when 'ECONOMY' then 1.5 when 'SMALL' then 2.5 else 4.0 end::double as d0
   from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey),
 f as (
-  select *, case when lead is null then 'no_arrival' when depth is null then 'no_flow_depth' end as reason, price * least(1, 1 - exp(-((depth / (d0 * 1.2)) ** 2))) as lo, price * least(1, 1 - exp(-((depth / (d0 * 0.8)) ** 2))) as hi,
+  select *, case when transect is null then 'no_transect' when lead is null then 'no_arrival' when depth is null then 'no_flow_depth' when price is null then 'no_replacement_value' end as reason, price * least(1, 1 - exp(-((depth / (d0 * 1.2)) ** 2))) as lo, price * least(1, 1 - exp(-((depth / (d0 * 0.8)) ** 2))) as hi,
     least(1, greatest(0, (lead - 10) / 50)) * 0.3 as s0, least(1, greatest(0, (lead - 10) / 50)) * 0.6 as s1 from x),
 g as (select *, lo * (1 - s1) as loss_low, hi * (1 - s0) as loss_high from f)"""
 
 
 def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     part, supplier = table(spark, sf_dir, "part").select("p_partkey", "p_type"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     rows = items.join(part, items["l_partkey"] == part["p_partkey"]).join(supplier, items["l_suppkey"] == supplier["s_suppkey"])
     depth, lead = F.when(F.col("l_linenumber") < 7, F.col("l_quantity") / 10), F.when(F.col("l_suppkey") % 9 > 0, F.col("l_partkey") % 120).cast("double")
     d0 = F.when(F.col("p_type") == "ECONOMY", 1.5).when(F.col("p_type") == "SMALL", 2.5).otherwise(4.0)
-    rows = rows.select((F.col("l_orderkey") % 50).alias("scenario"), F.col("s_nationkey").alias("transect"), F.col("p_type").alias("asset"), F.col("l_extendedprice").alias("price"), depth.alias("depth"), lead.alias("lead"), d0.alias("d0"))
+    rows = rows.select((F.col("l_orderkey") % 50).alias("scenario"), F.when(F.col("l_suppkey") % 11 > 0, F.col("s_nationkey")).alias("transect"), F.col("p_type").alias("asset"), F.when(F.col("l_tax") > 0, F.col("l_extendedprice")).alias("price"), depth.alias("depth"), lead.alias("lead"), d0.alias("d0"))
     damage = tuple(hazard.damage_fraction(F.col("depth"), F.col("d0") * k, F.lit(2.0)) for k in (1.2, 0.8))
     share = tuple(hazard.avoidable_share(F.col("lead"), 10.0, 60.0, most) for most in (0.3, 0.6))
     low, high, a, b = ensemble.loss_interval(F.col("price"), damage, share)
-    reason = ensemble.block_reason(arrival=F.col("lead"), flow_depth=F.col("depth"))
+    reason = ensemble.block_reason(transect=F.col("transect"), arrival=F.col("lead"), flow_depth=F.col("depth"), replacement_value=F.col("price"))
     return rows.select("scenario", "transect", "asset", reason.alias("reason"), low.alias("loss_low"), high.alias("loss_high"), a.alias("avoided_low"), b.alias("avoided_high"))
 
 

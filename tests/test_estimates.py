@@ -248,3 +248,55 @@ def test_projection_equals_all_segments(spark):
                 best = (math.hypot(dx, dy), along + t * size, math.copysign(math.hypot(dx, dy), (bx - ax) * dy - (by - ay) * dx))
             along += size
         assert got[k] == pytest.approx((best[1], best[2]), abs=1e-9)
+
+
+def test_greedy_clusters_equal_a_loop_over_all(spark):
+    from moraine.operators import catalog
+
+    r = random.Random(8)
+    rows = [(k, r.randrange(0, 6000), r.uniform(20, 30), r.choice((r.uniform(80, 84), r.uniform(179, 180), r.uniform(-180, -179)))) for k in range(300)]
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1, h)))
+
+    clusters = []
+    for row in sorted(rows, key=lambda x: (x[1], x[0])):
+        for c in reversed(clusters):
+            if any(row[1] - m[1] <= 180 and km(row, m) <= 100 for m in c):
+                c.append(row)
+                break
+        else:
+            clusters.append([row])
+    want = {m[0]: c[0][0] for c in clusters for m in c}
+    got = {x.id: x.cluster for x in catalog.greedy_clusters(spark.createDataFrame(rows, "id long, t long, lat double, lon double"), 180, 100.0).collect()}
+    assert got == want and 1 < max(len(c) for c in clusters)
+
+
+def test_seasonal_fit_is_causal_and_exact(spark):
+    from moraine.operators import watch
+
+    t = np.arange(0, 1500, 12.0)
+    season = 5 * np.cos(2 * np.pi * t / 365.25) + 2 * np.sin(4 * np.pi * t / 365.25)
+    rows = [(1, float(a), float(0.01 * a + s), 0.9) for a, s in zip(t, season)] + [(2, float(a), float(s), 0.9) for a, s in zip(t[:5], season)]
+    c = watch.WatchConfig(first_step=720, last_step=1440, every=240)
+    made = lambda rs: watch.deseasonalised(spark.createDataFrame(rs, "unit_id long, t double, v double, coh double"), c)
+    got = {(x.unit_id, x.step, x.t): x.v for x in made(rows).collect()}
+    for (unit, step, at), v in got.items():
+        k = int(at / 12)
+        assert v == pytest.approx(0.01 * at if unit == 1 else season[k], abs=1e-6)
+    later = rows + [(1, 1500.0 + k, 9999.0, 0.9) for k in range(20)]
+    assert {(x.unit_id, x.step, x.t): x.v for x in made(later).collect()} == pytest.approx(got)
+
+
+def test_spectral_features_equal_the_transform_written_out(spark):
+    from moraine.functions import signal
+
+    x = np.random.default_rng(7).normal(size=50)
+    k = np.arange(26)
+    power = np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(50)) / 50) @ (x - x.mean())) ** 2 / 50
+    power[1:-1] *= 2
+    at = k / 50 * 4.0
+    centre = (at * power).sum() / power.sum()
+    assert signal.spectrum_summary(x, 4.0) == pytest.approx((power.sum(), at[power.argmax()], centre, np.sqrt(((at - centre) ** 2 * power).sum() / power.sum())))
