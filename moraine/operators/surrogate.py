@@ -147,7 +147,7 @@ def boosted_trees(rows: DataFrame, features: list[str], label: str, split: str,
     seen = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows.withColumns({"_w": weight, "_val": F.col(split) == "val"}))
     models = []
     for k in range(classes):
-        one = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, seed=1, predictionCol=f"_p{k}", rawPredictionCol=f"_r{k}", probabilityCol=f"_q{k}")
+        one = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, seed=1, predictionCol=f"_p{k}").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_q{k}")
         models.append(one.fit(seen.withColumn("_y", (F.col(label) == k).cast("double"))))
     return models
 
