@@ -228,8 +228,8 @@ def footprint_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 with g as (select event_id, user_id, ts, value from events)
-select event_id, user_id || '_IW' || (event_id % 3 + 1) as burst, round(30 * (user_id + 0.5), 6) as x, round(9000 - 30 * (event_id % 50 + 0.5), 6) as y, round(0.5 + round_even((least(greatest(value / 20, 0.5), 15) - 0.5) / 0.05, 0) * 0.05, 6) as distance,
-  round(value / (case when event_id % 2 = 0 then 12.0::double else (event_id % 40 + 1) / 2.0::double end / 365.25), 6) as velocity from g"""
+select event_id, user_id || '_IW' || (event_id % 3 + 1) as burst, round(30 * (user_id + 0.5::double), 6) as x, round(9000 - 30 * (event_id % 50 + 0.5::double), 6) as y, round(0.5::double + round_even((least(greatest(value / 20, 0.5), 15) - 0.5) / 0.05, 0) * 0.05, 6) as distance,
+  round(value / (case when event_id % 2 = 0 then 12.0::double else (event_id % 40 + 1) / 2.0::double end / 365.25::double), 8) as velocity from g"""
 )
 def names_and_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts from names, pixel centres, distances on a lattice, and displacement a year."""
@@ -238,7 +238,7 @@ def names_and_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = scenes.baseline_days(F.when(k % 2 == 0, 12.0), micros("ts"), micros("ts") + (k % 40 + 1) * 43_200_000_000)
     return table(spark, sf_dir, "events").select(
         "event_id", scenes.burst_id(granule).alias("burst"), rounded(scenes.pixel_centre(F.lit(0.0), u, F.lit(30.0))).alias("x"), rounded(scenes.pixel_centre(F.lit(9000.0), k % 50, F.lit(30.0), True)).alias("y"),
-        rounded(scenes.lattice(v / 20)).alias("distance"), rounded(scenes.velocity(v, days)).alias("velocity"),
+        rounded(scenes.lattice(v / 20)).alias("distance"), rounded(scenes.velocity(v, days), 8).alias("velocity"),
     )
 
 
