@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, quality, topk, warc
+from . import chat, licenses, minhash, mixing, quality, topk, warc
 from .line_dedup import line_dedup
 from .sentencepiece_codec import encode_decode
 from .shared import cut, remove, shared_folder
@@ -75,7 +75,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_chat": op10_chat}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_chat": op10_chat, "op13_minhash": op13_minhash}
 
 WARC_ORACLE = """
 with rows as (
