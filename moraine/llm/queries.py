@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, mixing, negatives, quality, topk, warc
+from . import chat, licenses, minhash, mixing, negatives, phrases, quality, topk, warc
 from .line_dedup import line_dedup
 from .sentencepiece_codec import encode_decode
 from .shared import cut, remove, shared_folder
@@ -80,11 +80,15 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_negatives": op11_negatives, "op13_minhash": op13_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_negatives": op11_negatives, "op12_phrases": op12_phrases, "op13_minhash": op13_minhash}
 
 WARC_ORACLE = """
 with rows as (
@@ -96,4 +100,4 @@ select page_id, payload_bytes, payload_digest, case when first is null or first
 from rows left join first using (payload_digest)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op6_licenses": licenses.ORACLE, "op7_topk": topk.ORACLE, "op8_warc": WARC_ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE, "op11_negatives": negatives.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op6_licenses": licenses.ORACLE, "op7_topk": topk.ORACLE, "op8_warc": WARC_ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE, "op11_negatives": negatives.ORACLE, "op12_phrases": phrases.ORACLE}
