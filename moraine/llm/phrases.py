@@ -26,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
 from .words import mix, slices, text_buffers, word_bounds, word_hashes
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 TASK_POINTERS = 1_000_000
 MOST_TASKS = 65_536
 FOLD = 4_000_000
@@ -138,6 +138,12 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) + b)
 
 
+def score(left: str, right: str) -> Column:
+    """floor(10^6 a^2 / (left right)), exactly."""
+    a, product = "cast(a as decimal(18, 0)) * cast(a as decimal(18, 0)) * 1000000", f"cast({left} as decimal(18, 0)) * cast({right} as decimal(18, 0))"
+    return F.expr(f"({a}) div ({product})")
+
+
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, held_percent: int = 50) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` phrases of two or three words.
 
@@ -207,10 +213,6 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, held_percent
     front = two.select("h1", "h2", "lang", "w1", "w2", F.col("f1").alias("l1"), F.col("a").alias("l2"))
     back = two.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("w2").alias("w3"), F.col("a").alias("r1"), F.col("f2").alias("r2"))
 
-    def score(left: str, right: str):
-        a, product = "cast(a as decimal(18, 0)) * cast(a as decimal(18, 0)) * 1000000", f"cast({left} as decimal(18, 0)) * cast({right} as decimal(18, 0))"
-        return F.expr(f"({a}) div ({product})")
-
     pair_rows = free.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score("f1", "f2").alias("score"))
     both = three.join(front, ["h1", "h2"]).join(back, ["h2", "h3"]).withColumns({"s1": score("l1", "r1"), "s2": score("l2", "r2")})
     early = F.col("s1") <= F.col("s2")

@@ -395,7 +395,7 @@ def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
         starts, ends, first = word_bounds(data, offsets)
         h = word_hashes(data, starts, ends)
         run = np.zeros(len(h), np.uint64)
-        for k in range(shingle):
+        for k in range(min(shingle, len(h))):
             run[: len(h) - k] = mix(run[: len(h) - k] * np.uint64(0x9FB21C651E98DF25) + h[k:])
         for i, j in zip(first[:-1], first[1:]):
             if i == j:
