@@ -117,7 +117,7 @@ def folded(pointers: list[np.ndarray]) -> list[np.ndarray]:
     return [*(x[at] for x in columns[:3]), np.add.reduceat(columns[3], at) if len(at) else columns[3]]
 
 
-def grown(pointers: list[np.ndarray], depth: int, least: int, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def grown(pointers: list[np.ndarray], depth: int, least: int, often: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(h1, h2, h3, count) of the frequent phrases of ``depth`` words and of their extensions; pointers in order."""
     at = runs(pointers[:depth])
     if not len(at):
@@ -125,13 +125,16 @@ def grown(pointers: list[np.ndarray], depth: int, least: int, hot: np.ndarray) -
     count = np.add.reduceat(pointers[3], at)
     first = [x[at] if k < depth else np.zeros(len(at), np.uint64) for k, x in enumerate(pointers[:3])]
     good = count >= least
-    if depth == 2:  # a pair that is split is a sum over tasks
+    # Prefixes that are split are sums over tasks.
+    if depth == 1:
+        good |= np.isin(first[0], often)
+    if depth == 2:
         good |= np.isin(pair_key(first[0], first[1]), hot)
     if depth > 1:
         yield (*(x[good] for x in first), count[good])
     if depth < 3:
         inside = np.repeat(good, np.diff(np.append(at, len(pointers[0])))) & (pointers[depth] != 0)
-        yield from grown([x[inside] for x in pointers], depth + 1, least, hot)
+        yield from grown([x[inside] for x in pointers], depth + 1, least, often, hot)
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,7 +202,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, held_percent
                 waiting += len(more[-1][0])
                 if waiting > FOLD:
                     held, more, waiting = folded([np.concatenate(x) for x in zip(held, *more)]), [], 0
-        for h1, h2, h3, c in grown(folded([np.concatenate(x) for x in zip(held, *more)]), 1, least, hot):
+        for h1, h2, h3, c in grown(folded([np.concatenate(x) for x in zip(held, *more)]), 1, least, often, hot):
             yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (h1, h2, h3)), pa.array(c)], names=["h1", "h2", "h3", "a"])
 
     pointers = texts.mapInArrow(project, "task int, h1 binary, h2 binary, h3 binary, c binary")
