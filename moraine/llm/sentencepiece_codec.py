@@ -8,7 +8,8 @@ of last pieces is filled from left to right and the ids are read off backwards.
 
 Segments end where no piece reaches across: after a run of white space marks and the letters
 behind it, and on both sides of a character outside the vocabulary, which falls back to bytes.
-Each worker remembers the short segments it met last; this changes nothing but time.
+Within a partition a worker remembers the short segments it met last, up to 2 * ``REMEMBERED`` (about
+50 MB), and then forgets them, as an idle worker keeps its memory; this changes nothing but time.
 
 Only identity-normalised BPE models with byte fallback are accepted.
 
@@ -20,7 +21,7 @@ Columns other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 LONGEST_REMEMBERED = 64
 BATCH_BYTES = 4_000_000
 
@@ -65,6 +66,9 @@ class Codec:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.outside = re.compile("([^" + "".join(re.escape(c) for c in self.ids if len(c) == 1) + "]+)")
+        self.forget()
+
+    def forget(self) -> None:
         self.compatible: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
@@ -163,7 +167,13 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = codec(pieces).encode
+        own = codec(pieces)
+        try:
+            yield from encoded(batches, own.encode)
+        finally:
+            own.forget()
+
+    def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[str], tuple[bytes, str]]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             size = 0
