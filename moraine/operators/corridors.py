@@ -1,4 +1,4 @@
-"""Corridors as polylines and profiles: projection of points, static features, drainage, flood fill of depressions, dissolving of small units."""
+"""Corridors as polylines and profiles: projection of points, static features, drainage, flood fill of depressions."""
 
 from __future__ import annotations
 
@@ -104,27 +104,3 @@ def flood(cells: DataFrame, epsilon: float, tile: int = 128, most: int = 10_000)
         if not fell:
             break
     return level.where(F.col("level") < float("inf")).select("r", "c", F.col("level").alias("filled"))
-
-
-def dissolve(cells: DataFrame, least: int, most: int = 1000) -> DataFrame:
-    """(r, c, unit): units of fewer than ``least`` cells join the neighbour that they share most border cells with, of equals the smaller unit; without a neighbour they go.
-
-    A round merges those small units that are smaller (then of a smaller name) than every small unit they
-    touch, so that no two merge into each other; rounds go on until no small unit is left.
-    """
-    now = cut(cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "unit"))
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
-    for _ in range(most):
-        size = now.groupBy("unit").agg(F.count("*").alias("n"))
-        small = cut(size.where(F.col("n") < least))
-        if not small.limit(1).count():
-            break
-        asked = now.join(small, "unit").withColumn("d", shift).select("unit", "n", (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c")).distinct()
-        border = asked.join(now.withColumnRenamed("unit", "other"), ["r", "c"]).where("other <> unit").groupBy("unit", "n", "other").agg(F.count("*").alias("shared"))
-        rivals = border.join(small.select(F.col("unit").alias("other"), F.col("n").alias("m")), "other", "left")
-        first = rivals.groupBy("unit", "n").agg(F.min(F.when(F.col("m").isNotNull(), F.struct("m", "other"))).alias("least"), F.min_by("other", F.struct(-F.col("shared"), "other")).alias("into"))
-        merged = first.where(F.col("least").isNull() | (F.struct("n", "unit") < F.struct(F.col("least.m").alias("n"), F.col("least.other").alias("unit")))).select("unit", "into")
-        alone = small.join(border.select("unit").distinct(), "unit", "left_anti").select("unit", F.lit(None).cast(dict(now.dtypes)["unit"]).alias("into"))
-        moves = cut(merged.unionByName(alone).withColumn("moved", F.lit(True)))
-        now = cut(now.join(moves, "unit", "left").select("r", "c", F.when(F.col("moved"), F.col("into")).otherwise(F.col("unit")).alias("unit")).where("unit is not null"))
-    return now

@@ -1,4 +1,4 @@
-"""Regular grids as cell tables: bilinear reading, connected units of like cells, zonal statistics."""
+"""Regular grids as cell tables: bilinear reading, zonal statistics."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.quantiles import circular_mean_deg
-from moraine.operators import graph
 
 
 def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -22,24 +21,6 @@ def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
     return held.groupBy("id").agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
-def like_units(cells: DataFrame, kind: str, least: int) -> DataFrame:
-    """(r, c, unit): neighbours of one kind are one unit, named by its first cell; units of fewer cells are left out.
-
-    Cells meet their right and lower neighbours by equi-joins, so a grid of any size is spread.
-    """
-    name = (F.col("r").cast("long") * (1 << 31) + F.col("c")).alias("id")
-    own = cells.select("r", "c", F.col(kind).alias("kind"), name)
-    edges = None
-    for dr, dc in ((0, 1), (1, 0)):
-        other = own.select((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), "kind", F.col("id").alias("dst"))
-        pairs = own.join(other, ["r", "c", "kind"]).select(F.col("id").alias("src"), "dst")
-        edges = pairs if edges is None else edges.unionByName(pairs)
-    found = graph.components(edges)
-    units = own.join(found, own["id"] == found["node"], "left").select("r", "c", F.coalesce("component", "id").alias("unit"))
-    large = units.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("unit")
-    return units.join(large, "unit", "left_semi").select("r", "c", "unit")
-
-
 def zonal(cells: DataFrame, units: DataFrame, area: float) -> DataFrame:
     """Size, mean slope, circular mean aspect and elevation range of each unit."""
     rows = cells.join(units, ["r", "c"])

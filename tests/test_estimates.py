@@ -224,14 +224,6 @@ def test_flood_equals_relaxation(spark):
         assert got == pytest.approx(want)
 
 
-def test_small_units_dissolve(spark):
-    grid = ["11122", "11422", "33322", "33355"]
-    cells = spark.createDataFrame([(i, j, int(x)) for i, row in enumerate(grid) for j, x in enumerate(row)] + [(9, 9, 7)], "r int, c int, unit long")
-    got = {(x.r, x.c): x.unit for x in corridors.dissolve(cells, 3).collect()}
-    # 4 touches 1 three times, 2 twice and 3 three times; 5 touches 3 three times and 2 three times.
-    assert got[(1, 2)] == 1 and got[(3, 3)] == got[(3, 4)] == 2 and (9, 9) not in got and len(got) == 20
-
-
 def test_projection_equals_all_segments(spark):
     r = random.Random(6)
     line = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (25.0, 12.0)]

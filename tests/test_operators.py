@@ -187,21 +187,6 @@ def test_sources(spark, tmp_path):
     assert readers.index_hash(index.where(F.col("path").endswith(".json"))).first().n == 2
 
 
-def test_like_units(spark):
-    r = rng()
-    kind = {(y, x): r.randrange(3) for y in range(9) for x in range(9)}
-    unit = {k: k for k in kind}
-    for _ in kind:
-        for (y, x), k in kind.items():
-            for other in ((y, x + 1), (y + 1, x)):
-                if kind.get(other) == k:
-                    unit[y, x] = unit[other] = min(unit[y, x], unit[other])
-    size = {u: sum(v == u for v in unit.values()) for u in unit.values()}
-    df = spark.createDataFrame([(y, x, k) for (y, x), k in kind.items()], "r int, c int, k int")
-    got = {(x.r, x.c): (x.unit >> 31, x.unit & 0x7FFFFFFF) for x in grids.like_units(df, "k", 3).collect()}
-    assert got == {k: u for k, u in unit.items() if size[u] >= 3}
-
-
 def test_chip_shift_is_found():
     g = np.random.default_rng(0)
     x = sum(np.roll(g.normal(size=(32, 32)), k, 0) for k in range(3))
