@@ -118,3 +118,92 @@ def track_pair(cells: DataFrame, pair: str, size: int, step: int, reach: int) ->
     half = size // 2
     rows = chips.select(pair, (F.col("_i") * step + half).alias("row"), (F.col("_j") * step + half).alias("col"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     return rows.mapInPandas(run, f"{pair} {kind}, row long, col long, dy double, dx double, quality double")
+
+
+# Codes of each component, the first one with data counts.
+ALIASES = {"Z": ("Z",), "N": ("N", "1"), "E": ("E", "2")}
+
+
+def resampled(x: np.ndarray, rate: float, to: float) -> np.ndarray:
+    """The trace at another rate: its spectrum cut off, or continued with zeros, at the new half rate, so nothing is aliased."""
+    n = int(len(x) * to / rate)
+    if n == len(x) or not len(x):
+        return x
+    spectrum, out = np.fft.rfft(x), np.zeros(n // 2 + 1, complex)
+    k = min(len(spectrum), len(out))
+    out[:k] = spectrum[:k]
+    return np.fft.irfft(out, n=n) * (n / len(x)) if n else np.empty(0)
+
+
+def merged(pieces: list[tuple[float, np.ndarray]], rate: float) -> tuple[float, np.ndarray]:
+    """One trace from pieces (start, samples) of a channel: a later piece replaces what it overlaps, one that lies within what is held is left out, gaps are NaN."""
+    pieces = sorted((p for p in pieces if len(p[1])), key=lambda p: (p[0], -len(p[1])))
+    start, held = pieces[0][0], np.asarray(pieces[0][1], float)
+    for begin, x in pieces[1:]:
+        at = round((begin - start) * rate)
+        if at + len(x) <= len(held):
+            continue
+        gap = np.full(max(0, at - len(held)), np.nan)
+        held = np.concatenate((held[:at], gap, np.asarray(x, float)))
+    return start, held
+
+
+def laid_out(x: np.ndarray, start: float, rate: float, c: Cut) -> np.ndarray | None:
+    """A conditioned trace at the window's rate, cut to the window and filled with zeros; None if nothing finite and loud is left. start: after that of the window."""
+    clean = resampled(conditioned(x, rate, c), rate, c.rate)
+    n, at = round(c.seconds * c.rate), round(start * c.rate)
+    out = np.zeros(n)
+    a, b = max(0, at), min(n, at + len(clean))
+    if a >= b:
+        return None
+    out[a:b] = clean[a - at : b - at]
+    with np.errstate(over="ignore"):
+        out = out.astype(np.float32)  # what overflows becomes infinite and is refused
+    return out if np.isfinite(out).all() and np.abs(out).max() > 0 else None
+
+
+def component_window(pieces: list[tuple[str, float, float, np.ndarray]], c: Cut) -> tuple[np.ndarray | None, str | None]:
+    """Samples of one component from pieces (channel, rate, start, samples), or why there are none."""
+    pieces = [p for p in pieces if len(p[3])]
+    if not pieces:
+        return None, "no data"
+    if len({(channel, rate) for channel, rate, _, _ in pieces}) > 1:
+        return None, "more than one channel or rate"
+    rate = pieces[0][1]
+    start, x = merged([(s, d) for _, _, s, d in pieces], rate)
+    if min(start + (len(x) - 1) / rate, c.seconds) - max(start, 0.0) < c.least * c.seconds:
+        return None, "too short"
+    gap = np.isnan(x)
+    if gap.mean() > 1 - c.least:
+        return None, "too many gaps"
+    if len(x) < 2:
+        return None, "too short"
+    out = laid_out(np.where(gap, 0.0, x), start, rate, c)
+    return (out, None) if out is not None else (None, "no energy or not finite")
+
+
+def station_windows(traces: DataFrame, keys: list[str], c: Cut = Cut()) -> DataFrame:
+    """keys, ``samples`` (the components Z, N and E one after the other, zeros where there is none), ``valid`` and ``dropped`` (why, for each) of each window.
+
+    traces: keys (which name one window of one station), channel, rate, offset_s (start after the window's) and samples,
+    null or NaN where there is none. A component is merged from all its traces, in whatever order they come. A task
+    holds one window of one station.
+    """
+    kinds = dict(traces.dtypes)
+    n = round(c.seconds * c.rate)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", samples array<float>, valid array<boolean>, dropped array<string>"
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        by: dict[str, list] = {}
+        for channel, rate, start, x in zip(held["channel"], held["rate"], held["offset_s"], held["samples"]):
+            if channel and x is not None and rate > 0:
+                by.setdefault(channel[-1].upper(), []).append((channel, float(rate), float(start), np.array([np.nan if v is None else v for v in x], float)))
+        out, why = np.zeros((len(ALIASES), n), np.float32), []
+        for k, codes in enumerate(ALIASES.values()):
+            found, reason = component_window(next((by[code] for code in codes if code in by), []), c)
+            why.append(reason)
+            if found is not None:
+                out[k] = found
+        return pd.DataFrame([(*held[keys].iloc[0], out.ravel().tolist(), [w is None for w in why], why)], columns=[*keys, "samples", "valid", "dropped"])
+
+    return traces.select(*keys, "channel", "rate", "offset_s", "samples").groupBy(*keys).applyInPandas(run, schema)
