@@ -12,29 +12,77 @@ from pyspark.sql import functions as F
 from moraine.checkpoints import cut
 
 
+class Segments:
+    """Segments of a polyline by the cells of a grid that their boxes touch, for exact nearest segments."""
+
+    def __init__(self, line: list[tuple[float, float]]):
+        at = np.asarray(line, float)
+        a, seg = at[:-1], np.diff(at, axis=0)
+        squares = (seg * seg).sum(1)
+        start = np.concatenate(([0.0], np.cumsum(np.sqrt(squares))))[:-1]
+        real = squares > 0 if squares.any() else np.ones(len(seg), bool)  # a segment of no length has no side
+        self.a, self.seg, self.start, squares = a[real], seg[real], start[real], squares[real]
+        self.size = np.maximum(squares, 1e-12)
+        # Cells as long as a segment on average: each touches a few.
+        self.cell = max(float(np.sqrt(squares).mean()), 1e-9)
+        low = np.floor(np.minimum(self.a, self.a + self.seg) / self.cell).astype(np.int64)
+        high = np.floor(np.maximum(self.a, self.a + self.seg) / self.cell).astype(np.int64)
+        held: dict[tuple[int, int], list[int]] = {}
+        for k, (x0, y0, x1, y1) in enumerate(np.hstack((low, high)).tolist()):
+            for x in range(x0, x1 + 1):
+                for y in range(y0, y1 + 1):
+                    held.setdefault((x, y), []).append(k)
+        self.held = held
+        self.cells = np.array(list(held), np.int64)
+
+    def within(self, x: int, y: int, rings: int) -> np.ndarray:
+        """Segments of the cells at most that many rings away, in order."""
+        if (2 * rings + 1) ** 2 > len(self.cells):
+            near = self.cells[(np.abs(self.cells - (x, y)).max(1) <= rings)].tolist()
+        else:
+            near = [(i, j) for i in range(x - rings, x + rings + 1) for j in range(y - rings, y + rings + 1)]
+        return np.unique(np.array([k for c in near for k in self.held.get(tuple(c), ())], np.int64))
+
+    def nearest(self, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chainage and signed offset of the nearest place for each point, of equal distances that on the first segment."""
+        s, n = np.full(len(xy), np.nan), np.full(len(xy), np.nan)
+        fine = np.flatnonzero(np.isfinite(xy).all(1))
+        homes, which = np.unique(np.floor(xy[fine] / self.cell).astype(np.int64), axis=0, return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        for (x, y), rows in zip(homes.tolist(), np.split(fine[order], np.cumsum(np.bincount(which.ravel()))[:-1])):
+            rings, left = int(np.abs(self.cells - (x, y)).max(1).min()), rows
+            while len(left):
+                near = self.within(x, y, rings)
+                p = xy[left][:, None, :] - self.a[near]
+                t = np.clip((p * self.seg[near]).sum(2) / self.size[near], 0.0, 1.0)
+                off = p - t[:, :, None] * self.seg[near]
+                square = (off * off).sum(2)
+                best = square.argmin(1)
+                row = np.arange(len(best))
+                d, g, where, k = off[row, best], self.seg[near[best]], t[row, best], near[best]
+                s[left] = self.start[k] + where * np.sqrt(self.size[k])
+                n[left] = np.sign(g[:, 0] * d[:, 1] - g[:, 1] * d[:, 0]) * np.hypot(d[:, 0], d[:, 1])
+                # What isn't searched is at least so many whole cells away.
+                done = square[row, best] < (rings * self.cell) ** 2
+                if len(near) == len(self.a):
+                    break
+                left, rings = left[~done], rings + 1 + rings // 2
+        return s, n
+
+
 def project(points: DataFrame, line: list[tuple[float, float]], chunk: int = 4096) -> DataFrame:
     """points (x, y and more) with chainage ``s`` and signed offset ``n`` (left of the direction is positive) of the nearest place on a polyline.
 
-    The line is a parameter, some thousands of vertices at most; each batch is held against all its segments.
+    The line is a parameter. Points search a grid of its segments ring by ring until no other can be nearer, so the work
+    is that of the segments nearby. Points without a finite place get NaN.
     """
-    at = np.asarray(line, float)
-    a, seg = at[:-1], np.diff(at, axis=0)
-    size = np.maximum((seg * seg).sum(1), 1e-12)
-    start = np.concatenate(([0.0], np.cumsum(np.sqrt((seg * seg).sum(1)))))[:-1]
 
     def run(batches):
+        index = Segments(line)
         for batch in batches:
-            s, n = np.empty(len(batch)), np.empty(len(batch))
             xy = batch[["x", "y"]].to_numpy(float)
-            for i in range(0, len(batch), chunk):
-                p = xy[i : i + chunk, None, :] - a[None, :, :]
-                t = np.clip((p * seg).sum(2) / size, 0.0, 1.0)
-                off = p - t[:, :, None] * seg
-                best = (off * off).sum(2).argmin(1)
-                row = np.arange(len(best))
-                d, g, where = off[row, best], seg[best], t[row, best]
-                s[i : i + chunk] = start[best] + where * np.sqrt(size[best])
-                n[i : i + chunk] = np.sign(g[:, 0] * d[:, 1] - g[:, 1] * d[:, 0]) * np.hypot(d[:, 0], d[:, 1])
+            found = [index.nearest(xy[i : i + chunk]) for i in range(0, len(batch), chunk)]
+            s, n = (np.concatenate(v) for v in zip(*found)) if found else (np.empty(0), np.empty(0))
             yield batch.assign(s=s, n=n)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in points.dtypes)

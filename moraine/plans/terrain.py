@@ -73,3 +73,45 @@ def bootstrap_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of peak force, impulse, duration, azimuth and masses over the draws."""
     return resampling.intervals(resampling.draw_scalars(_draws(spark, sf_dir), "label", 1.0), "label")
+
+
+SOURCE, TARGET = grids.Grid(100.0, 900.0, 10.0, 50, 40), grids.Grid(83.0, 917.0, 25.0, 18, 17)
+#: Overlaps of each source cell with the cells of the target, in SQL.
+OVERLAPS = """
+with g as (select p_partkey // 40 as r, p_partkey % 40 as c, {value} as v from part where p_partkey // 40 < 50),
+s as (select *, (100 + c * 10 - 83) / 25.0::double as e0, (917 - 900 + r * 10) / 25.0::double as s0 from g where v <> {nodata}),
+k as (select i as r, j as c, v, (least(s0 + 0.4::double, i + 1) - greatest(s0, i)) * (least(e0 + 0.4::double, j + 1) - greatest(e0, j)) as w
+  from s, range(18) a(i), range(17) b(j) where least(s0 + 0.4::double, i + 1) - greatest(s0, i) > 1e-9 and least(e0 + 0.4::double, j + 1) - greatest(e0, j) > 1e-9),
+every as (select i as r, j as c from range(18) a(i), range(17) b(j))
+"""
+
+
+def _field(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.floor(k / 40).alias("r"), (k % 40).alias("c"), F.expr(value).cast("double").alias("value")).where("r < 50")
+
+
+@query(OVERLAPS.format(value="p_retailprice::double", nodata="904") + "select r, c, round(coalesce(sum(w * v) / sum(w), -1), 6) as value from every left join k using (r, c) group by r, c")
+def warped_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices on a coarser grid that begins outside: means by common area; 904 stands for no data, -1 for none in the target."""
+    return grids.warp(_field(spark, sf_dir, "p_retailprice"), SOURCE, TARGET, "average", 904.0, -1.0).withColumn("value", F.round("value", 6))
+
+
+@query(
+    OVERLAPS.format(value="(p_size % 7)::double", nodata="3")
+    + ", a as (select r, c, v, round(sum(w), 9) as w from k group by r, c, v), m as (select r, c, v from a qualify row_number() over (partition by r, c order by w desc, v) = 1) select r, c, coalesce(v, -1) as value from every left join m using (r, c)"
+)
+def warped_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class that covers most of each target cell; class 3 stands for no data."""
+    return grids.warp(_field(spark, sf_dir, "p_size % 7"), SOURCE, TARGET, "mode", 3.0, -1.0)
+
+
+@query(
+    """
+with g as (select p_partkey // 40 as r, p_partkey % 40 as c, (p_size % 7)::double as v from part where p_partkey // 40 < 50),
+every as (select i as r, j as c, floor((900 - (917 - (i + 0.5) * 25)) / 10)::bigint as y, floor((83 + (j + 0.5) * 25 - 100) / 10)::bigint as x from range(18) a(i), range(17) b(j))
+select every.r, every.c, coalesce(v, -1) as value from every left join g on g.r = y and g.c = x and v <> 3"""
+)
+def warped_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class at the middle of each target cell."""
+    return grids.warp(_field(spark, sf_dir, "p_size % 7"), SOURCE, TARGET, "nearest", 3.0, -1.0)

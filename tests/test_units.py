@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from moraine.operators import units
+from moraine.operators import corridors, grids, units
+from moraine.operators.grids import Grid as units_grid
 
 
 def table(spark, grid, name="unit", nothing=0):
@@ -150,3 +151,73 @@ def test_order_statistics(spark):
     values = [r.choice([r.gauss(0, 1), 1e9, -3.5, float(r.randrange(5))]) for _ in range(300)]
     df = spark.createDataFrame([(v,) for v in values], "z double")
     assert [units.order_statistic(df, "z", k) for k in (0, 100, 299)] == [sorted(values)[k] for k in (0, 100, 299)]
+
+
+# Warping and projection
+
+
+def direct_warp(values, source, target, kind, fill=-1.0):
+    """Every source cell against every target cell."""
+    out = {}
+    for i, j in np.ndindex(target.rows, target.cols):
+        top, left = target.y0 - i * target.step, target.x0 + j * target.step
+        parts = collections.defaultdict(float)
+        total = area = 0.0
+        for (r, c), v in values.items():
+            y, x = source.y0 - r * source.step, source.x0 + c * source.step
+            h = min(top, y) - max(top - target.step, y - source.step)
+            w = min(left + target.step, x + source.step) - max(left, x)
+            middle = y >= top - target.step / 2 > y - source.step and x <= left + target.step / 2 < x + source.step
+            if kind == "nearest" and middle:
+                parts[v] = 1.0
+            if h > 1e-6 and w > 1e-6 and kind != "nearest":
+                parts[v] += h * w
+                total, area = total + v * h * w, area + h * w
+        best = min(parts, key=lambda v: (-round(parts[v], 6), v)) if parts else fill
+        out[i, j] = (total / area if area else fill) if kind == "average" else best
+    return out
+
+
+@pytest.mark.parametrize("kind", ["average", "mode", "nearest"])
+@pytest.mark.parametrize("step", [7.0, 10.0, 23.5])
+def test_warping_equals_all_pairs(spark, kind, step):
+    rng = np.random.default_rng(int(step))
+    source, target = units_grid(0.0, 100.0, 10.0, 10, 8), units_grid(-13.0, 108.0, step, 9, 6)
+    grid = rng.integers(0, 4, (10, 8)).astype(float)
+    rows = [(int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(grid)] + [(3, 20, None), (4, 20, float("nan"))]
+    values = {(r, c): v for r, c, v in rows if v is not None and v == v and v != 2.0}
+    got = {(x.r, x.c): x.value for x in grids.warp(spark.createDataFrame(rows, "r long, c long, value double"), source, target, kind, 2.0, -1.0).collect()}
+    want = direct_warp(values, source, target, kind)
+    assert got == pytest.approx(want) and len(set(want.values())) > 2
+
+
+def test_warping_refuses_other_kinds(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0)], "r long, c long, value double")
+    with pytest.raises(ValueError):
+        grids.warp(cells, units_grid(0, 1, 1, 1, 1), units_grid(0, 1, 1, 1, 1), "cubic")
+
+
+def test_nearest_segments_equal_all_segments_and_few_are_looked_at():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30, 3000):
+        line = np.cumsum(rng.normal(size=(n + 1, 2)) + (1.0, 0.2), 0)
+        line[-1] = line[-2] if n > 2 else line[-1]  # a segment of no length
+        points = np.vstack((rng.normal(size=(150, 2)) * 3 + line[rng.integers(0, n + 1, 150)], line[:20], rng.normal(size=(20, 2)) * 5000, [[np.nan, 1.0]]))
+        a, seg = line[:-1], np.diff(line, axis=0)
+        size = (seg * seg).sum(1)
+        start = np.concatenate(([0.0], np.cumsum(np.sqrt(size))))[:-1]
+        a, seg, start, size = (x[size > 0] for x in (a, seg, start, size))
+        index = corridors.Segments([tuple(p) for p in line])
+        looked = []
+        inner = index.within
+        index.within = lambda *x: looked.append(inner(*x)) or looked[-1]
+        s, off = index.nearest(points)
+        for k, p in enumerate(points[:-1]):
+            t = np.clip(((p - a) * seg).sum(1) / size, 0, 1)
+            d = p - a - t[:, None] * seg
+            best = (d * d).sum(1).argmin()
+            assert abs(off[k]) == pytest.approx(np.hypot(*d[best])) and s[k] == pytest.approx(start[best] + t[best] * np.sqrt(size[best]))
+        assert np.isnan(s[-1])
+        if n == 3000:
+            near = index.nearest(points[:150]) and looked[-1]
+            assert len(near) < 300
