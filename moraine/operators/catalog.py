@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,17 +56,46 @@ def scenes(candidates: DataFrame, key: str, day: str, cloud: str, most: int, lim
     return first_k(good, [key], [F.col(cloud).asc(), F.col(day).desc()], most)
 
 
+def _near(lat: np.ndarray, lon: np.ndarray, at: tuple[float, float], km: float) -> np.ndarray:
+    """Which places (radians) are within km."""
+    h = np.sin((lat - at[0]) / 2) ** 2 + np.cos(lat) * np.cos(at[0]) * np.sin((lon - at[1]) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))) <= km
+
+
+class Clusters:
+    """Greedy clusters of rows in time order, of which only those of the last ``seconds`` are remembered."""
+
+    def __init__(self, seconds: float, km: float):
+        self.seconds, self.km, self.made = seconds, km, 0
+        self.held = [np.empty(0) for _ in range(3)] + [np.empty(0, np.int64) for _ in range(2)]  # t, lat, lon, cluster, its name
+
+    def take(self, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Names of the clusters of more rows."""
+        n = len(self.held[0])
+        t, lat, lon = (np.concatenate(x) for x in zip(self.held[:3], (t, np.radians(lat), np.radians(lon))))
+        label, name = (np.concatenate((x, np.zeros(len(ids), np.int64))) for x in self.held[3:])
+        low = np.searchsorted(t, t[n:] - self.seconds)
+        for i, first in enumerate(low.tolist(), n):
+            close = np.flatnonzero(_near(lat[first:i], lon[first:i], (lat[i], lon[i]), self.km)) + first
+            if len(close):
+                latest = close[label[close].argmax()]
+                label[i], name[i] = label[latest], name[latest]
+            else:
+                label[i], name[i] = self.made, ids[i - n]
+                self.made += 1
+        keep = np.searchsorted(t, t[-1] - self.seconds) if len(t) else 0
+        self.held = [x[keep:] for x in (t, lat, lon, label, name)]
+        return name[n:]
+
+
 def greedy_clusters(rows: DataFrame, seconds: int, km: float, lat_limit: float = 60.0) -> DataFrame:
     """(id, block, cluster): in time order, a row joins the latest cluster with a member near in time and space; a cluster is named by its first row.
 
     Two clusters that a row would bridge stay apart, so these are not connected components. Runs
     without a pause of ``seconds`` are independent, and in a run so are groups of cells, as wide as ``km`` at the
-    latitude limit, that don't touch; such a group must fit a task. rows: id, t (seconds), lat, lon.
+    latitude limit, that don't touch. Such a group is read through in time order by one task, which remembers the rows of the last
+    ``seconds`` alone, however long the group is. rows: id, t (seconds), lat, lon.
     """
-    import numpy as np
-
-    from moraine.functions.geo import EARTH_KM
-
     dlat, dlon = geo.offsets_deg(km, lat_limit)
     columns = max(1, int(360 // dlon))
     y, x = F.floor(F.col("lat") / dlat), F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / (360.0 / columns))
@@ -75,21 +105,19 @@ def greedy_clusters(rows: DataFrame, seconds: int, km: float, lat_limit: float =
     asked = cells.withColumn("d", shift).select("block", F.col("cell").alias("src"), (F.col("_y") + F.col("d.i")).alias("_y"), F.pmod(F.col("_x") + F.col("d.j"), F.lit(columns)).alias("_x"))
     touching = asked.join(cells, ["block", "_y", "_x"]).select("src", F.col("cell").alias("dst")).where("src <> dst")
     found = graph.components(touching)
-    grouped = placed.join(found, placed["cell"] == found["node"], "left").withColumn("region", F.coalesce("component", "cell"))
-
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "id"], kind="stable")
-        t, lat, lon = (part[c].to_numpy(float) for c in ("t", "lat", "lon"))
-        lat, lon, ids = np.radians(lat), np.radians(lon), part["id"].to_numpy()
-        label, first = np.full(len(part), -1), []
-        low = np.searchsorted(t, t - seconds)
-        for i in range(len(part)):
-            a = slice(low[i], i)
-            h = np.sin((lat[a] - lat[i]) / 2) ** 2 + np.cos(lat[a]) * np.cos(lat[i]) * np.sin((lon[a] - lon[i]) / 2) ** 2
-            close = label[a][2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))) <= km]
-            if not len(close):
-                first.append(ids[i])
-            label[i] = close.max() if len(close) else len(first) - 1
-        return pd.DataFrame({"id": ids, "block": part["block"], "cluster": np.array(first)[label]})
-
-    return grouped.select("id", "t", "lat", "lon", "block", "region").groupBy("block", "region").applyInPandas(cluster, "id long, block long, cluster long")
+    grouped = placed.join(found, placed["cell"] == found["node"], "left").select(F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"), "lat", "lon", F.col("block").cast("long").alias("block"), F.coalesce("component", "cell").alias("region"))
+
+    def run(batches):
+        region, state = None, None
+        for batch in batches:
+            out = []
+            for key, part in batch.groupby(["block", "region"], sort=False):
+                if key != region:
+                    region, state = key, Clusters(seconds, km)
+                names = state.take(*(part[c].to_numpy(float) for c in ("t", "lat", "lon")), part["id"].to_numpy())
+                out.append(pd.DataFrame({"id": part["id"], "block": part["block"], "cluster": names}))
+            if out:
+                yield pd.concat(out)
+
+    ordered = grouped.repartition("block", "region").sortWithinPartitions("block", "region", "t", "id")
+    return ordered.mapInPandas(run, "id long, block long, cluster long")

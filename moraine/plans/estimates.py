@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions import hazard, text
 from moraine.functions import quantiles as Q
-from moraine.operators import balance, contracts, force, windows
+from moraine.operators import balance, catalog, contracts, force, windows
 from moraine.plans.base import micros, query, rounded
 from moraine.plans.hazard import NEAREST, ensemble_arrivals
 from moraine.tables import table
@@ -90,16 +90,21 @@ def station_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 with c as (select l_orderkey % 400 as event, l_suppkey as station, (l_partkey % 200) / 12.0::double as distance, case when l_linenumber = 7 then l_extendedprice * 100 else l_quantity end as amplitude, (l_suppkey * 47 % 360)::double as azimuth from lineitem),
 m as (select event, median(amplitude) filter (where distance between 0.5 and 15 and amplitude > 0) as m from c group by event),
 d as (select c.*, case when not distance between 0.5 and 15 then 'distance' when amplitude > 20 * m then 'glitch' end as dropped from c join m using (event)),
-s as (select event, count(*) filter (where dropped = 'distance') as n_distance, count(*) filter (where dropped = 'glitch') as n_glitch, count(distinct station) filter (where dropped is null) as n_stations, (max(azimuth) filter (where dropped is null)) as gap from d group by event)
-select event, n_distance, n_glitch, n_stations, case when n_stations < 5 then 'only ' || n_stations || ' station(s) contributed, below the minimum of 5' when gap > 200 then 'azimuthal gap ' || printf('%.0f', gap) || ' deg exceeds the limit of 200 deg' end as refusal from s"""
+s as (select event, count(*) filter (where dropped = 'distance') as n_distance, count(*) filter (where dropped = 'glitch') as n_glitch, count(distinct station) filter (where dropped is null) as n_stations from d group by event),
+u as (select distinct event, station, azimuth from d where dropped is null),
+w as (select event, coalesce(lead(azimuth) over (partition by event order by azimuth, station), min(azimuth) over (partition by event) + 360) - azimuth as step from u),
+x as (select event, case when count(*) < 2 then 360 else max(step) end as gap from w group by event)
+select event, n_distance, n_glitch, n_stations, case when n_stations < 5 then 'only ' || n_stations || ' station(s) contributed, below the minimum of 5' when gap > 200 then 'azimuthal gap ' || printf('%.0f', gap) || ' deg exceeds the limit of 200 deg' end as refusal from s left join x using (event)"""
 )
 def channel_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels dropped for distance or as glitches, and events that their geometry refuses."""
     k = F.col("l_suppkey")
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 400).alias("event"), k.alias("station"), ((F.col("l_partkey") % 200) / 12.0).alias("distance_deg"), F.when(F.col("l_linenumber") == 7, F.col("l_extendedprice") * 100).otherwise(F.col("l_quantity")).alias("amplitude"), (k * 47 % 360).cast("double").alias("azimuth"))
     used, why = F.col("dropped").isNull(), F.col("dropped")
-    out = force.usable_channels(rows, "event").groupBy("event").agg(F.count_if(why == "distance").alias("n_distance"), F.count_if(why == "glitch").alias("n_glitch"), F.count_distinct(F.when(used, F.col("station"))).alias("n_stations"), F.max(F.when(used, F.col("azimuth"))).alias("gap"))
-    return out.select("event", "n_distance", "n_glitch", "n_stations", force.refusal(F.col("n_stations"), F.col("gap")).alias("refusal"))
+    channels = force.usable_channels(rows, "event")
+    out = channels.groupBy("event").agg(F.count_if(why == "distance").alias("n_distance"), F.count_if(why == "glitch").alias("n_glitch"), F.count_distinct(F.when(used, F.col("station"))).alias("n_stations"))
+    gaps = catalog.azimuthal_gap(channels.where(used).select("event", "station", "azimuth").distinct(), "event").select("event", "gap")
+    return out.join(gaps, "event", "left").select("event", "n_distance", "n_glitch", "n_stations", force.refusal(F.col("n_stations"), F.col("gap")).alias("refusal"))
 
 
 @query(
@@ -201,14 +206,14 @@ def platt_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Forecasts and alerts
 
 FORECAST = """
-with a as (select user_id as forecast, event_type as transect, event_id, case when event_id % 3 > 0 then value / 80 end as stage, cast(props->>'$.k' as int) * 9.0::double as arrival, ts from events where value > 100),
+with a as (select user_id as forecast, event_type as transect, event_id, case when event_id % 3 > 0 then value / 80 end as stage, cast(props->>'$.k' as int) * 9.0::double as arrival, ts from events),
 f as (select forecast, max(stage) as stage, min(arrival) as arrival, max(ts) as ts, count(distinct transect) as n_transects from a group by forecast)"""
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arrivals of each forecast at its transects: high end of the stage if one was modelled, low end of the arrival in minutes."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").where("value > 100").select(F.col("user_id").alias("forecast"), F.col("event_type").alias("transect"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 80).alias("stage"), (k * F.lit(9.0)).alias("arrival"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("forecast"), F.col("event_type").alias("transect"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 80).alias("stage"), (k * F.lit(9.0)).alias("arrival"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import hazard, signal, text
 from moraine.functions import quantiles as Q
-from moraine.operators import contracts, evaluate, graph, grids, inversion
+from moraine.operators import contracts, evaluate, graph, grids, inversion, waveforms
 from moraine.plans.base import DAY_US, micros, query, rounded
 from moraine.streaming import detector
+from moraine.streaming import windows as station_windows_
 from moraine.tables import table
 
 COLLAPSED = "nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
@@ -176,11 +180,70 @@ def detector_stub_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detector.ratios_batch(_chunks(spark, sf_dir), detector.DetectorConfig(high=(0.5, 2.0), ratio=5.0))
 
 
-@query("select count(*)::int as n, 0 as n_other from (select 1 where 1 = 0)")
+GOLDEN = """
+with a as (select event_type || '.' || lpad(user_id::varchar, 4, '0') as channel, epoch_us(ts) // 86400000000 as end_us, count(*) as n_samples, sum(value) as ratio, user_id, event_type from events group by all),
+k as (select channel, end_us, (user_id * 31 + end_us * 17 + length(event_type)) % 97 as h from a)"""
+
+
+@query(
+    GOLDEN
+    + """
+select channel, end_us, case h when 0 then 'missing' when 1 then 'not expected' when 2 then 'count' when 3 then 'fired' else 'ratio' end as problem from k where h < 5 order by channel, end_us limit 10"""
+)
 def golden_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs of the detector differ nowhere."""
-    runs = [detector_stub_batch(spark, sf_dir) for _ in range(2)]
-    return detector.golden_differences(*runs).agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("problem") != "ratio").cast("int").alias("n_other"))
+    """The first ten differences of a run from the expected one, into which differences of every kind are planted: rows of one only, counts, fires, ratios; one within the tolerance is none."""
+    day = F.floor(micros("ts") / DAY_US)
+    own = table(spark, sf_dir, "events").groupBy("user_id", "event_type", day.alias("end_us")).agg(F.count("*").alias("n_samples"), F.sum("value").alias("ratio"))
+    channel = F.concat(F.col("event_type"), F.lit("."), F.lpad(F.col("user_id").cast("string"), 4, "0"))
+    rows = own.withColumns({"channel": channel, "fired": F.col("ratio") > 100, "h": (F.col("user_id") * 31 + F.col("end_us") * 17 + F.length("event_type")) % 97})
+    h = F.col("h")
+    expected = rows.where(h != 1).select("channel", "end_us", "n_samples", "ratio", "fired")
+    off = F.when(h == 4, 1 + 1e-4).when(h == 5, 1 + 1e-9).otherwise(1.0)
+    actual = rows.where(h != 0).select("channel", "end_us", (F.col("n_samples") + F.when(h == 2, 1).otherwise(0)).alias("n_samples"), (F.col("ratio") * off).alias("ratio"), (F.col("fired") != (h == 3)).alias("fired"))
+    return detector.golden_differences(expected, actual)
+
+
+def named_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of ``_chunks`` as those of four stations of up to three components."""
+    k = F.col("channel").cast("int")
+    name = F.concat(F.lit("NW.S"), F.floor(k / 3).cast("string"), F.lit(".00.HH"), F.substring(F.lit("ZNE"), k % 3 + 1, F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("channel").orderBy("start_us"))
+    return _chunks(spark, sf_dir).select(F.lit("all").alias("group"), "start_us", name.alias("channel"), place.alias("sequence"), "rate", "samples")
+
+
+@query()
+def window_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window that the detector of many stations scores over the chunks in order, and which of them fire."""
+    config = station_windows_.WindowConfig(cut=waveforms.Cut(rate=RATE, seconds=128.0, band=(0.02, 1.8)), needed_s=64.0, stride_s=30.0, cooldown_s=100.0)
+    score = partial(station_windows_.low_share, rate=RATE, low=(0.02, 0.3), high=(0.5, 1.8))
+    return station_windows_.detections_batch(named_chunks(spark, sf_dir), config, score)
+
+
+@query()
+def station_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 56 s of each station, merged from four overlapping traces a component, with what is valid and why the rest isn't."""
+    n = F.col("sequence") - 1
+    rows = named_chunks(spark, sf_dir).select(F.regexp_extract("channel", r"^(\w+\.\w+)", 1).alias("station"), F.floor(n / 4).alias("window"), "channel", "rate", ((n % 4) * 14.0).alias("offset_s"), "samples")
+    out = waveforms.station_windows(rows, ["station", "window"], waveforms.Cut(rate=RATE, seconds=56.0, band=(0.02, 1.8)))
+    energy = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return out.select("station", "window", F.size("samples").alias("n"), "valid", "dropped", rounded(energy, 3).alias("energy"))
+
+
+@query()
+def damping_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misfit and norm of each damping of the summed equations of all traces, and which one lies at the curve's corner."""
+    traces = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("kernel"), F.reverse("embedding").alias("data")).where("kernel is not null")
+    dampings = tuple(10.0 ** (k / 2) for k in range(-10, 5))
+    equations = inversion.normal_equations(traces, 6)
+    energy = traces.agg(F.sum(F.aggregate("data", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
+    full = np.zeros((6, 7))
+    for i, j, value in equations.collect():  # 42 sums
+        full[i, j] = value
+    found = inversion.solve(equations, 6, dampings)
+    misfits = [max(0.0, energy - 2 * x @ full[:, 6] + x @ full[:, :6] @ x) ** 0.5 for _, x in found]
+    norms = [float(np.sqrt(x @ x)) for _, x in found]
+    best = inversion.corner(misfits, norms)
+    return spark.createDataFrame([(d, float(m), n, k == best) for k, ((d, _), m, n) in enumerate(zip(found, misfits, norms))], "damping double, misfit double, norm double, corner boolean")
 
 
 @query(

@@ -41,10 +41,10 @@ def corridor_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corridors.project(points, line)
 
 
-@query("select o_custkey as id, unnest(range(date_trunc('month', min(o_orderdate) + interval 1 month - interval 1 day)::timestamp, max(o_orderdate)::timestamp + interval 1 microsecond, interval 1 month))::date as step from orders where o_custkey % 10 = 0 group by o_custkey")
+@query("select o_custkey as id, unnest(range(date_trunc('month', min(o_orderdate) + interval 1 month - interval 1 day)::timestamp, max(o_orderdate)::timestamp + interval 1 microsecond, interval 1 month))::date as step from orders group by o_custkey")
 def month_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of each month within each customer's orders."""
-    spans = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    spans = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
     return spans.select("id", F.explode(watch.month_starts(F.to_date("a"), F.to_date("b"))).alias("step"))
 
 
@@ -100,13 +100,13 @@ def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with c as (select o_orderpriority as p, o_orderstatus as s, count(*) as n from orders where o_custkey % 3 > 0 group by all),
+with c as (select o_orderpriority as p, o_orderstatus as s, count(*) as n from orders group by all),
 r as (select p, '| ' || p || ' | ' || coalesce(max(n) filter (where s = 'F')::varchar, '-') || ' | ' || coalesce(max(n) filter (where s = 'O')::varchar, '-') || ' | ' || coalesce(max(n) filter (where s = 'X')::varchar, '-') || ' |' as line from c group by p)
 select line from r union all select '| priority | F | O | X |' union all select '|---|---|---|---|'"""
 )
 def markdown_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix of counts as lines of a Markdown table."""
-    cells = table(spark, sf_dir, "orders").where("o_custkey % 3 > 0").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    cells = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     return readers.markdown_lines(cells, ["priority"], "status", ["F", "O", "X"], "n").select("line")
 
 

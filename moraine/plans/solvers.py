@@ -143,7 +143,7 @@ def tracked_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Displacements of chips between a scene and the same one moved by a cell each way."""
     k = F.col("event_id")
     at = lambda r, c: F.pmod(F.xxhash64(r, c), F.lit(997)).cast("double")
-    grid = table(spark, sf_dir, "events").select(F.floor(k / 40).alias("r"), (k % 40).alias("c")).where("r < 40")
+    grid = table(spark, sf_dir, "events").select(F.floor(k / 40).alias("r"), (k % 40).alias("c"))
     cells = grid.select(F.lit(1).alias("pair"), "r", "c", at(F.col("r"), F.col("c")).alias("a"), at(F.col("r") - 1, F.col("c") - 1).alias("b"))
     return waveforms.track_pair(cells, "pair", 8, 4, 3)
 

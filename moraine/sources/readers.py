@@ -54,8 +54,21 @@ def overpass_elements(documents: DataFrame, column: str = "value") -> DataFrame:
     return documents.select(F.explode(F.from_json(column, OVERPASS)["elements"]).alias("e")).select("e.*")
 
 
-def catalogue_xml(spark: SparkSession, path: str, row_tag: str, schema: str | StructType) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row_tag).option("mode", "FAILFAST").schema(schema).load(path)
+def catalogue_xml(spark: SparkSession, path: str, row_tag: str, schema: str | StructType, root: str | None = None) -> DataFrame:
+    """Records of XML documents. With ``root``, the name of the documents' outer element, a ``count`` that any declares must be that of its records, so a document that was cut off fails."""
+    rows = spark.read.format("xml").option("rowTag", row_tag).option("mode", "FAILFAST").schema(schema).load(path)
+    if root is None:
+        return rows
+    heads = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("x"))
+    opened, ended = rf"(?s)<{root}[\s>/]", rf"(?s)(</{root}\s*>|<{root}[^>]*/>)\s*$"
+    checked = heads.select(
+        "file", F.regexp_extract("x", rf"(?s)<{root}[^>]*\scount\s*=\s*[\"']([0-9]+)", 1).alias("declared"), F.regexp_count("x", F.lit(rf"<{row_tag}[\s>/]")).alias("n"), (~F.col("x").rlike(opened)).alias("other"), (~F.col("x").rlike(ended)).alias("open")
+    )
+    problem = F.when(F.col("other"), F.concat(F.lit(f"no <{root}> in "), "file")).when(F.col("open"), F.concat(F.lit("truncated: "), "file")).when((F.col("declared") != "") & (F.col("declared").cast("long") != F.col("n")), F.concat(F.lit("declares "), "declared", F.lit(" records and holds "), F.col("n").cast("string"), F.lit(": "), "file"))
+    bad = checked.select(problem.alias("p")).where("p is not null").limit(1).collect()
+    if bad:
+        raise ValueError(bad[0].p)
+    return rows
 
 
 def measurement(value: str, low: str, high: str, unit: str):

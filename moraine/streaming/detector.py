@@ -128,7 +128,8 @@ def golden_differences(expected: DataFrame, actual: DataFrame, tolerance: float
     side = lambda df, p: df.select(*keys, *[F.col(c).alias(p + c) for c in ("n_samples", "ratio", "fired")])
     both = side(expected, "e_").join(side(actual, "a_"), keys, "full")
     e, a = F.col("e_ratio"), F.col("a_ratio")
-    apart = (e != a) & ~F.coalesce(F.abs(e - a) <= tolerance * F.greatest(F.abs(e), F.abs(a)), F.lit(False))
+    close = (F.greatest(F.abs(e), F.abs(a)) < float("inf")) & (F.abs(e - a) <= tolerance * F.greatest(F.abs(e), F.abs(a)))
+    apart = (e != a) & ~F.coalesce(close, F.lit(False))
     problem = F.when(F.col("a_fired").isNull(), "missing").when(F.col("e_fired").isNull(), "not expected").when(F.col("e_n_samples") != F.col("a_n_samples"), "count").when(F.col("e_fired") != F.col("a_fired"), "fired").when(apart, "ratio")
     return both.select(*keys, problem.alias("problem")).where("problem is not null").orderBy(*keys).limit(most)
 
