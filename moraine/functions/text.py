@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Meta names that give a title, best first; the entities that titles hold.
 TITLE_NAMES = ("citation_title", "dc.title", "og:title")
@@ -21,15 +26,37 @@ def unescaped(x: Column) -> Column:
     return x
 
 
-def html_title(html: Column) -> Column:
-    """The first of the meta titles, in either order of attributes, or the title element."""
-    found = []
-    for name in TITLE_NAMES:
-        key = r'(?:name|property)=["\']' + name.replace(".", r"\.") + r'["\']'
-        for pattern in (rf'(?is)<meta[^>]*{key}[^>]*content=["\']([^"\']*)["\']', rf'(?is)<meta[^>]*content=["\']([^"\']*)["\'][^>]*{key}'):
-            found.append(collapsed(unescaped(F.regexp_extract(html, pattern, 1))))
-    found.append(collapsed(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))))
-    return F.coalesce(*found)
+#: The first meta element of these names in the document, with its attributes in this order; then in the other; then the title element.
+_NAMES = "(?:" + "|".join(n.replace(".", r"\.") for n in TITLE_NAMES) + ")"
+TITLES = (
+    rf"""(?is)<meta\s+[^>]*?(?:name|property)\s*=\s*["']{_NAMES}["'][^>]*?content\s*=\s*["']([^"']+)["']""",
+    rf"""(?is)<meta\s+[^>]*?content\s*=\s*["']([^"']+)["'][^>]*?(?:name|property)\s*=\s*["']{_NAMES}["']""",
+    r"(?is)<title[^>]*>(.*?)</title>",
+)
+
+
+def html_title(page: Column, decoded=unescaped) -> Column:
+    """The first of the meta titles, in either order of attributes, or of the title element, that isn't blank. ``decoded`` resolves entities."""
+    return F.coalesce(*[collapsed(decoded(F.regexp_extract(page, pattern, 1))) for pattern in TITLES])
+
+
+@pandas_udf(StringType())
+def all_entities(x: pd.Series) -> pd.Series:
+    """Every named and numeric entity resolved; titles are short, so only they are sent."""
+    return x.map(lambda v: html.unescape(v) if v is not None and "&" in v else v)
+
+
+def document_title(content: Column, content_type: Column) -> Column:
+    """Title of a page, or of a JSON document: its message's title or its own, of a list the first; null for other kinds."""
+    kind = media_type(content_type)
+    listed = [F.get_json_object(content, f"$.{at}title[0]") for at in ("message.", "")]
+    plain = [F.get_json_object(content, f"$.{at}title") for at in ("message.", "")]
+    has_message = F.get_json_object(content, "$.message").isNotNull()
+    of = lambda k: F.when(plain[k].startswith("["), listed[k]).otherwise(plain[k])
+    json_title = F.when(has_message, of(0)).otherwise(of(1))
+    page = F.coalesce(*[F.nullif(collapsed(F.regexp_extract(content, pattern, 1)), F.lit("")) for pattern in TITLES])
+    found = F.when(kind.isin("text/html", "application/xhtml+xml"), page).when(kind == "application/json", json_title)
+    return collapsed(all_entities(found))
 
 
 def media_type(content_type: Column) -> Column:

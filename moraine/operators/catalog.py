@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.checkpoints import cut
@@ -35,6 +35,34 @@ def azimuthal_gap(pairs: DataFrame, event: str) -> DataFrame:
     return pairs.withColumn("_step", step).groupBy(event).agg(F.count("*").alias("n"), F.when(F.count("*") < 2, 360.0).otherwise(F.max("_step")).alias("gap"))
 
 
+def geometry(channels: DataFrame, event: str) -> DataFrame:
+    """Stations, channels, least and greatest distance, median signal-to-noise ratio and azimuthal gap of each event; a station counts with its first channel's azimuth. channels: event, station, channel, distance_deg, azimuth, snr."""
+    stations = channels.groupBy(event, "station").agg(F.min_by("azimuth", "channel").alias("azimuth"))
+    gaps = azimuthal_gap(stations, event).withColumnRenamed("n", "n_stations")
+    own = channels.groupBy(event).agg(F.count("*").alias("n_channels"), F.min("distance_deg").alias("min_distance"), F.max("distance_deg").alias("max_distance"), F.median("snr").alias("median_snr"))
+    return own.join(gaps, event)
+
+
+def track_metrics(bursts: DataFrame, track: str, start: Column, end: Column, least: int, most_gap: float, most_hidden: float, revisit: float = 12.0) -> DataFrame:
+    """Passes (bursts of one hour), widest gap in days with the window's open ends, median gap, mean sensitivity, hidden share, coverage, why a track isn't eligible, and its score.
+
+    bursts: track, ts (timestamp_ntz), sensitivity, hidden (share in layover or shadow). Score: sensitivity of what isn't hidden times coverage, 0 if not eligible.
+    """
+    day = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', _t)") / 86_400e6
+    passes = bursts.groupBy(track, F.date_trunc("hour", "ts").alias("_h")).agg(F.min("ts").alias("_t")).withColumn("_d", day)
+    along = Window.partitionBy(track).orderBy("_d")
+    gaps = passes.withColumn("_gap", F.col("_d") - F.lag("_d").over(along)).groupBy(track).agg(
+        F.count("*").alias("n_scenes"), F.max("_gap").alias("_inner"), F.median("_gap").alias("median_gap"), (F.min("_d") - start).alias("_before"), (end - F.max("_d")).alias("_after")
+    )
+    edges = [F.when(F.col(c) > 0, F.col(c)) for c in ("_before", "_after")]
+    share = bursts.groupBy(track).agg(F.count("*").alias("n_bursts"), F.avg("sensitivity").alias("sensitivity"), F.avg("hidden").alias("hidden"))
+    rows = gaps.join(share, track).withColumns({"max_gap": F.greatest("_inner", *edges), "coverage": F.least(F.lit(1.0), F.col("n_scenes") / F.greatest((end - start) / revisit, F.lit(1.0)))})
+    reasons = F.array_compact(F.array(F.when(F.col("n_scenes") < least, "too few scenes"), F.when(F.col("max_gap") > most_gap, "gap too wide"), F.when(F.col("hidden") > most_hidden, "layover or shadow")))
+    rows = rows.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
+    score = F.when(F.col("eligible"), F.col("sensitivity") * (1 - F.col("hidden")) * F.col("coverage")).otherwise(0.0)
+    return rows.select(track, "n_scenes", "n_bursts", "max_gap", "median_gap", "sensitivity", "hidden", "coverage", "reasons", "eligible", score.alias("score"))
+
+
 def network(acquisitions: DataFrame, neighbours: int, most_days: int, year: float = 365.25, tolerance: float = 30.0) -> DataFrame:
     """Pairs (track, a, b, kind) of days: the next few within reach, and half-yearly anchors with their nearest a year on.
 
@@ -50,6 +78,13 @@ def network(acquisitions: DataFrame, neighbours: int, most_days: int, year: floa
     return short.unionByName(anchors).groupBy("track", "a", "b").agg(F.max("kind").alias("kind"))
 
 
+def assemble(positives: DataFrame, negatives: DataFrame, noise: DataFrame) -> DataFrame:
+    """(kind, positive_id, id, origin, short) of one catalogue. positives: id, origin, short; negatives and noise: positive_id, id, origin."""
+    lead = positives.select(F.lit("positive").alias("kind"), F.col("id").alias("positive_id"), "id", "origin", "short")
+    others = [rows.select(F.lit(kind).alias("kind"), "positive_id", "id", "origin", F.lit(False).alias("short")) for kind, rows in (("tectonic", negatives), ("noise", noise))]
+    return lead.unionByName(others[0]).unionByName(others[1])
+
+
 def scenes(candidates: DataFrame, key: str, day: str, cloud: str, most: int, limit: float) -> DataFrame:
     """The clearest scenes of each key, the newer of equals; unknown cloud takes no part."""
     good = candidates.where(F.col(cloud).isNotNull() & (F.col(cloud) <= limit))

@@ -66,3 +66,20 @@ def agreement(published: tuple[Column, Column, Column], low: Column, mid: Column
     centre = F.coalesce(best, F.when((a > 0) & (b > 0), F.sqrt(a * b)).otherwise((a + b) / 2))
     wide, mid_in, centre_in = b > a, mid.between(a, b), centre.between(low, high)
     return F.struct(centre.alias("centre"), wide.alias("has_width"), mid_in.alias("median_inside"), centre_in.alias("centre_inside"), ((mid_in | ~wide) & centre_in).alias("ok"))
+
+
+def range_problems(low: Column, high: Column, best: Column, unit: Column, refs: Column, disputed: Column, estimates: Column, notes: Column) -> Column:
+    """What is wrong with an interval, every rule that fails: bounds, best, references, units of its estimates (structs with unit), and what a disputed one needs."""
+    other = F.exists(estimates, lambda e: ~e["unit"].eqNullSafe(unit))
+    disputed = F.coalesce(disputed, F.lit(False))
+    rules = {
+        "low exceeds high": low > high,
+        "best outside": best.isNotNull() & ~best.between(low, high),
+        "duplicate references": F.size(F.array_distinct(refs)) < F.size(refs),
+        "no reference": F.coalesce(F.size(refs), F.lit(0)) < 1,
+        "unit of an estimate differs": F.coalesce(other, F.lit(False)),
+        "disputed with best": disputed & best.isNotNull(),
+        "disputed with fewer than two estimates": disputed & (F.coalesce(F.size(estimates), F.lit(0)) < 2),
+        "disputed without notes": disputed & (F.coalesce(F.length(notes), F.lit(0)) == 0),
+    }
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))

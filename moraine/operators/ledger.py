@@ -17,6 +17,25 @@ def latest(rows: DataFrame, keys: list[str], by: Column | None, ordinal: str, ti
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("r")).select(*keys, "r.*")
 
 
+def latest_by_path(rows: DataFrame, path: str, by: Column, ordinal: str) -> DataFrame:
+    """The latest row of each path, the last of equals; rows without a path name no file and are left out."""
+    return latest(rows.where(F.col(path).isNotNull()), [path], by, ordinal, "last")
+
+
+def in_column(column: str, source: Column, level: Column, sources: dict[str, tuple[str, ...]], split: dict[str, str]) -> Column:
+    """Whether an entry counts in a column: its source must, and where columns share a source by product level the level must name the column's; an unknown level counts in each."""
+    held = source.isin(*sources[column])
+    return held & (level.isNull() | F.contains(F.upper(level), F.lit(split[column]))) if column in split else held
+
+
+def whole_scenes(entries: DataFrame, parts: tuple[str, ...], low: Column, high: Column) -> DataFrame:
+    """(scene, part, entry): the latest entry of each part (of equals the last) of the scenes that have every part in the closed window. entries: scene, part, ts, recorded, place, entry."""
+    inside = entries.where(F.col("part").isin(*parts) & F.col("ts").between(low, high))
+    newest = inside.groupBy("scene", "part").agg(F.max_by("entry", F.struct("recorded", "place")).alias("entry"))
+    whole = newest.groupBy("scene").agg(F.count("*").alias("_n")).where(F.col("_n") == len(parts)).select("scene")
+    return newest.join(whole, "scene", "left_semi")
+
+
 def overlaps(start: Column, end: Column, low: Column, high: Column, closed: tuple[bool, bool] = (True, True), unbounded: bool = False) -> Column:
     """Whether [start, end] meets a window whose ends are closed or not.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.plans import catalog, estimates, evaluation, hazard, ledger, records, reports, rules, scenes, solvers, terrain, watch  # noqa: F401
+from moraine.plans import catalog, checks, estimates, evaluation, hazard, ledger, records, reports, rules, scenes, solvers, terrain, watch  # noqa: F401
 from moraine.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -187,6 +187,20 @@ def test_sources(spark, tmp_path):
     assert readers.index_hash(index.where(F.col("path").endswith(".json"))).first().n == 2
 
 
+def test_document_titles(spark):
+    meta = '<meta name="{}" content="{}">'.format
+    rows = [
+        (meta("og:title", "first") + meta("citation_title", "second"), "text/html"),  # the first in the document
+        ('<meta content="turned" property="og:title"><title>t</title>', "application/xhtml+xml; x"),
+        (meta("og:title", " ") + "<title> a &eacute; &#233; &#xE9; &amp;amp;\n b </title>", "text/html"),
+        ('{"message": {"title": ["x &lt; y", "z"]}}', "application/json"), ('{"title": "plain"}', "application/json"), ('{"message": {}, "title": "no"}', "application/json"), ('{"title": []}', "application/json"), ("{", "application/json"),
+        ("<title>t</title>", "text/plain"), (None, "text/html"), ("<title></title>", "text/html"),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, body string, kind string")
+    got = [r.t for r in df.select("k", text.document_title(F.col("body"), F.col("kind")).alias("t")).orderBy("k").collect()]
+    assert got == ["first", "turned", "a é é é &amp; b", "x < y", "plain", None, None, None, None, None, None]
+
+
 def test_chip_shift_is_found():
     g = np.random.default_rng(0)
     x = sum(np.roll(g.normal(size=(32, 32)), k, 0) for k in range(3))
