@@ -49,20 +49,24 @@ def overlaps(start: Column, end: Column, low: Column, high: Column, closed: tupl
 
 
 def record_entries(records: DataFrame, entries: DataFrame, reach_days: int, bucket_days: int = 90) -> DataFrame:
-    """(record_id, entry_id, by_event, day, column, status, first_day, last_day) of entries that share a record's event, or its area near its time.
+    """(record_id, by_event, day, column, status, first_day, last_day, n) of entries that share a record's event, or its area near its time; n: how many like it.
 
-    records: record_id, event_id, aoi_id, day; entries: entry_id, event_id, aoi_id, column, status, first_day, last_day
-    (null: undated, found by event only). What the cells need travels with the pairs. Two equi-joins, the second also on time buckets, so that
-    an area with many records and entries isn't multiplied out.
+    records: record_id, event_id, aoi_id, day; entries: event_id, aoi_id, column, status, first_day, last_day
+    (null: undated, found by event only). Entries that are alike are one row with a count. Two equi-joins that have no pair in common: the
+    second takes entries of other events alone, and of the time buckets that a pair shares only the first, so pairs needn't be told apart again.
     """
-    with_pair = ("day", "column", "status", "first_day", "last_day")
-    by_event = records.select("record_id", "event_id", "day").join(entries.drop("aoi_id"), "event_id").select("record_id", "entry_id", F.lit(True).alias("by_event"), *with_pair)
-    cells = lambda low, high: F.explode(F.sequence(F.floor(low / bucket_days), F.floor(high / bucket_days)))
-    left = records.select("record_id", "aoi_id", "day", cells(F.col("day") - reach_days, F.col("day") + reach_days).alias("cell"))
-    right = entries.where("first_day is not null and last_day >= first_day").select("entry_id", "aoi_id", "column", "status", "first_day", "last_day", cells(F.col("first_day"), F.col("last_day")).alias("cell"))
-    near = left.join(right, ["aoi_id", "cell"]).where(overlaps(F.col("first_day"), F.col("last_day"), F.col("day") - reach_days, F.col("day") + reach_days))
-    both = by_event.unionByName(near.select("record_id", "entry_id", F.lit(False).alias("by_event"), *with_pair))
-    return both.groupBy("record_id", "entry_id").agg(F.bool_or("by_event").alias("by_event"), *[F.first(c).alias(c) for c in with_pair])
+    like = ["event_id", "aoi_id", "column", "status", "first_day", "last_day"]
+    kinds = entries.groupBy(*like).agg(F.count("*").alias("n"))
+    carried = ("day", "column", "status", "first_day", "last_day", "n")
+    by_event = records.select("record_id", "event_id", "day").join(kinds.drop("aoi_id"), "event_id").select("record_id", F.lit(True).alias("by_event"), *carried)
+    cell = lambda x: F.floor(x / bucket_days)
+    cells = lambda low, high: F.explode(F.sequence(cell(low), cell(high))).alias("cell")
+    low, high = F.col("day") - reach_days, F.col("day") + reach_days
+    left = records.select("record_id", "aoi_id", "day", F.col("event_id").alias("own"), cells(low, high))
+    right = kinds.where("first_day is not null and last_day >= first_day").select("*", cells(F.col("first_day"), F.col("last_day")))
+    first = F.greatest(cell(low), cell(F.col("first_day")))
+    near = left.join(right, ["aoi_id", "cell"]).where((F.col("cell") == first) & ~F.col("own").eqNullSafe(F.col("event_id")) & overlaps(F.col("first_day"), F.col("last_day"), low, high))
+    return by_event.unionByName(near.select("record_id", F.lit(False).alias("by_event"), *carried))
 
 
 def coverage(records: DataFrame, entries: DataFrame, columns: list[str], available: dict[str, int], ranks: dict[str, int], reach_days: int = 90) -> DataFrame:
@@ -72,8 +76,8 @@ def coverage(records: DataFrame, entries: DataFrame, columns: list[str], availab
     rank = F.coalesce(*[F.when(F.col("status") == s, r) for s, r in ranks.items()])
     undated = F.col("first_day").isNull() & F.col("by_event")
     inside = [F.when(undated | overlaps(F.col("first_day"), F.col("last_day"), F.col("day") + a, F.col("day") + b, (lc, rc)), F.lit(name)) for name, a, b, lc, rc in windows]
-    hits = found.select("record_id", "column", rank.alias("rank"), "status", F.explode(F.array_compact(F.array(*inside))).alias("window"))
-    cells = hits.groupBy("record_id", "column", "window").agg(F.min_by("status", "rank").alias("status"), F.count("*").alias("n"))
+    hits = found.select("record_id", "column", "n", rank.alias("rank"), "status", F.explode(F.array_compact(F.array(*inside))).alias("window"))
+    cells = hits.groupBy("record_id", "column", "window").agg(F.min_by("status", "rank").alias("status"), F.sum("n").alias("n"))
     ends = F.array(*[F.struct(F.lit(name).alias("window"), F.lit(b).alias("end")) for name, _, b, _, _ in windows])
     starts = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(available[c]).alias("since")) for c in columns])
     grid = records.select("record_id", "day", F.explode(starts).alias("c"), F.lit(0).alias("_")).select("record_id", "day", "c.*", F.explode(ends).alias("w")).select("record_id", "day", "column", "since", "w.*")

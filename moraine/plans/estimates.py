@@ -195,12 +195,23 @@ def hypercube_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.split_by_run(rows, "s_suppkey", 20260903)
 
 
-@query()
+@query(
+    """
+with recursive x as (
+  select (n_chars % 101) / 50.0::double - 1 as v, count(*) filter (where quality = 1) as p, count(*) filter (where quality is distinct from 1) as n from labels join documents using (doc_id) group by 1),
+t as (select (sum(p) + sum(n))::double as total, (sum(p) + 1) / (sum(p) + 2)::double as high, 1 / (sum(n) + 2)::double as low from x),
+g as (
+  select 0 as i, 1.0::double as a, 0.0::double as b
+  union all
+  select i + 1, a - 0.5::double * sum(w * v) / any_value(total), b - 0.5::double * sum(w) / any_value(total)
+  from (select i, a, b, v, total, p * (1 / (1 + exp(-(v * a + b))) - high) + n * (1 / (1 + exp(-(v * a + b))) - low) as w from g, x, t where i < 200) s group by i, a, b)
+select round(a, 6) as slope, round(b, 6) as intercept from g where i = 200"""
+)
 def platt_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope and intercept that turn scores into probabilities, by 200 gradient steps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 101) / 50.0 - 1).alias("score"))
-    slope, intercept = balance.sigmoid(table(spark, sf_dir, "labels").join(docs, "doc_id"), "score", F.col("quality") == 1)
-    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+    slope, intercept = balance.sigmoid(table(spark, sf_dir, "labels").join(docs, "doc_id"), "score", F.coalesce(F.col("quality") == 1, F.lit(False)))
+    return spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
 
 
 # Forecasts and alerts

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.checkpoints import cut
 from moraine.operators import ledger
 from moraine.plans.base import DAY_US, micros, query
 from moraine.tables import table
@@ -99,10 +98,10 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best status and count of each record, column and window."""
     dated = F.col("l_quantity") <= 48
     first = F.when(dated, _days("l_shipdate"))
-    rows = cut(table(spark, sf_dir, "lineitem").select(
-        F.monotonically_increasing_id().alias("entry_id"), F.col("l_suppkey").alias("event_id"), (F.col("l_partkey") % 25).cast("int").alias("aoi_id"), F.col("l_linestatus").alias("column"), F.col("l_returnflag").alias("status"),
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("event_id"), (F.col("l_partkey") % 25).cast("int").alias("aoi_id"), F.col("l_linestatus").alias("column"), F.col("l_returnflag").alias("status"),
         first.alias("first_day"), (first + F.col("l_quantity").cast("long")).alias("last_day"),
-    ))
+    )
     records = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("aoi_id"), (10000 + F.col("s_suppkey") % 1000).alias("day"))
     return ledger.coverage(records, rows, ["O", "F"], {"O": 0, "F": 10050}, {"A": 0, "R": 1, "N": 2})
 

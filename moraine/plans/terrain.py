@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.checkpoints import cut
-from moraine.operators import grids, resampling, units
+from moraine.operators import balance, grids, resampling, surrogate, units
 from moraine.plans.base import query
 from moraine.tables import table
 
@@ -115,3 +115,26 @@ select every.r, every.c, coalesce(v, -1) as value from every left join g on g.r
 def warped_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class at the middle of each target cell."""
     return grids.warp(_field(spark, sf_dir, "p_size % 7"), SOURCE, TARGET, "nearest", 3.0, -1.0)
+
+
+@query()
+def bearing_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the ground falls along each supplier's bearing over the grid of events."""
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(k.alias("id"), (30 - 0.002 * (k % 5)).alias("latitude"), (79 + 0.004 * (k * 13 % 41)).alias("longitude"), (90.0 + k * 37 % 90).alias("azimuth"))
+    cells = elevations(spark, sf_dir).where("z is not null").withColumnRenamed("z", "value")
+    return surrogate.terrain_profiles(sources, "id", cells, (30.0, 79.0), 0.001, 6000.0, 250.0)
+
+
+@query()
+def boosted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by split, label and the class that boosted trees of the train split give them; runs are sources, and none is in two splits."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.length("text").alias("n"), F.size(F.split("text", " ")).alias("words"), F.length(F.regexp_replace("text", "[a-z ]", "")).alias("odd"))
+    rows = balance.split_by_run(d.join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id"), "source", 20260903)
+    features = ["n_chars", "n", "words", "odd"]
+    rows = cut(rows.select("doc_id", "split", "source", "quality", *[F.coalesce(F.col(f), F.lit(0)).cast("double").alias(f) for f in features]))
+    if balance.overlap(rows, "source").count():
+        raise ValueError("a source is in more than one split")
+    seen = rows.where("split <> 'test'")
+    models = surrogate.boosted_trees(seen, features, "quality", "split", 2, rounds=5, depth=3)
+    return surrogate.predicted(models, rows, features).groupBy("split", "quality", "predicted").agg(F.count("*").alias("n"))
