@@ -110,6 +110,38 @@ def index_hash(index: DataFrame) -> DataFrame:
     return index.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"), F.count("*").alias("n"))
 
 
+def write_file_index(spark: SparkSession, folder: str, path: str) -> tuple[str, int]:
+    """Writes the index of a folder as one text file, a line ``path, hash, size`` a file in order of the path below the folder; its own hash and the number of lines come back.
+
+    Files are hashed where they are read; only lines, one a file, go to the task that writes. The same files give the same
+    index, in whatever order they are listed.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    top = jvm.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = files.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index("path", base, -1)
+    held = file_index(spark, folder)
+    empty = []
+    if files.getContentSummary(top).getFileCount() > held.select("path").count():  # Spark's scans leave empty files out
+        listed = files.listFiles(top, True)
+        while listed.hasNext():
+            status = listed.next()
+            if not status.getLen():
+                empty.append((status.getPath().toString(),))
+    none = spark.createDataFrame(empty, "path string").select("path", F.sha2(F.lit(""), 256).alias("sha256"), F.lit(0).cast("long").alias("size"))
+    lines = held.unionByName(none).select(below.alias("path"), "sha256", "size").orderBy("path").select(F.concat_ws("\t", "path", "sha256", "size").alias("value"))
+    target, parts = jvm.Path(path), f"{path}.parts"
+    lines.coalesce(1).write.mode("overwrite").text(parts)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = next(s.getPath() for s in out.listStatus(jvm.Path(parts)) if s.getPath().getName().startswith("part-"))
+    out.delete(target, False)
+    out.rename(written, target)
+    out.delete(jvm.Path(parts), True)
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).alias("n")).first()
+    return digest.h, digest.n
+
+
 def write_cube(samples: DataFrame, path: str) -> None:
     """Long cube partitioned by layer and day, so that a read of one layer and time prunes to its files."""
     samples.repartition("layer", "day").write.partitionBy("layer", "day").option("compression", "zstd").mode("overwrite").parquet(path)

@@ -262,8 +262,25 @@ def test_greedy_clusters_equal_a_loop_over_all(spark):
         else:
             clusters.append([row])
     want = {m[0]: c[0][0] for c in clusters for m in c}
-    got = {x.id: x.cluster for x in catalog.greedy_clusters(spark.createDataFrame(rows, "id long, t long, lat double, lon double"), 180, 100.0).collect()}
-    assert got == want and 1 < max(len(c) for c in clusters)
+    df = spark.createDataFrame(rows, "id long, t long, lat double, lon double")
+    try:
+        for batch in (10_000, 7):  # a region that is cut into many batches
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {x.id: x.cluster for x in catalog.greedy_clusters(df, 180, 100.0).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 1 < max(len(c) for c in clusters)
+
+
+def test_clusters_remember_the_last_seconds_alone():
+    from moraine.operators import catalog
+
+    state = catalog.Clusters(180, 100.0)
+    r = np.random.default_rng(1)
+    for k in range(50):
+        t = np.sort(r.uniform(k * 1000, (k + 1) * 1000, 400))
+        state.take(t, r.uniform(20, 21, 400), r.uniform(80, 81, 400), np.arange(400) + 400 * k)
+        assert all(len(x) < 120 for x in state.held)
 
 
 def test_seasonal_fit_is_causal_and_exact(spark):

@@ -142,3 +142,40 @@ def test_boosted_trees_on_held_out_rows(spark):
     assert right > 0.88
     with pytest.raises(ValueError):
         surrogate.boosted_trees(df, ["x", "y"], "label", "split", 3)
+
+
+def test_file_index_is_one_sorted_file_with_a_hash(spark, tmp_path):
+    import hashlib
+
+    root = tmp_path / "store"
+    for name, text in (("b/2", "two"), ("a", "one"), ("b/1", ""), ("c d", "three")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    got = readers.write_file_index(spark, str(root), str(tmp_path / "index.tsv"))
+    want = "".join(f"{n}\t{hashlib.sha256(t.encode()).hexdigest()}\t{len(t)}\n" for n, t in (("a", "one"), ("b/1", ""), ("b/2", "two"), ("c d", "three")))
+    assert (tmp_path / "index.tsv").read_text() == want and got == (hashlib.sha256(want.encode()).hexdigest(), 4)
+    assert readers.write_file_index(spark, str(root), str(tmp_path / "index.tsv")) == got  # written anew
+    (root / "a").write_text("One")
+    assert readers.write_file_index(spark, str(root), str(tmp_path / "index.tsv"))[0] != got[0]
+
+
+def test_cube_reads_one_layer_and_day_alone(spark, tmp_path):
+    cube = spark.createDataFrame([(layer, day, unit, float(unit)) for layer in ("los", "coh") for day in (1, 2, 3) for unit in range(4)], "layer string, day int, unit int, value double")
+    readers.write_cube(cube, str(tmp_path / "cube"))
+    found = spark.read.parquet(str(tmp_path / "cube")).where("layer = 'los' and day = 2")
+    assert sorted((r.unit, r.value) for r in found.collect()) == [(k, float(k)) for k in range(4)]
+    assert len(found.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(layer" in found._jdf.queryExecution().toString()
+
+
+def test_items_list_the_layers_valid_at_their_time(spark):
+    import json
+
+    rows = spark.sql("select timestamp '2024-01-01 06:00:00' as time, l as layer, v as valid from values ('los', true), ('coh', true), ('coh', true), ('snow', false) t(l, v)")
+    item = json.loads(readers.catalogue_items(rows).first()["item"])
+    assert item == {"type": "Feature", "datetime": "2024-01-01T06:00:00Z", "layers": ["coh", "los"]}
+
+
+def test_map_elements_of_each_type(spark):
+    text = '{"elements": [{"type": "node", "id": 1, "lat": 28.5, "lon": 85.25, "tags": {"bridge": "yes"}}, {"type": "way", "id": 2, "nodes": [1, 3]}, {"type": "relation", "id": 3}]}'
+    rows = readers.overpass_elements(spark.createDataFrame([(text,), ('{"elements": []}',)], "value string")).collect()
+    assert [(r.type, r.id, r.lat, r.nodes, r.tags) for r in rows] == [("node", 1, 28.5, None, {"bridge": "yes"}), ("way", 2, None, [1, 3], None), ("relation", 3, None, None, None)]
