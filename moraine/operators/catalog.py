@@ -85,6 +85,16 @@ def assemble(positives: DataFrame, negatives: DataFrame, noise: DataFrame) -> Da
     return lead.unionByName(others[0]).unionByName(others[1])
 
 
+def integrity(entries: DataFrame) -> DataFrame:
+    """One row: matched entries, those whose positive isn't there, whose group isn't the positive's, that have stations which it lacks, and the exit code (3 for an orphan, 1 for the others). entries: entry, group, matched, stations."""
+    lead = entries.select(F.col("entry").alias("matched"), F.col("group").alias("_group"), F.col("stations").alias("_stations"), F.lit(True).alias("_there"))
+    both = entries.where(F.col("matched").isNotNull()).join(lead, "matched", "left")
+    orphan = F.col("_there").isNull()
+    other, more = ~orphan & (F.col("group") != F.col("_group")), ~orphan & (F.size(F.array_except("stations", "_stations")) > 0)
+    code = F.when(F.count_if(orphan) > 0, 3).when(F.count_if(other | more) > 0, 1).otherwise(0)
+    return both.agg(F.count("*").alias("n_matched"), F.count_if(orphan).alias("n_orphans"), F.count_if(other).alias("n_other_group"), F.count_if(more).alias("n_more_stations"), code.alias("exit_code"))
+
+
 def scenes(candidates: DataFrame, key: str, day: str, cloud: str, most: int, limit: float) -> DataFrame:
     """The clearest scenes of each key, the newer of equals; unknown cloud takes no part."""
     good = candidates.where(F.col(cloud).isNotNull() & (F.col(cloud) <= limit))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import text
-from moraine.operators import catalog, contracts, ledger
+from moraine.operators import catalog, contracts, ensemble, ledger
 from moraine.plans import catalog as matching
 from moraine.plans.base import DAY_US, ORACLE_SQL, micros, query, rounded
+from moraine.streaming import detector
 from moraine.tables import table
 
 
@@ -178,3 +179,56 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k % 5 == 0, F.to_json(F.struct(F.struct(F.array(F.concat(F.lit("A &eacute;&#233;&#xe9; &amp; "), k.cast("string"))).alias("title")).alias("message")))).otherwise(F.col("html"))
     kind = F.when(k % 5 == 0, "application/json; charset=utf-8").when(k % 7 == 0, "text/plain").otherwise("Text/HTML")
     return table(spark, sf_dir, "pages").select("page_id", text.document_title(body, kind).alias("title"))
+
+
+@query(
+    """
+with x as (select l_orderkey * 10 + l_linenumber as asset, case when l_suppkey % 11 > 0 then s_nationkey end as transect, case when l_tax > 0 then l_extendedprice end as lo, case when l_tax > 0 then l_extendedprice * 1.2 end as hi, 2.0::double + l_linenumber / 4.0::double as d0 from lineitem join supplier on l_suppkey = s_suppkey),
+a as (select n_nationkey as transect, 20.0::double + n_nationkey * 3 as alo, 30.0::double + n_nationkey * 4 as ahi, case when n_nationkey % 6 > 0 then n_nationkey / 8.0::double end as dlo, case when n_nationkey % 6 > 0 then n_nationkey / 5.0::double end as dhi from nation where n_nationkey % 5 > 0),
+s as (select r_regionkey as scenario, case when r_regionkey > 0 then r_regionkey * 8.0::double end as delay from region),
+f as (select *, case when x.transect is null then 'no_transect' when alo is null then 'no_arrival' when dlo is null then 'no_flow_depth' when lo is null then 'no_replacement_value' end as reason, lo * case when dlo <= 0 then 0 else least(1, 1 - exp(-((dlo / (d0 * 1.2)) ** 2))) end as blo, hi * case when dhi <= 0 then 0 else least(1, 1 - exp(-((dhi / (d0 * 0.8)) ** 2))) end as bhi,
+    case when delay is null then 0 else least(1, greatest(0, (alo - delay - 10) / 50)) * 0.3 end as slo, case when delay is null then 0 else least(1, greatest(0, (ahi - delay - 10) / 50)) * 0.6 end as shi from x left join a on x.transect = a.transect cross join s),
+g as (select *, blo * (1 - shi) as llo, bhi * (1 - slo) as lhi from f)
+select scenario, coalesce(reason, 'computed') as reason, count(*) as n, round(sum(llo) filter (where reason is null), 1) as loss_low, round(sum(lhi) filter (where reason is null), 1) as loss_high,
+  round(sum(greatest(0, least(blo - lhi, bhi - llo))) filter (where reason is null and delay is not null), 1) as avoided_low, round(sum(greatest(0, blo - lhi, bhi - llo)) filter (where reason is null and delay is not null), 1) as avoided_high from g group by 1, 2"""
+)
+def warned_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of every asset with and without a warning, by scenario and by what blocks them; the baseline avoids nothing."""
+    items, k = table(spark, sf_dir, "lineitem"), F.col("n_nationkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    priced = lambda f: F.when(F.col("l_tax") > 0, F.col("l_extendedprice") * f)
+    exposure = items.join(supplier, items["l_suppkey"] == supplier["s_suppkey"]).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset"), F.when(F.col("l_suppkey") % 11 > 0, F.col("s_nationkey")).alias("transect"), priced(1.0).alias("value_low"), priced(1.2).alias("value_high"), (2.0 + F.col("l_linenumber") / 4.0).alias("scale"))
+    deep = lambda f: F.when(k % 6 > 0, k / f)
+    arrivals = table(spark, sf_dir, "nation").where(k % 5 > 0).select(k.alias("transect"), (20.0 + k * 3).alias("arrival_low"), (30.0 + k * 4).alias("arrival_high"), deep(8.0).alias("depth_low"), deep(5.0).alias("depth_high"))
+    r = F.col("r_regionkey")
+    scenarios = table(spark, sf_dir, "region").select(r.alias("scenario"), F.when(r > 0, r * 8.0).alias("delay_min"))
+    rows = ensemble.warned_losses(exposure, arrivals, scenarios, 2.0, (1.2, 0.8), (10.0, 60.0), (0.3, 0.6))
+    sums = [rounded(F.sum(c), 1).alias(c) for c in ("loss_low", "loss_high", "avoided_low", "avoided_high")]
+    return rows.groupBy("scenario", F.coalesce("reason", F.lit("computed")).alias("reason")).agg(F.count("*").alias("n"), *sums)
+
+
+@query(
+    """
+with m as (select event_type as kind, epoch_us(ts) as t from events where event_type <> 'view' union all select 'alert', epoch_us(ts) + 5000000 from events where value > 400)
+select kind, count(*) as n, min(t) as first_us, round((min(t) - 1704067200000000) / 1e6::double, 6) as latency_s, round((min(t) - (select min(t) from m)) / 1e6::double / 60, 6) as due_wall_s from m group by kind"""
+)
+def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a replay by kind, the first of each, and its latency in stream time and in wall time at sixty times the speed."""
+    ev = table(spark, sf_dir, "events").select("event_type", "value", micros("ts").alias("t"))
+    messages = ev.where("event_type <> 'view'").select(F.col("event_type").alias("kind"), F.col("t").alias("stream_us")).unionByName(ev.where("value > 400").select(F.lit("alert").alias("kind"), (F.col("t") + 5_000_000).alias("stream_us")))
+    out = detector.replay_report(messages, F.lit(1_704_067_200_000_000), 60.0)
+    return out.select("kind", "n", "first_us", rounded("latency_s").alias("latency_s"), rounded("due_wall_s").alias("due_wall_s"))
+
+
+@query(
+    """
+with w as (select doc_id as entry, source as grp, case when doc_id % 3 > 0 then doc_id - doc_id % 3 end as matched, list_transform(range(1 + n_chars % 5), lambda k: (doc_id % 2 + k * (1 + doc_id % 3)) % 6) as stations from documents),
+x as (select a.entry, b.entry is null as orphan, b.entry is not null and b.grp <> a.grp as other_group, b.entry is not null and len(list_filter(a.stations, lambda s: not list_contains(b.stations, s))) > 0 as more_stations from w a left join w b on a.matched = b.entry where a.matched is not null)
+select count(*) as n_matched, count(*) filter (where orphan) as n_orphans, count(*) filter (where other_group) as n_other_group, count(*) filter (where more_stations) as n_more_stations, case when count(*) filter (where orphan) > 0 then 3 when count(*) filter (where other_group or more_stations) > 0 then 1 else 0 end as exit_code from x"""
+)
+def catalogue_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched entries whose positive isn't there, is of another group, or has not all of their stations, and the code that a check ends with."""
+    d = F.col("doc_id")
+    stations = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_chars") % 5), lambda k: (d % 2 + k * (1 + d % 3)) % 6)
+    rows = table(spark, sf_dir, "documents").select(d.alias("entry"), F.col("source").alias("group"), F.when(d % 3 > 0, d - d % 3).alias("matched"), stations.alias("stations"))
+    return catalog.integrity(rows)

@@ -142,6 +142,16 @@ def write_file_index(spark: SparkSession, folder: str, path: str) -> tuple[str,
     return digest.h, digest.n
 
 
+def verify_file_index(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """(path, kind) of what differs between an index that ``write_file_index`` wrote and the folder, whose files are hashed again: missing, changed, or stale (not in the index)."""
+    noted = spark.read.text(path).where("value <> ''").select(F.split("value", "\t").alias("x")).select(F.get("x", F.lit(0)).alias("path"), F.concat_ws("\t", F.get("x", F.lit(1)), F.get("x", F.lit(2))).alias("noted"))
+    again = f"{path}.again"
+    write_file_index(spark, folder, again)
+    found = spark.read.text(again).where("value <> ''").select(F.split("value", "\t").alias("x")).select(F.get("x", F.lit(0)).alias("path"), F.concat_ws("\t", F.get("x", F.lit(1)), F.get("x", F.lit(2))).alias("found"))
+    kind = F.when(F.col("found").isNull(), "missing").when(F.col("noted").isNull(), "stale").when(F.col("noted") != F.col("found"), "changed")
+    return noted.join(found, "path", "full").select("path", kind.alias("kind")).where("kind is not null")
+
+
 def write_cube(samples: DataFrame, path: str) -> None:
     """Long cube partitioned by layer and day, so that a read of one layer and time prunes to its files."""
     samples.repartition("layer", "day").write.partitionBy("layer", "day").option("compression", "zstd").mode("overwrite").parquet(path)

@@ -134,6 +134,16 @@ def golden_differences(expected: DataFrame, actual: DataFrame, tolerance: float
     return both.select(*keys, problem.alias("problem")).where("problem is not null").orderBy(*keys).limit(most)
 
 
+def replay_report(messages: DataFrame, origin_us: Column, speed: float) -> DataFrame:
+    """(kind, n, first_us, latency_s, due_wall_s): how many messages of each kind a replay gave, the stream time of the first, how long after the origin that is, and when a replay at that speed is due to give it.
+
+    messages: kind, stream_us. Wall time counts from the first message of all.
+    """
+    by = messages.groupBy("kind").agg(F.count("*").alias("n"), F.min("stream_us").alias("first_us"))
+    start = F.broadcast(messages.agg(F.min("stream_us").alias("_start")))  # one row
+    return by.crossJoin(start).select("kind", "n", "first_us", ((F.col("first_us") - origin_us) / 1e6).alias("latency_s"), ((F.col("first_us") - F.col("_start")) / 1e6 / speed).alias("due_wall_s"))
+
+
 def decoded(messages: DataFrame, registry: dict[str, tuple[str, str]], raw: str = "raw") -> DataFrame:
     """messages with ``envelope`` and ``problem``: JSON envelopes of the registered schemas (name: version and DDL of the payload).
 

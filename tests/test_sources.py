@@ -155,6 +155,12 @@ def test_file_index_is_one_sorted_file_with_a_hash(spark, tmp_path):
     want = "".join(f"{n}\t{hashlib.sha256(t.encode()).hexdigest()}\t{len(t)}\n" for n, t in (("a", "one"), ("b/1", ""), ("b/2", "two"), ("c d", "three")))
     assert (tmp_path / "index.tsv").read_text() == want and got == (hashlib.sha256(want.encode()).hexdigest(), 4)
     assert readers.write_file_index(spark, str(root), str(tmp_path / "index.tsv")) == got  # written anew
+    assert readers.verify_file_index(spark, str(root), str(tmp_path / "index.tsv")).count() == 0
+    (root / "c d").unlink()
+    (root / "new").write_text("x")
+    (root / "b/1").write_text("no longer empty")
+    found = readers.verify_file_index(spark, str(root), str(tmp_path / "index.tsv")).collect()
+    assert {(r.path, r.kind) for r in found} == {("c d", "missing"), ("new", "stale"), ("b/1", "changed")}
     (root / "a").write_text("One")
     assert readers.write_file_index(spark, str(root), str(tmp_path / "index.tsv"))[0] != got[0]
 
