@@ -9,7 +9,8 @@ of last pieces is filled from left to right and the ids are read off backwards.
 Segments end where no piece reaches across: after a run of white space marks and the letters
 behind it, and on both sides of a character outside the vocabulary, which falls back to bytes.
 Within a partition a worker remembers the short segments it met last, up to 2 * ``REMEMBERED`` (about
-50 MB), and then forgets them, as an idle worker keeps its memory; this changes nothing but time.
+80 MB), and then forgets them, as an idle worker keeps its memory. It keeps the pairs of pieces that it has
+tested, up to ``TESTED`` (about 50 MB), which later texts need again. This changes nothing but time.
 
 Only identity-normalised BPE models with byte fallback are accepted.
 
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 60_000
+REMEMBERED = 100_000
+TESTED = 300_000
 LONGEST_REMEMBERED = 64
 BATCH_BYTES = 4_000_000
 
@@ -66,10 +68,11 @@ class Codec:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.outside = re.compile("([^" + "".join(re.escape(c) for c in self.ids if len(c) == 1) + "]+)")
+        self.compatible: dict[tuple[str, str], bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.compatible: dict[tuple[str, str], bool] = {}
+        """The segments met so far."""
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
@@ -86,7 +89,7 @@ class Codec:
 
     def fits(self, a: str, b: str) -> bool:
         if (known := self.compatible.get((a, b))) is None:
-            if len(self.compatible) > 2 * REMEMBERED:
+            if len(self.compatible) > TESTED:
                 self.compatible.clear()
             known = self.compatible[a, b] = self.merged(a + b) == [a, b]
         return known
