@@ -142,6 +142,15 @@ class Template:
         self.need, self.width = shape(text, threshold)
         self.prefix = frozenset(self.ordered[: len(self.ordered) - self.need + 1])
 
+    def reaches(self, rank: int, ranks: list[int], a: int, b: int) -> bool:
+        """The positional filter of a prefix word as the rarest one that a block shares with the template: of both ordered sets only words behind it can be shared as well.
+
+        Of the block those are among the words of ranks[a:b] that are more frequent; it is asked before anything is intersected.
+        """
+        if b - a < self.need or len(self.ordered) - self.place[rank] < self.need:
+            return False
+        return 1 + len({r for r in ranks[a:b] if r > rank}) >= self.need
+
 
 class Index:
     """The templates, and the order of their words by frequency."""
@@ -158,31 +167,23 @@ class Index:
     def blocks(self, found: list[bytes]) -> Iterator[tuple[int, int, str, float]]:
         """First word, words, label and best containment of each block of a text's words."""
         hits = [(p, r) for p, w in enumerate(found) if (r := self.rank.get(w, -1)) >= 0]
-        start: dict[int, list[int]] = {}
-        for k, (_, r) in enumerate(hits):
+        places, ranks = [p for p, _ in hits], [r for _, r in hits]
+        spans: dict[int, list[list[int]]] = {}  # of hits that a block around a prefix word can hold
+        for k, r in enumerate(ranks):
             for t in self.prefix.get(r, ()):
-                start.setdefault(id(t), []).append(k)
-        if not start:
-            return
-        places = [p for p, _ in hits]
-        for t in self.templates:
-            if id(t) not in start or len(found) < t.need:
-                continue
-            spans: list[list[int]] = []  # of hits that a block around a prefix word can hold
-            for k in start[id(t)]:
                 a, b = bisect_left(places, places[k] - t.width + 1), bisect_left(places, places[k] + t.width)
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = b
+                if not t.reaches(r, ranks, a, b):
+                    continue
+                held = spans.setdefault(id(t), [])
+                if held and a <= held[-1][1]:
+                    held[-1][1] = b
                 else:
-                    spans.append([a, b])
-            for a, b in spans:
-                part = hits[a:b]
-                ranks = {r for _, r in part}
-                common = ranks.intersection(t.place)
-                first = min(common)
-                behind = sum(r > first for r in ranks)
-                if 1 + min(len(t.ordered) - t.place[first] - 1, behind) >= t.need and len(common) >= t.need:
-                    yield from self._verified(t, [(p, r) for p, r in part if r in t.place])
+                    held.append([a, b])
+        for t in self.templates:
+            for a, b in spans.get(id(t), ()):
+                part = [(p, r) for p, r in hits[a:b] if r in t.place]
+                if len({r for _, r in part}) >= t.need:
+                    yield from self._verified(t, part)
 
     @staticmethod
     def _verified(t: Template, part: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, float]]:

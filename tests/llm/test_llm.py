@@ -549,6 +549,32 @@ def test_positional_filter_prunes_only_what_cannot_match():
     assert "mit" in calls
 
 
+def test_position_alone_rejects_before_words_are_shared():
+    """Prefix words among enough of the vocabulary's words, of which too few are behind them in the order."""
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    mit = next(t for t in index.templates if t.label == "mit")
+    word = {r: w for w, r in index.rank.items()}
+    last = sorted(mit.prefix)[-1]
+    before = ([r for r in sorted(word) if r < last and r not in mit.place] * mit.need)[: mit.need + 5]
+    asked = []
+    reaches = licenses.Template.reaches
+    licenses.Template.reaches = lambda self, rank, ranks, a, b: asked.append((self.label, b - a >= self.need, reaches(self, rank, ranks, a, b))) or asked[-1][2]
+    try:
+        list(index.blocks([word[r] for r in before] + [word[last]]))
+        lone = [x for x in asked if x[0] == "mit"]
+        assert lone == [("mit", True, False)] and len(before) >= mit.need  # long enough, and yet out by its place
+        asked.clear()
+        r = random.Random(4)
+        vocabulary = sorted(word.values())
+        for _ in range(40):
+            few = r.sample(vocabulary, 25)
+            list(index.blocks([r.choice(few) if r.random() < 0.9 else b"filler" for _ in range(400)]))
+    finally:
+        licenses.Template.reaches = reaches
+    out = [x for x in asked if x[1] and not x[2]]
+    assert len(asked) > 1000 and len(out) > 50  # of the prefix words with words enough around them these go by position
+
+
 def test_licenses_find_spread_and_altered_notices(spark):
     wrapped = "\n * ".join(re.findall(r".{1,70}(?:\s|$)", " ".join(licenses.TEMPLATES["mit"][0].split())))
     rows = [
