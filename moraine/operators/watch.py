@@ -7,7 +7,7 @@ A step never sees a later sample, and history is earlier steps only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -125,6 +125,23 @@ def score(states: DataFrame, config: WatchConfig) -> DataFrame:
     return out.select("step", "unit_id", tier(F.col("score"), F.col("reason")).alias("tier"), "score", "velocity", "acceleration", "n_samples", "median_coherence", "reason")
 
 
+def score_as_of(samples: DataFrame, units: DataFrame, config: WatchConfig, as_of: int, asked: DataFrame | None = None) -> DataFrame:
+    """What ``score`` says of each unit on one day, from samples up to that day alone, with ``max_input_t``, the latest sample of all that was read.
+
+    Steps go back from the day by ``every`` as far as the configuration's first. asked: unit_id; one that has no row in units is ``unit_not_in_view``.
+    """
+    steps = max(0, (as_of - config.first_step) // config.every)
+    own = replace(config, first_step=as_of - steps * config.every, last_step=as_of)
+    seen = samples.where(F.col("t") <= as_of)
+    out = score(unit_states(at_steps(seen, own), units, own), own).where(F.col("step") == as_of)
+    latest = F.broadcast(seen.agg(F.max("t").alias("max_input_t")))  # one row
+    out = out.crossJoin(latest)
+    if asked is None:
+        return out
+    gone = asked.join(units, "unit_id", "left_anti").select("unit_id", F.lit(as_of).cast("long").alias("step"), F.lit("insufficient").alias("tier"), F.lit("unit_not_in_view").alias("reason")).crossJoin(latest)
+    return out.join(asked, "unit_id", "left_semi").unionByName(gone, allowMissingColumns=True)
+
+
 def deseasonalised(samples: DataFrame, config: WatchConfig, orders: int = 2) -> DataFrame:
     """(unit_id, step, t, v, coh) with each step's own seasonal fit removed.
 

@@ -250,6 +250,19 @@ def alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_xml(alert_messages(spark, sf_dir), "monitor@example.org")
 
 
+@query(
+    """
+select 'detection-' || user_id || '-' || event_id || '-' || strftime(ts, '%Y%m%dT%H%M%S') as identifier, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as sent, 'Unknown' as severity, 'Unknown' as urgency, 'Unknown' as certainty, strftime(ts + interval 1 hour, '%Y-%m-%dT%H:%M:%S') || '+00:00' as expires
+from events where event_type = 'error'"""
+)
+def detection_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for a detection alone: nothing is known of severity, urgency or certainty, and no area is named."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    key = F.concat_ws("-", F.lit("detection"), "user_id", "event_id")
+    unknown = [F.lit("Unknown").alias(n) for n in ("severity", "urgency", "certainty")]
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select(text.identifier(key, ts).alias("identifier"), text.stamp(ts).alias("sent"), *unknown, text.stamp(ts + F.expr("interval 1 hour")).alias("expires"))
+
+
 DELAY = """
 delays as (select r_regionkey as event, 153.3::double as detection_s, case when r_regionkey % 2 = 0 then 33.8::double end as inversion_s, 0.00128::double as surrogate_s, 30.0::double as dissemination_s from region),
 totals as (select event, case when inversion_s is null then null else detection_s + inversion_s + surrogate_s + dissemination_s end as known from delays)"""

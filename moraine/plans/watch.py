@@ -110,6 +110,22 @@ def watch_tiers_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.score(watch.unit_states(watch.deseasonalised(scaled, CONFIG), known, CONFIG), CONFIG)
 
 
+@query(
+    "with "
+    + SCORED
+    + """
+select unit_id, step, tier, round(score, 4) as score, reason, (select round(max(t), 6) from samples where t <= 28) as max_input_t from tiers where step = 28 and unit_id % 3 = 0
+union all select -1, 28, 'insufficient', null, 'unit_not_in_view', (select round(max(t), 6) from samples where t <= 28)"""
+)
+def watch_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every third unit, and of one that isn't there, on one day, from nothing later than that day."""
+    known = units(spark, sf_dir)
+    scaled = samples(spark, sf_dir).join(known.select("unit_id", "sens"), "unit_id").withColumn("v", F.col("v") / F.col("sens"))
+    asked = known.where("unit_id % 3 = 0").select("unit_id").unionByName(spark.createDataFrame([(-1,)], "unit_id long"))
+    out = watch.score_as_of(scaled, known, CONFIG, 28, asked)
+    return out.select("unit_id", "step", "tier", rounded("score", 4).alias("score"), "reason", rounded("max_input_t").alias("max_input_t"))
+
+
 @query("with " + SCORED + " select step, count(*) filter (where tier = 'watch') as n_watch, count(*) filter (where tier = 'elevated') as n_elevated, count(*) filter (where tier = 'quiet') as n_quiet, count(*) filter (where tier = 'insufficient') as n_insufficient, round(max(score), 4) as best_score from tiers group by step")
 def step_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.step_counts(watch.score(states(spark, sf_dir), CONFIG)).withColumn("best_score", rounded("best_score", 4))

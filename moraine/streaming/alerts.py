@@ -10,8 +10,8 @@ NAMESPACE = "urn:oasis:names:tc:emergency:cap:1.2"
 
 
 def alert_xml(alerts: DataFrame, sender: str, language: str = "en") -> DataFrame:
-    """(identifier, xml) from identifier, sent, severity and urgency, with expires and area where there are such columns; text is escaped by the writer."""
-    info = [F.lit(language).alias("language"), F.lit("Geo").alias("category"), F.lit("Mass movement").alias("event"), F.col("urgency"), F.col("severity"), F.lit("Possible").alias("certainty")]
+    """(identifier, xml) from identifier, sent, severity and urgency, with certainty, expires and area where there are such columns; text is escaped by the writer."""
+    info = [F.lit(language).alias("language"), F.lit("Geo").alias("category"), F.lit("Mass movement").alias("event"), F.col("urgency"), F.col("severity"), (F.col("certainty") if "certainty" in alerts.columns else F.lit("Possible")).alias("certainty")]
     if "expires" in alerts.columns:
         info.append(F.col("expires"))
     info.append(F.concat(F.lit("Modelled mass movement, "), F.lower("severity"), F.lit(" severity, "), F.lower("urgency")).alias("headline"))
