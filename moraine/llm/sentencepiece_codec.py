@@ -9,7 +9,7 @@ of last pieces is filled from left to right and the ids are read off backwards.
 Segments end where no piece reaches across: after a run of white space marks and the letters
 behind it, and on both sides of a character outside the vocabulary, which falls back to bytes.
 Within a partition a worker remembers the short segments it met last, up to 2 * ``REMEMBERED`` (about
-80 MB), and then forgets them, as an idle worker keeps its memory. It keeps the pairs of pieces that it has
+100 MB), and then forgets them, as an idle worker keeps its memory. It keeps the pairs of pieces that it has
 tested, up to ``TESTED`` (about 50 MB), which later texts need again. This changes nothing but time.
 
 Only identity-normalised BPE models with byte fallback are accepted.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 TESTED = 300_000
 LONGEST_REMEMBERED = 64
 BATCH_BYTES = 4_000_000
@@ -65,8 +65,10 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if self.merged(p) == [p]:  # others never appear in an encoding
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
+        self.whole = {p: [k] for p, k in self.ids.items() if p in self.automaton}
+        self.decimal = [b"%d" % k for k in range(len(pieces))]
         self.outside = re.compile("([^" + "".join(re.escape(c) for c in self.ids if len(c) == 1) + "]+)")
         self.compatible: dict[tuple[str, str], bool] = {}
         self.forget()
@@ -96,21 +98,33 @@ class Codec:
 
     def inside(self, text: str) -> list[int]:
         """Ids of a segment whose characters are all in the vocabulary."""
-        if text in self.ids and text in self.automaton:
-            return [self.ids[text]]
+        if (known := self.whole.get(text)) is not None:
+            return known
         last: list[str | None] = [None] * (len(text) + 1)
-        for end, piece in self.automaton.iter(text):
-            if last[end + 1] is None:
-                before = end + 1 - len(piece)
-                if not before or (last[before] is not None and self.fits(last[before], piece)):
-                    last[end + 1] = piece
-        out, at = [], len(text)
+        tested = self.compatible
+        for end, (piece, size) in self.automaton.iter(text):
+            end += 1
+            if last[end] is not None:
+                continue
+            if before := end - size:
+                if (left := last[before]) is None:
+                    continue
+                if (fits := tested.get((left, piece))) is None:
+                    fits = self.fits(left, piece)
+                    tested = self.compatible
+                if not fits:
+                    continue
+            last[end] = piece
+        ids, out, at = self.ids, [], len(text)
         while at:
-            out.append(self.ids[last[at]])
-            at -= len(last[at])
+            piece = last[at]
+            out.append(ids[piece])
+            at -= len(piece)
         return out[::-1]
 
     def segment(self, text: str) -> list[int]:
+        if self.outside.search(text) is None:
+            return self.inside(text)
         out: list[int] = []
         for k, part in enumerate(self.outside.split(text)):
             if part:
@@ -121,7 +135,8 @@ class Codec:
         """Ids in decimal, and their bytes, of a segment; key: as encode() splits texts."""
         if (found := self.older.get(key)) is None:
             ids = self.segment(key if key[:1] in ("\n", MARK) else MARK + key)
-            found = b" ".join([b"%d" % i for i in ids]), self.raw(ids)
+            decimal = self.decimal
+            found = b" ".join([decimal[i] for i in ids]), self.raw(ids)
         if len(key) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
@@ -129,7 +144,8 @@ class Codec:
         return found
 
     def raw(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        of = self.bytes_of
+        return b"".join([of[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space that encoding puts first."""
