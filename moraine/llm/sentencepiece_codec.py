@@ -10,7 +10,7 @@ Segments end where no piece reaches across: after a run of white space marks and
 behind it, and on both sides of a character outside the vocabulary, which falls back to bytes.
 Within a partition a worker remembers the short segments it met last, up to 2 * ``REMEMBERED`` (about
 100 MB), and then forgets them, as an idle worker keeps its memory. It keeps the pairs of pieces that it has
-tested, up to ``TESTED`` (about 50 MB), which later texts need again. This changes nothing but time.
+tested, up to ``TESTED`` (nine bytes each when idle), which later texts need again. This changes nothing but time.
 
 Only identity-normalised BPE models with byte fallback are accepted.
 
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +71,23 @@ class Codec:
         self.whole = {p: [k] for p, k in self.ids.items() if p in self.automaton}
         self.decimal = [b"%d" % k for k in range(len(pieces))]
         self.outside = re.compile("([^" + "".join(re.escape(c) for c in self.ids if len(c) == 1) + "]+)")
+        self.names = [p for p, _, _ in pieces]
+        self.packed = np.empty(0, np.int64), np.empty(0, bool)
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """The segments met so far."""
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
+    def rest(self) -> None:
+        """Forgets the segments and keeps the tested pairs in two arrays: small objects that stay would hold on to the memory of those that go."""
+        n = len(self.names)
+        self.packed = np.fromiter((self.ids[a] * n + self.ids[b] for a, b in self.compatible), np.int64, len(self.compatible)), np.fromiter(self.compatible.values(), bool, len(self.compatible))
+        self.compatible, self.known, self.older = {}, {}, {}
+
+    def wake(self) -> None:
+        n, names = len(self.names), self.names
+        pairs, fits = self.packed
+        self.compatible = {(names[a], names[b]): x for a, b, x in zip((pairs // n).tolist(), (pairs % n).tolist(), fits.tolist())}
+
     def merged(self, text: str) -> list[str]:
         """BPE by definition, for the few characters of one or two pieces: best score first, leftmost among equals."""
         parts, rank = list(text), self.rank
@@ -187,10 +197,11 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(pieces)
+        own.wake()
         try:
             yield from encoded(batches, own.encode)
         finally:
-            own.forget()
+            own.rest()
 
     def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[str], tuple[bytes, str]]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
