@@ -119,7 +119,7 @@ select track, n_scenes, n_bursts, round(max_gap, 6) as max_gap, round(median_gap
 )
 def track_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passes, gaps, coverage, reasons against and score of each track in January 2024."""
-    bursts = table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("value") / 500).alias("sensitivity"), ((F.col("event_id") % 10) / 40.0).alias("hidden"))
+    bursts = table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("place"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("value") / 500).alias("sensitivity"), ((F.col("event_id") % 10) / 40.0).alias("hidden"))
     out = catalog.track_metrics(bursts, "track", F.lit(19_723.0), F.lit(19_752.0), 8, 6.0, 0.12)
     return out.select("track", "n_scenes", "n_bursts", *[rounded(c).alias(c) for c in ("max_gap", "median_gap", "sensitivity", "hidden", "coverage")], F.array_join("reasons", ", ").alias("reasons"), "eligible", rounded("score").alias("score"))
 

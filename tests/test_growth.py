@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from moraine.operators import corridors, ledger
+from moraine.operators import catalog, corridors, ledger
 
 
 def test_coverage_counts_areas_without_pairs(spark):
@@ -47,3 +47,16 @@ def test_flood_runs_tiles_that_sank_alone(spark, monkeypatch):
     for (i, j), v in one.items():
         near = [one[a, b] for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) if (a, b) != (i, j) and (a, b) in one]
         assert v == (z[i, j] if i == 0 else max(z[i, j], min(near) + 0.5))
+
+
+def test_track_means_do_not_depend_on_tasks(spark):
+    # A mean of 0.12 in one order of adding and 0.12 and a bit in another, against a limit of 0.12.
+    r = random.Random(1)
+    rows = [(k, u, float(r.randrange(10)) / 40) for u in range(300) for k in range(65)]
+    df = spark.createDataFrame(rows, "place long, track long, hidden double").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, place) as ts", "hidden / 3 as sensitivity")
+    got = {x.track: (x.hidden, x.sensitivity) for x in catalog.track_metrics(df.repartition(7, F.rand(5)), "track", F.lit(19_723.0), F.lit(19_752.0), 8, 6.0, 0.12).collect()}
+    for u in range(300):
+        a = b = 0.0
+        for _, track, hidden in rows[65 * u : 65 * u + 65]:
+            a, b = a + hidden, b + hidden / 3
+        assert got[u] == (a / 65, b / 65)
