@@ -120,24 +120,24 @@ z as (select s_suppkey as zone, (s_suppkey * 17 % 900)::double as x0, (s_suppkey
 o as (select zone, unit, greatest(0, least(u.x0 + u.w, z.x0 + z.w) - greatest(u.x0, z.x0)) * greatest(0, least(u.y0 + u.w, z.y0 + z.w) - greatest(u.y0, z.y0)) as overlap from u join z on u.x0 <= z.x0 + z.w and z.x0 <= u.x0 + u.w and u.y0 <= z.y0 + z.w and z.y0 <= u.y0 + u.w)"""
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _units_and_zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k, s = F.col("p_partkey"), F.col("s_suppkey")
     x, y, w = (k * 13 % 997).cast("double"), (k * 29 % 991).cast("double"), F.col("p_size").cast("double")
     units = table(spark, sf_dir, "part").select(k.alias("unit"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + w).alias("y1"))
     x, y, w = (s * 17 % 900).cast("double"), (s * 31 % 900).cast("double"), (40 + s % 60).cast("double")
     zones = table(spark, sf_dir, "supplier").select(s.alias("zone"), x.alias("zx0"), y.alias("zy0"), (x + w).alias("zx1"), (y + w).alias("zy1"))
-    return scenes.zone_units(units, zones, 100.0)
+    return units, zones
 
 
 @query(f"with {OVERLAP} select zone, unit, overlap from o")
 def zone_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir)
+    return scenes.zone_units(*_units_and_zones(spark, sf_dir), 100.0)
 
 
 @query(f"with {OVERLAP}, r as (select *, row_number() over (partition by zone order by overlap desc, unit) as place, count(*) over (partition by zone) as n from o) select zone, place::int as place, unit, overlap, n from r where place <= 6")
 def failed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unit with the greatest share of each zone, and five runners-up."""
-    return scenes.failed_unit(_overlaps(spark, sf_dir)).select("zone", "place", "unit", "overlap", "n")
+    return scenes.failed_unit(*_units_and_zones(spark, sf_dir), 100.0)
 
 
 @query(

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from moraine.operators import catalog, corridors, ledger
+from moraine.operators import catalog, corridors, ledger, scenes
 
 
 def test_coverage_counts_areas_without_pairs(spark):
@@ -60,3 +60,21 @@ def test_track_means_do_not_depend_on_tasks(spark):
         for _, track, hidden in rows[65 * u : 65 * u + 65]:
             a, b = a + hidden, b + hidden / 3
         assert got[u] == (a / 65, b / 65)
+
+
+def test_zones_with_the_same_box_are_searched_once(spark):
+    r = random.Random(5)
+    box = lambda side: (x := r.uniform(0, 300), y := r.uniform(0, 300), x + r.uniform(0, side), y + r.uniform(0, side))
+    units = [(k, *box(40)) for k in range(80)]
+    own = [box(120) for _ in range(6)]
+    zones = [(k, *own[k % 6]) for k in range(4000)]
+    left, right = spark.createDataFrame(units, "unit long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(zones, "zone long, zx0 double, zy0 double, zx1 double, zy1 double")
+    met = {}
+    for k, z in enumerate(own):
+        for u, *b in units:
+            if b[0] <= z[2] and z[0] <= b[2] and b[1] <= z[3] and z[1] <= b[3]:
+                met.setdefault(k, []).append((-max(0.0, min(b[2], z[2]) - max(b[0], z[0])) * max(0.0, min(b[3], z[3]) - max(b[1], z[1])), u))
+    pairs = scenes.zone_units(left, right, 50.0)
+    assert sorted((x.zone, x.unit, x.overlap) for x in pairs.collect()) == sorted((z, u, -v) for z, *_ in zones for v, u in met.get(z % 6, []))
+    got = sorted((x.zone, x.place, x.unit, x.overlap, x.n) for x in scenes.failed_unit(left, right, 50.0).collect())
+    assert got == sorted((z, i, u, -v, len(met[z % 6])) for z, *_ in zones for i, (v, u) in enumerate(sorted(met.get(z % 6, []))[:6], 1))
