@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moraine.checkpoints import cut
 from moraine.functions.geo import EARTH_KM
-from moraine.operators import grids, inversion
+from moraine.operators import evaluate, grids, inversion
 
 # Depth that counts as wet, and how far a release band widens.
 WET_M = 1.0
@@ -38,25 +39,38 @@ def releases(cells: DataFrame, members: DataFrame, cell_area: float, head_m: flo
     """(member, cells, depth, low, high, shortfall): a volume spread evenly over the cells of an elevation band near the head.
 
     The band widens by steps until its cells hold the volume at the greatest depth, or by as much as it may; a band that
-    holds no cell takes the highest cells instead. cells: z, chainage; members: member, volume, low, high. Cells are counted once by the step at which
-    each member's band reaches them, so that no band is tried after another.
+    holds no cell takes the highest cells instead. cells: z, chainage; members: member, volume, low, high. A band's cells are those up to its upper edge less those
+    below its lower one, from running counts over heights and edges: no member meets a cell.
     """
-    head = cells.where(F.col("chainage") <= head_m).select("z")
-    need = F.col("volume") / most_depth / cell_area
-    out_by = F.greatest(F.col("low") - F.col("z"), F.col("z") - F.col("high"), F.lit(0.0))
-    step = F.ceil(out_by / WIDEN_M).cast("int")
     last = int(WIDEN_MOST_M / WIDEN_M)
-    met = members.crossJoin(head.groupBy("z").agg(F.count("*").alias("k")))  # members by distinct elevations of one head
-    counts = met.withColumn("step", step).where(F.col("step") <= last).groupBy("member", "volume", "low", "high", "step").agg(F.sum("k").alias("k"))
-    run = counts.withColumn("n", F.sum("k").over(Window.partitionBy("member").orderBy("step")))
-    found = run.groupBy("member", "volume", "low", "high").agg(F.min(F.when(F.col("n") >= need, F.struct("step", "n"))).alias("fit"), F.max(F.struct("step", "n")).alias("most"))
+    need = F.col("volume") / most_depth / cell_area
+    heights = cut(cells.where((F.col("chainage") <= head_m) & F.col("z").isNotNull()).groupBy(F.col("z").cast("double").alias("x")).agg(F.count("*").alias("k")))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("step")
+    bands = members.select("member", "volume", "low", "high", steps).withColumns({"_a": F.col("low") - F.col("step") * WIDEN_M, "_b": F.col("high") + F.col("step") * WIDEN_M})
+    # Counts below each height and each edge of a band; equal edges of many members are counted once.
+    edges = bands.select(F.explode(F.array("_a", "_b")).alias("x")).distinct().select("x", F.lit(0).cast("long").alias("k"))
+    merged = cut(heights.unionByName(edges).groupBy("x").agg(F.sum("k").alias("k")))
+    below = cut(evaluate.counts_below(merged, [], "x", ["k"]).select("x", "k", F.col("k_below").alias("below")))
+    under, upto = below.select(F.col("x").alias("_a"), F.col("below").alias("_under")), below.select(F.col("x").alias("_b"), (F.col("below") + F.col("k")).alias("_upto"))
+    tried = bands.join(under, "_a").join(upto, "_b").withColumn("n", F.col("_upto") - F.col("_under")).where("n > 0")
+    found = tried.groupBy("member", "volume", "low", "high").agg(F.min(F.when(F.col("n") >= need, F.struct("step", "n"))).alias("fit"), F.max(F.struct("step", "n")).alias("most"))
     used = F.coalesce("fit.n", "most.n")
     wide = F.coalesce(F.col("fit.step"), F.lit(last)) * WIDEN_M
-    banded = found.select("member", "volume", used.alias("cells"), (F.col("low") - wide).alias("low"), (F.col("high") + wide).alias("high"))
-    missed = met.join(banded.select("member"), "member", "left_anti")
-    above = missed.withColumn("n", F.sum("k").over(Window.partitionBy("member").orderBy(F.desc("z"))))
-    take = F.greatest(F.lit(1), F.floor(need))
-    highest = above.where(F.col("n") - F.col("k") < take).groupBy("member", "volume").agg(F.least(F.max("n"), F.max(take)).cast("long").alias("cells"), F.min("z").alias("low"), F.max("z").alias("high"))
+    banded = cut(found.select("member", "volume", used.alias("cells"), (F.col("low") - wide).alias("low"), (F.col("high") + wide).alias("high")))
+    # The others take so many of the highest cells: places from the top, by blocks of places, each with the height that begins last in it.
+    total = heights.agg(F.sum("k").alias("total"), F.max("x").alias("top")).where("total > 0")  # one row
+    missed = members.select("member", "volume").join(banded.select("member"), "member", "left_anti").crossJoin(F.broadcast(total))
+    missed = missed.withColumn("cells", F.least(F.greatest(F.lit(1), F.floor(need)), F.col("total")).cast("long"))
+    block = 4096
+    most = missed.agg(F.max("cells").alias("most"))
+    starts = below.where("k > 0").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(most)).withColumn("at", F.col("total") - F.col("below") - F.col("k")).where("at < most").select("at", "x", F.floor(F.col("at") / block).alias("block"))
+    takes = missed.select((F.col("cells") - 1).alias("place")).distinct().withColumn("block", F.floor(F.col("place") / block))
+    own = takes.join(starts, "block", "left").groupBy("place", "block").agg(F.max(F.when(F.col("at") <= F.col("place"), F.struct("at", "x"))).alias("own"))
+    ends = starts.groupBy("block").agg(F.max(F.struct("at", "x")).alias("end"))
+    earlier = F.max("end").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = takes.select("block").distinct().join(ends, "block", "full").select("block", earlier.alias("before"))
+    lowest = own.join(blocks, "block").select((F.col("place") + 1).alias("cells"), F.coalesce("own.x", "before.x").alias("low"))
+    highest = missed.join(lowest, "cells").select("member", "volume", "cells", "low", F.col("top").alias("high"))
     every = banded.unionByName(highest)
     depth = F.least(F.col("volume") / (F.col("cells") * cell_area), F.lit(most_depth))
     return every.select("member", "cells", depth.alias("depth"), "low", "high", (1 - depth * F.col("cells") * cell_area / F.nullif(F.col("volume"), F.lit(0.0))).alias("shortfall"))

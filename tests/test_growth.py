@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.operators import catalog, corridors, ledger, scenes
+from moraine.operators import catalog, corridors, ledger, ranges, scenes, surrogate
 
 
 def test_coverage_counts_areas_without_pairs(spark):
@@ -101,3 +101,29 @@ def test_heading_names_no_value_twice(spark):
 
     assert got == {k: v if (v := direct(ring)) is None else pytest.approx(v) for k, ring in enumerate(rings)}
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 5_000
+
+
+def test_any_within_equals_filter(spark):
+    r = random.Random(2)
+    left = spark.createDataFrame([(k, r.randrange(-50, 500)) for k in range(120)], "a long, t long")
+    right = spark.createDataFrame([(r.randrange(-50, 500),) for _ in range(15)], "u long")
+    for low, high in ((-7, 12), (3, 3), (-20, -5)):
+        near = {x.a for x in left.crossJoin(right).where(F.col("u") - F.col("t") >= low).where(F.col("u") - F.col("t") <= high).collect()}
+        assert {x.a: x.found for x in ranges.any_within(left, right, "t", "u", low, high).collect()} == {k: k in near for k in range(120)}
+
+
+def test_releases_by_running_counts(spark):
+    r = random.Random(4)
+    z = [(float(r.randrange(0, 900)), 100.0) for _ in range(400)] + [(5000.0, 7000.0)]
+    members = [(k, r.choice([1.0, 5e6, 4e7, 9e7, 4e8]), low, low + 5) for k in range(150) for low in [float(r.choice([-200, 50, 400, 880, 2000, 30_000]))]]
+    df = surrogate.releases(spark.createDataFrame(z, "z double, chainage double"), spark.createDataFrame(members, "member long, volume double, low double, high double"), 900.0)
+    got = {x.member: (x.cells, x.low, x.high) for x in df.collect()}
+    head = sorted((x for x, c in z if c <= 6000), reverse=True)
+    for key, volume, low, high in members:
+        need = volume / 300 / 900
+        counts = [sum(low - 100 * k <= x <= high + 100 * k for x in head) for k in range(31)]
+        k = next((k for k, n in enumerate(counts) if n >= need and n), 30)
+        take = head[: max(1, math.floor(need))]
+        assert got[key] == ((counts[k], low - 100 * k, high + 100 * k) if counts[30] else (len(take), take[-1], take[0]))
+    # Members don't meet heights: nothing of the plan is a product of the two.
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
