@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.checkpoints import cut
 from moraine.functions import text
 from moraine.operators import catalog, contracts, ensemble, ledger
 from moraine.plans import catalog as matching
@@ -163,7 +164,7 @@ union all select 'noise', event_id, k, mid, false from w"""
 def assembled_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives, the negatives matched to them and their noise windows as one catalogue; a positive says whether it is short of negatives."""
     ev = matching.events(spark, sf_dir)
-    negatives = matching.match_negatives_topk(spark, sf_dir)
+    negatives = cut(matching.match_negatives_topk(spark, sf_dir))
     few = negatives.groupBy(F.col("positive_id").alias("event_id")).agg(F.count("*").alias("n"))
     return catalog.assemble(
         ev.where("event_type = 'error'").join(few, "event_id", "left").select(F.col("event_id").alias("id"), F.col("t").alias("origin"), (F.coalesce("n", F.lit(0)) < 5).alias("short")),
