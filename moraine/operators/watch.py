@@ -159,15 +159,19 @@ def deseasonalised(samples: DataFrame, config: WatchConfig, orders: int = 2) ->
         angle = 2 * np.pi * t / year
         season = np.column_stack([f(k * angle) for k in range(1, orders + 1) for f in (np.cos, np.sin)])
         design = np.column_stack([np.ones(len(t)), centred, season])
-        out = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
         for step in range(first, last + 1, every):
-            upto = good & (t <= step)
-            inside = (t <= step) & (t > step - span)
-            left = v
+            # Rows are in the order of t: a step's are the first so many, and those of its span follow each other.
+            n, start = np.searchsorted(t, (step, step - span), "right")
+            upto = good[:n]
+            left = v[start:n]
             if upto.sum() >= 7:
-                left = v - season @ np.linalg.lstsq(design[upto], v[upto], rcond=None)[0][2:]
-            out.append(pd.DataFrame({"unit_id": rows["unit_id"].iloc[0], "step": step, "t": t[inside], "v": left[inside], "coh": coh[inside]}))
-        return pd.concat(out)
+                left = left - season[start:n] @ np.linalg.lstsq(design[:n][upto], v[:n][upto], rcond=None)[0][2:]
+            held.append((step, np.arange(start, n), left))
+        at = np.concatenate([x for _, x, _ in held]) if held else np.empty(0, np.int64)
+        steps = np.repeat([x for x, _, _ in held], [len(x) for _, x, _ in held]).astype(np.int64)
+        left = np.concatenate([x for _, _, x in held]) if held else np.empty(0)
+        return pd.DataFrame({"unit_id": rows["unit_id"].iloc[0], "step": steps, "t": t[at], "v": left, "coh": coh[at]})
 
     return samples.select("unit_id", "t", "v", "coh").groupBy("unit_id").applyInPandas(fit, "unit_id long, step long, t double, v double, coh double")
 
