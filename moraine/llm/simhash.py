@@ -18,8 +18,11 @@
    largest component are then held against all. Chunks above ``CHUNK_ROWS`` are cut into blocks of
    entries, a task for each two blocks.
 7. Components of all forests by alternating stars.
+8. ``one_of_each`` then searches exactly for links between groups (``crossing``): prefixes of the shingle
+   sets, rare shingles first, meet by hash, and full sets are compared.
 
-Nothing but bit counts, of constant size, and the sizes of chunks above the limit reach the driver.
+Nothing but bit counts and common shingles of a sample, of constant size, and the sizes of chunks above the
+limit reach the driver.
 
 Nulls, ties and odd inputs of ``near_duplicates``: a null or wordless text has fingerprint zero and is
 linked like any other; a row without doc_id gets its fingerprint and its own class's component, but
@@ -56,6 +59,9 @@ HOT_ROWS = 100_000
 PIVOTS = 64
 ROW_COST = 300.0  # sending a row costs as much as checking so many candidates
 BROADCAST_KEYS = 500_000
+SAMPLE_ROWS = 4_096
+COMMON = 65_536
+PARITIES = 1_024
 
 
 def fingerprint(text: str | None, shingle: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -421,27 +427,188 @@ def sketch(hashes: np.ndarray, words: int) -> list[int]:
     return [*out, int(mix(hashes).sum(dtype=np.uint64).view(np.int64)) if len(hashes) else 0]
 
 
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that more than two of some SAMPLE_ROWS texts hold, sorted, and in how many; the COMMON most frequent at most.
+
+    Only the order of prefixes comes from the sample, and which pairs share one doesn't depend on the order.
+    """
+    n = docs.count()
+
+    def distinct(batches):
+        for batch in batches:
+            for x in shingle_sets(batch["text"], shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["h"])
+
+    sample = docs.select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(n, 1)), seed=7)
+    rows = sample.mapInArrow(distinct, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, seen = np.array([r.h for r in rows] or [0], np.int64).view(np.uint64), np.array([r.n for r in rows] or [0], np.int64)
+    order = np.argsort(h)
+    return h[order], seen[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The hashes of a set that come first, rare ones before common ones: two sets that are similar share one of them at least.
+
+    Of n hashes a similar set has all but n - similarity * n at most, so one more of them can't all be missing from it.
+    """
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    order = np.argsort(np.where(common[at] == hashes, seen[at], 0), kind="stable")
+    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]]
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of PARITIES ranges of hashes whether a set has an odd number there. Two sets differ in as many hashes at least as their parities do."""
+    counts = np.bincount((mix(hashes) >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(counts & 1).tobytes()
+
+
+def parities_fit(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose parities don't rule the similarity out: a pair that has it is never dropped. entries: node, size, odd."""
+    most = (1 - similarity) / (1 + similarity)  # of both sizes, in hashes that one set alone has
+
+    def fit(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[x].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in ("a", "b"))
+            good = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most * batch["n"].to_numpy() + 1e-6
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(good))
+
+    side = lambda node, odd, size: entries.select(F.col("node").alias(node), F.col("odd").alias(odd), F.col("size").alias(size))
+    both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v")
+    return both.select("u", "v", "a", "b", (F.col("m") + F.col("n")).alias("n")).mapInArrow(fit, "u long, v long")
+
+
+def _crossing(table: pa.Table, similarity: float) -> pa.Table:
+    """Pairs of one chunk that share a hash of their prefixes, have different labels, and can be similar by what is left of both sets from there."""
+    column = lambda name, dtype: np.frombuffer(b"".join(x.as_py() for x in table[name]), dtype)
+    keys, nodes, labels = column("keys", np.uint64), column("nodes", np.int64), column("labels", np.int64)
+    labels = labels ^ nodes  # as they are sent
+    sizes, left = column("sizes", np.int32).astype(np.int64), column("rest", np.int32).astype(np.int64)
+    order = np.lexsort((labels, keys))
+    keys, nodes, labels, sizes, left = (x[order] for x in (keys, nodes, labels, sizes, left))
+    run = np.flatnonzero(np.append((np.diff(keys) != 0) | (np.diff(labels) != 0), True)) + 1
+    start = run[np.searchsorted(run, np.arange(len(keys)), "right")]  # the next label of the same hash, or the next hash
+    count = np.searchsorted(keys, keys, "right") - start
+    rows = np.flatnonzero(count)
+    ends = np.cumsum(count[rows])
+    held, size = [np.empty((2, 0), np.int64)], 0
+
+    def distinct() -> np.ndarray:
+        pairs = np.concatenate(held, axis=1)
+        pairs = pairs[:, np.lexsort(pairs)]
+        return pairs[:, np.append(True, (np.diff(pairs) != 0).any(0))] if pairs.shape[1] else pairs
+
+    for at in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
+        pair = np.arange(at, min(int(ends[-1]), at + SLICE))
+        which = np.searchsorted(ends, pair, "right")
+        i = rows[which]
+        j = start[i] + pair - (ends[which] - count[i])
+        good = np.minimum(left[i], left[j]) * (1 + similarity) >= similarity * (sizes[i] + sizes[j]) - 1e-6
+        i, j = nodes[i[good]], nodes[j[good]]
+        held.append(np.stack((np.minimum(i, j), np.maximum(i, j))))
+        size += len(i)
+        if size > 4 * SLICE:
+            held = [distinct()]
+            size = held[0].shape[1] // 2  # so that each time at least as many are new
+    u, v = distinct()
+    return pa.table({"u": u, "v": v}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def crossing(entries: DataFrame, similarity: float, chunk_rows: int = CHUNK_ROWS // 2) -> DataFrame:
+    """Distinct (u, v): all pairs of entries of different labels that may have the similarity. entries: node, label, size, prefix (packed hashes).
+
+    Rows meet by the hashes of their prefixes, packed by chunk (a hash range); chunks above ``chunk_rows`` are cut into
+    blocks of entries, a task for each two blocks.
+    """
+    n = entries.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    chunk_bits = max(LEAST_CHUNKS_BITS, math.ceil(math.log2(max(1, 4 * n / CHUNK_BYTES))))
+    schema = pa.schema([("chunk", pa.int64()), ("block", pa.int32()), *((x, pa.binary()) for x in ("keys", "nodes", "labels", "sizes", "rest"))])
+
+    def dealt(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """Chunk, hash, place of the row and hashes of the row from there on, in order of chunks, of some rows at a time."""
+        size = np.array([len(x) // 8 for x in batch["prefix"].to_pylist()], np.int64)
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            keys = np.frombuffer(b"".join(batch["prefix"].slice(at, to - at).to_pylist()), np.uint64)
+            source = np.repeat(np.arange(at, to), size[at:to])
+            place = np.arange(len(keys)) - (ends - size)[source] + (ends[at] - size[at])
+            left = batch["size"].to_numpy()[source] - place
+            chunk = (mix(keys + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - chunk_bits)).astype(np.int64)
+            order = np.argsort(chunk, kind="stable")
+            yield chunk[order], keys[order], source[order], left[order].astype(np.int32)
+            at = to
+
+    def count(batches):
+        for batch in batches:
+            for chunk, *_ in dealt(batch):
+                held, n = np.unique(chunk, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], names=["chunk", "n"])
+
+    many = entries.mapInArrow(count, "chunk long, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows).collect()
+    blocks = {chunk: 2 * math.ceil(size / chunk_rows) for chunk, size in many}
+
+    def deal(batches):
+        for batch in batches:
+            nodes, labels, sizes = batch["node"].to_numpy(), batch["label"].to_numpy(), batch["size"].to_numpy()
+            for chunk, keys, source, left in dealt(batch):
+                cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
+                out = [[] for _ in schema]
+
+                def put(key: int, block: int, k: np.ndarray) -> None:
+                    s = source[k]
+                    for column, x in zip(out, (key, block, keys[k].tobytes(), nodes[s].tobytes(), (labels[s] ^ nodes[s]).tobytes(), sizes[s].tobytes(), left[k].tobytes())):
+                        column.append(x)
+
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    key, own = int(chunk[i]), np.arange(i, j)
+                    b = blocks.get(key)
+                    if b is None:
+                        put(key, 0, own)
+                        continue
+                    piece = (mix(nodes[source[own]].view(np.uint64)) % np.uint64(b)).astype(np.int64)
+                    for x, y in combinations(range(b), 2):
+                        mine = own[(piece == x) | (piece == y)]
+                        if len(mine):
+                            put(key, x * b + y, mine)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+    def match(table):
+        return _crossing(table, similarity)
+
+    names = "chunk long, block int, keys binary, nodes binary, labels binary, sizes binary, rest binary"
+    return entries.select("node", "label", "size", "prefix").mapInArrow(deal, names).groupBy("chunk", "block").applyInArrow(match, "u long, v long").distinct()
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, distance: int = 10, slack: float = 0.06) -> DataFrame:
     """The rows of docs that stay: of each group linked by ``similarity`` of shingles the one with the smallest doc_id (then text hash).
 
-    Candidates come from ``words`` independent fingerprints, each searched within ``distance`` bits:
+    Most links come from ``words`` independent fingerprints, each searched within ``distance`` bits:
     at similarity 0.8 and ten bits one word finds 61 % of the pairs, two find 85 %, at 0.85 97 %. Candidates
     that differ in more bits of all words than ``similarity`` does on average and ``slack`` of them go;
     the Jaccard similarity of the others, as far as they are in a chunk's spanning forest of
-    nearest pairs, is computed from all their shingles.
+    nearest pairs, is computed from all their shingles. What these leave apart is then searched exactly: any two
+    similar sets share a hash of their prefixes, so all pairs of different groups that do and that parities of their hashes don't rule out are compared; no link is left out.
     """
     names = [f"f{k}" for k in range(words)]
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), *((x, pa.int64()) for x in (*names, "content"))])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), *((x, pa.int64()) for x in (*names, "content")), ("size", pa.int32()), ("prefix", pa.binary()), ("odd", pa.binary())])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
+    common, seen = common_shingles(keyed, shingle)
 
     def sketched(batches):
         for batch in batches:
-            found = np.array([sketch(x, words) for x in shingle_sets(batch["text"], shingle)], np.int64).reshape(-1, words + 1)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], *(pa.array(found[:, k]) for k in range(words + 1))], schema=schema)
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
-    rows = cut(keyed.mapInArrow(sketched, ", ".join(f"{x} long" for x in schema.names)))
+            found, sizes, first, odd = [], [], [], []
+            for x in shingle_sets(batch["text"], shingle):
+                found.append(sketch(x, words))
+                sizes.append(len(x))
+                first.append(prefix(x, similarity, common, seen).tobytes())
+                odd.append(parities(x))
+            prints = np.array(found, np.int64).reshape(-1, words + 1)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], *(pa.array(prints[:, k]) for k in range(words + 1)), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(odd, pa.binary())], schema=schema)
+
+    rows = cut(keyed.mapInArrow(sketched, f"doc_id long, copy long, {', '.join(f'{x} long' for x in names)}, content long, size int, prefix binary, odd binary"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
-    entries = cut(rows.groupBy(*names, "content").agg(F.min(key).alias("first")).withColumn("node", F.xxhash64(*names, "content")))
+    entries = cut(rows.groupBy(*names, "content").agg(F.min(key).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd")).withColumn("node", F.xxhash64(*names, "content")))
     cosine = 2 * similarity / (1 + similarity)
     total = round(64 * words * (math.acos(cosine) / math.pi + slack))
     pairs = cut(links(entries, words, distance, total).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -462,11 +629,19 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
                 good.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(entries, "node").select("node", "first.doc_id", "first.copy")
-    named = _looked_up(keyed, wanted, "inner").dropDuplicates(["node"]).select("node", "text")
-    held = cut(named.mapInArrow(sets, "node long, hashes binary"))
-    both = pairs.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    roots = components(both.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs whose full sets are similar."""
+        wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(entries.select("node", "first"), "node").select("node", "first.doc_id", "first.copy")
+        named = _looked_up(keyed, wanted, "inner").dropDuplicates(["node"]).select("node", "text")
+        held = cut(named.mapInArrow(sets, "node long, hashes binary"))
+        both = pairs.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+        return both.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
+
+    roots = components(confirmed(pairs))
+    apart = crossing(entries.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "prefix"), similarity)
+    apart = cut(parities_fit(apart, entries, similarity))
+    if not apart.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(confirmed(apart)))
     first = entries.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = first.select("first.doc_id", "first.copy")
     held_keys = rows.groupBy("doc_id", "copy").agg(F.count("*").alias("n"))

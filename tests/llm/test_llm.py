@@ -138,6 +138,36 @@ def test_one_of_each_similar_group_stays(spark):
     assert kept >= want and len(kept - want) <= 0.05 * (len(docs) - len(want))
 
 
+def test_one_of_each_leaves_no_link_out(spark):
+    # Links at the threshold, most of them beyond the fingerprints' distance, and pairs of one template whose edges a forest of a chunk may lack.
+    r = random.Random(11)
+    pick = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
+    docs = []
+    for k in range(150):
+        words = pick(95)
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: len(words) - 10] + pick(10)))]  # 81 of 101 shingles
+    template = pick(120)
+    for k in range(200, 260):
+        words = [*template, *pick(20)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + pick(1)))]
+    docs += [(900, "a b"), (901, "A  b"), (902, "a c"), (903, "one two three four five six"), (904, "one two three four five seven")]
+    want = set(brute_similar(docs).values())
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id for x in simhash.one_of_each(df).collect()} == want and len(want) < len(docs) - 200
+
+
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_prefixes_meet_in_blocks(spark, limit):
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(120)]
+    none = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    rows = [(k, k % 9, len(x), bytearray(simhash.prefix(x, 0.4, *none).tobytes()), bytearray(simhash.parities(x))) for k, x in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "node long, label long, size int, prefix binary, odd binary")
+    got = [(x.u, x.v) for x in simhash.parities_fit(simhash.crossing(entries, 0.4, limit), entries, 0.4).collect()]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 9 != j % 9 and len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))}
+    assert len(got) == len(set(got)) and want and want <= set(got) and all(i % 9 != j % 9 for i, j in got)
+
+
 def test_rows_are_told_apart_by_id_and_text(spark):
     r = random.Random(4)
     texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(80)) for _ in range(3)]
