@@ -457,9 +457,12 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, seen: np.n
 
 
 def parities(hashes: np.ndarray) -> bytes:
-    """For each of PARITIES ranges of hashes whether a set has an odd number there. Two sets differ in as many hashes at least as their parities do."""
-    counts = np.bincount((mix(hashes) >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=PARITIES)
-    return np.packbits(counts & 1).tobytes()
+    """For each class of hashes by their low bits whether a set has an odd number of it; PARITIES classes, or the power of two from twice the set's size on.
+
+    Two sets differ in as many hashes at least as their parities do; more classes fold to fewer by halves.
+    """
+    n = max(PARITIES, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((mix(hashes) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
 
 
 def parities_fit(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
@@ -468,9 +471,13 @@ def parities_fit(pairs: DataFrame, entries: DataFrame, similarity: float) -> Dat
 
     def fit(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[x].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in ("a", "b"))
-            good = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most * batch["n"].to_numpy() + 1e-6
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(good))
+            good = []
+            for a, b, n in zip(batch["a"], batch["b"], batch["n"].to_pylist()):
+                x, y = sorted((np.frombuffer(z.as_py(), np.uint64) for z in (a, b)), key=len)
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                good.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= most * n + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda node, odd, size: entries.select(F.col("node").alias(node), F.col("odd").alias(odd), F.col("size").alias(size))
     both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v")

@@ -168,6 +168,15 @@ def test_prefixes_meet_in_blocks(spark, limit):
     assert len(got) == len(set(got)) and want and want <= set(got) and all(i % 9 != j % 9 for i, j in got)
 
 
+def test_parities_of_large_sets_tell_them_apart(spark):
+    r = np.random.default_rng(4)
+    whole = np.unique(r.integers(0, 2**63, 6000).astype(np.uint64))
+    sets = [whole, np.concatenate((whole[:5500], whole[:500] + np.uint64(1))), np.concatenate((whole[:4500], whole[:1500] + np.uint64(1))), whole[:5000]]
+    entries = spark.createDataFrame([(k, len(x), bytearray(simhash.parities(x))) for k, x in enumerate(sets)], "node long, size int, odd binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "u long, v long")
+    assert {x.v for x in simhash.parities_fit(pairs, entries, 0.8).collect()} == {1, 3}  # similarities 0.85, 0.6, 0.83
+
+
 def test_rows_are_told_apart_by_id_and_text(spark):
     r = random.Random(4)
     texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(80)) for _ in range(3)]
