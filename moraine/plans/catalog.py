@@ -31,10 +31,10 @@ select positive_id, negative_id, km, rank::int as rank from (select *, row_numbe
 def match_negatives_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five candidates of each positive: near, but hours to days apart."""
     ev = events(spark, sf_dir)
-    a = ev.where("event_type = 'error'").select(F.col("event_id").alias("positive_id"), "t", "lat", "lon")
-    b = ev.where("event_type = 'purchase' and value / 80 between 1 and 5").select(F.col("event_id").alias("negative_id"), F.col("t").alias("r_t"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    pairs = ranges.near(a, b, 60.001, times=("t", "r_t", 172_800)).where(F.abs(F.col("t") - F.col("r_t")) >= 21_600).withColumn("km", rounded("km", 4)).where("km <= 60")
-    return ranges.first_k(pairs, ["positive_id"], [F.col("km"), F.col("negative_id")], 5).select("positive_id", "negative_id", "km", "rank")
+    point = [F.col("event_id").alias("id"), "t", "lat", "lon"]
+    a, b = ev.where("event_type = 'error'").select(*point), ev.where("event_type = 'purchase' and value / 80 between 1 and 5").select(*point)
+    found = catalog.nearest_apart(a, b, 60.0, 21_600, 172_800, 5)
+    return found.select(F.col("left_id").alias("positive_id"), F.col("right_id").alias("negative_id"), "km", "rank")
 
 
 @query(

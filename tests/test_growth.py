@@ -138,3 +138,26 @@ def test_seasonal_fit_takes_each_span_and_unknown_values(spark):
     want = [(u, s, t, None if v != v else v, c) for u, t, v, c in rows for s in (5, 10, 15) if s - 10 < t <= s]
     key = lambda x: x[:3]
     assert sorted(((x.unit_id, x.step, x.t, None if x.v is None or x.v != x.v else x.v, x.coh) for x in got), key=key) == sorted(want, key=key)
+
+
+def test_nearest_apart_forms_no_pairs(spark):
+    r = random.Random(6)
+    point = lambda k: (k, r.randrange(-300, 300), r.choice((10.0, 10.1, 10.2, 10.9)), r.choice((179.9, -179.9, 179.5)))
+    left, right = [point(k) for k in range(60)], [point(k) for k in range(100, 300)] + [(400, None, 10.0, 179.9)]
+    names = "id long, t long, lat double, lon double"
+
+    def km(a, b):
+        x = math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return round(2 * 6371.0088 * math.asin(math.sqrt(x)), 4)
+
+    for least in (0, 20):
+        got = {(x.left_id, x.rank): (x.right_id, x.km) for x in catalog.nearest_apart(spark.createDataFrame(left, names), spark.createDataFrame(right, names), 60.0, least, 50, 4).collect()}
+        want = {}
+        for a in left:
+            held = sorted((km(a, b), b[0]) for b in right if b[1] is not None and least <= abs(a[1] - b[1]) <= 50 and km(a, b) <= 60)
+            want |= {(a[0], n + 1): (b, d) for n, (d, b) in enumerate(held[:4])}
+        assert got == want and len(want) > 200
+    # Thirty thousand by thirty thousand at one place and within the times: pairs would be 9 x 10^8.
+    many = spark.range(30_000).selectExpr("id", "id % 40 as t", "10.0D as lat", "20.0D as lon")
+    far = catalog.nearest_apart(many, many.withColumn("t", F.col("t") + 100), 60.0, 50, 200, 5)
+    assert far.agg(F.count("*"), F.max("right_id")).first() == (150_000, 4)
