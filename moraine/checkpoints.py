@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows written as Parquet in the shared folder and read again, for loops that join their own results.
+
+    A checkpoint keeps its plan's estimate of bytes, the product of a join's sides: in such a loop the digits of that number
+    multiply with each round, and the driver's memory with them. Files are measured instead. As packed
+    columns they say little about the rows to be held, so joins with them are merged and never broadcast.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).hint("merge")

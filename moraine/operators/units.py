@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.checkpoints import cut
+from moraine.checkpoints import cut, stored
 from moraine.operators import graph
 
 OCTANTS = 8
@@ -204,27 +204,27 @@ def dissolve(cells: DataFrame, least: int, most: int = 1000, bucket_cells: int =
     replayed in buckets, each task with whole clusters and the cells around them. A grid of which nearly all is in small units
     that touch is one cluster, which is then one task.
     """
-    now = cut(cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("unit").cast("long").alias("unit")))
+    now = stored(cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("unit").cast("long").alias("unit")))
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND]))
     for _ in range(most):
         sizes = now.groupBy("unit").agg(F.count("*").alias("n"))
-        small = cut(sizes.where(F.col("n") < least))
+        small = stored(sizes.where(F.col("n") < least))
         if small.isEmpty():
             break
         mine = now.join(small, "unit")
         asked = mine.withColumn("d", shift).select("unit", (F.col("r") + F.col("d.i")).alias("r"), (F.col("c") + F.col("d.j")).alias("c")).distinct()
-        near = cut(asked.join(now.withColumnRenamed("unit", "other"), ["r", "c"]).where("other <> unit"))
+        near = stored(asked.join(now.withColumnRenamed("unit", "other"), ["r", "c"]).where("other <> unit"))
         others = small.select(F.col("unit").alias("other"), F.lit(True).alias("small"))
         edges = near.select("unit", "other").distinct().join(others, "other").select(F.col("unit").alias("src"), F.col("other").alias("dst"))
         clusters = graph.components(edges).select(F.col("node").alias("unit"), "component")
         mine = mine.join(clusters, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-        held = cut(mine.select("component", "r", "c", "unit", "n", F.lit(True).alias("small")))
+        held = stored(mine.select("component", "r", "c", "unit", "n", F.lit(True).alias("small")))
         buckets = max(1, math.ceil(held.count() / bucket_cells))
         ring = near.join(others, "other", "left_anti").join(clusters, "unit", "left").select(F.coalesce("component", "unit").alias("component"), "r", "c", F.col("other").alias("unit"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("small"))
         key = F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket")
         moves = held.unionByName(ring).select(key, "r", "c", "unit", "n", "small").distinct().groupBy("bucket").applyInPandas(_merged, "r long, c long, into long")
         moves = moves.withColumn("moved", F.lit(True))
-        now = cut(now.join(moves, ["r", "c"], "left").select("r", "c", F.when(F.col("moved"), F.col("into")).otherwise(F.col("unit")).alias("unit")).where("unit is not null"))
+        now = stored(now.join(moves, ["r", "c"], "left").select("r", "c", F.when(F.col("moved"), F.col("into")).otherwise(F.col("unit")).alias("unit")).where("unit is not null"))
     return now
 
 

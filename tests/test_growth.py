@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.operators import catalog, corridors, ledger, ranges, scenes, surrogate
+from moraine.operators import catalog, corridors, graph, ledger, ranges, scenes, surrogate, units
 
 
 def test_coverage_counts_areas_without_pairs(spark):
@@ -161,3 +161,19 @@ def test_nearest_apart_forms_no_pairs(spark):
     many = spark.range(30_000).selectExpr("id", "id % 40 as t", "10.0D as lat", "20.0D as lon")
     far = catalog.nearest_apart(many, many.withColumn("t", F.col("t") + 100), 60.0, 50, 200, 5)
     assert far.agg(F.count("*"), F.max("right_id")).first() == (150_000, 4)
+
+
+def test_loops_keep_no_estimate_of_all_their_joins(spark):
+    # The driver holds a plan's estimate of bytes; with 30 digits it is beyond any table.
+    small = lambda df: len(f"{df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()}") < 30
+    path = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = graph.components(path)
+    assert small(found) and {x.node: x.component for x in found.collect()} == dict.fromkeys(range(61), 0)
+    near = graph.shortest_paths(path.where("src < 6").withColumn("length", F.lit(1.0)), 0)
+    assert small(near) and {x.node: x.distance for x in near.collect()} == {k: float(k) for k in range(7)}
+    cells = spark.range(400).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), F.when(F.col("id") < 380, F.col("id")).otherwise(1000).alias("unit"))
+    merged = units.dissolve(cells, 4)
+    assert small(merged) and merged.count() == 400 and merged.groupBy("unit").count().where("count < 4").isEmpty()
+    bed = spark.range(64).select(F.lit(0).alias("r"), F.col("id").alias("c"), F.lit(0.0).alias("z"), (F.col("id") == 0).alias("seed"))
+    filled = corridors.flood(bed, 1.0, 8, tile_cells=64)
+    assert small(filled) and {x.c: x.filled for x in filled.collect()} == {k: float(k) for k in range(64)}
