@@ -9,8 +9,9 @@ of last pieces is filled from left to right and the ids are read off backwards.
 Segments end where no piece reaches across: after a run of white space marks and the letters
 behind it, and on both sides of a character outside the vocabulary, which falls back to bytes.
 Within a partition a worker remembers the short segments it met last, up to 2 * ``REMEMBERED`` (about
-100 MB), and then forgets them, as an idle worker keeps its memory. It keeps the pairs of pieces that it has
+30 MB), and then forgets them, as an idle worker keeps its memory. It keeps the pairs of pieces that it has
 tested, up to ``TESTED`` (nine bytes each when idle), which later texts need again. This changes nothing but time.
+A worker comes from earlier steps: freed memory that it still holds is given back before and after.
 
 Only identity-normalised BPE models with byte fallback are accepted.
 
@@ -21,6 +22,7 @@ Columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -32,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 TESTED = 300_000
 LONGEST_REMEMBERED = 64
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
+BETWEEN = b"\xff"  # never in UTF-8
 
 
 def read_model(path: str) -> tuple[tuple[str, float, int], ...]:
@@ -74,8 +77,8 @@ class Codec:
         self.names = [p for p, _, _ in pieces]
         self.packed = np.empty(0, np.int64), np.empty(0, bool)
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def rest(self) -> None:
         """Forgets the segments and keeps the tested pairs in two arrays: small objects that stay would hold on to the memory of those that go."""
@@ -141,12 +144,12 @@ class Codec:
                 out += [self.byte_ids[b] for b in part.encode()] if k % 2 else self.inside(part)
         return out
 
-    def remembered(self, key: str) -> tuple[bytes, bytes]:
-        """Ids in decimal, and their bytes, of a segment; key: as encode() splits texts."""
+    def remembered(self, key: str) -> bytes:
+        """Ids in decimal, and their bytes, of a segment, as one object with ``BETWEEN`` between them; key: as encode() splits texts."""
         if (found := self.older.get(key)) is None:
             ids = self.segment(key if key[:1] in ("\n", MARK) else MARK + key)
             decimal = self.decimal
-            found = b" ".join([decimal[i] for i in ids]), self.raw(ids)
+            found = b" ".join([decimal[i] for i in ids]) + BETWEEN + self.raw(ids)
         if len(key) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
@@ -177,8 +180,15 @@ class Codec:
         else:  # a line's end starts a segment of its own, without a mark
             keys = text.replace("\n", " \n").split(" ")
         known, make = self.known, self.remembered
-        found = [known.get(key) or make(key) for key in keys]
-        return b" ".join([x for x, _ in found]) + b" %d" % self.end, self.text_of(b"".join([x for _, x in found]))
+        found = BETWEEN.join([known.get(key) or make(key) for key in keys]).split(BETWEEN)
+        return b" ".join(found[::2]) + b" %d" % self.end, self.text_of(b"".join(found[1::2]))
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 @lru_cache(maxsize=2)
@@ -196,12 +206,14 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = codec(pieces)
         own.wake()
         try:
             yield from encoded(batches, own.encode)
         finally:
             own.rest()
+            give_back()
 
     def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[str], tuple[bytes, str]]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -717,3 +717,14 @@ def test_no_vectors(spark):
 def test_results_are_json_ready(spark):
     row = queries.op6_licenses(spark, SMALL).first().asDict()
     assert json.dumps(row) and set(row) >= {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}
+
+
+def test_what_a_codec_remembers_is_small():
+    from sys import getsizeof
+
+    own = sentencepiece_codec.Codec(sentencepiece_codec.read_model(model()))
+    r = random.Random(4)
+    for _ in range(200):
+        own.encode(" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(1000)))
+    size = sum(getsizeof(k) + getsizeof(v) + (sum(map(getsizeof, v)) if isinstance(v, tuple) else 0) for d in (own.known, own.older) for k, v in d.items())
+    assert own.known and size < 25_000_000
