@@ -1,9 +1,10 @@
 """Exact SentencePiece BPE encoding and decoding with a merge-type prefix table.
 
 BPE has one encoding for each text, and any prefix of an encoding's pieces is the encoding of
-their text. So each prefix of a segment has one last piece. An automaton over all pieces lists
-those that end at each place; the last piece is the one that is compatible with the last piece
-of the prefix before it, that is, BPE of the two together leaves the two as they are. The table
+their text. So each prefix of a segment has one last piece. An automaton over all longer pieces
+lists those that end at each place; the last piece is the one that is compatible with the last piece
+of the prefix before it, that is, BPE of the two together leaves the two as they are, and where
+none is, the last character. The table
 of last pieces is filled from left to right and the ids are read off backwards.
 
 Segments end where no piece reaches across: after a run of white space marks and the letters
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 REMEMBERED = 75_000
-TESTED = 300_000
+TESTED = 340_000
 LONGEST_REMEMBERED = 64
 BATCH_BYTES = 1_000_000
 BETWEEN = b"\xff"  # never in UTF-8
+NONE = float("inf")
 
 
 def read_model(path: str) -> tuple[tuple[str, float, int], ...]:
@@ -67,72 +69,75 @@ class Codec:
         self.end = next(k for k, (p, _, kind) in enumerate(pieces) if p == "</s>" and kind == 3)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            if self.merged(p) == [p]:  # others never appear in an encoding
-                self.automaton.add_word(p, (p, len(p)))
+        self.whole = {p: [k] for p, k in self.ids.items() if self.merged(p) == [p]}  # others never appear in an encoding
+        for p, (k,) in self.whole.items():
+            if len(p) > 1:
+                self.automaton.add_word(p, (k, len(p)))
         self.automaton.make_automaton()
-        self.whole = {p: [k] for p, k in self.ids.items() if p in self.automaton}
         self.decimal = [b"%d" % k for k in range(len(pieces))]
         self.outside = re.compile("([^" + "".join(re.escape(c) for c in self.ids if len(c) == 1) + "]+)")
         self.names = [p for p, _, _ in pieces]
+        self.sizes = [len(p) for p in self.names]
         self.packed = np.empty(0, np.int64), np.empty(0, bool)
-        self.compatible: dict[tuple[str, str], bool] = {}
+        self.compatible: dict[int, bool] = {}  # by left id * number of pieces + right id
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def rest(self) -> None:
         """Forgets the segments and keeps the tested pairs in two arrays: small objects that stay would hold on to the memory of those that go."""
-        n = len(self.names)
-        self.packed = np.fromiter((self.ids[a] * n + self.ids[b] for a, b in self.compatible), np.int64, len(self.compatible)), np.fromiter(self.compatible.values(), bool, len(self.compatible))
+        self.packed = np.fromiter(self.compatible, np.int64, len(self.compatible)), np.fromiter(self.compatible.values(), bool, len(self.compatible))
         self.compatible, self.known, self.older = {}, {}, {}
 
     def wake(self) -> None:
-        n, names = len(self.names), self.names
         pairs, fits = self.packed
-        self.compatible = {(names[a], names[b]): x for a, b, x in zip((pairs // n).tolist(), (pairs % n).tolist(), fits.tolist())}
+        self.compatible = dict(zip(pairs.tolist(), fits.tolist()))
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition, for the few characters of one or two pieces: best score first, leftmost among equals."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            scores = [rank.get(a + b) for a, b in zip(parts, parts[1:])]
-            if (best := min((s for s in scores if s is not None), default=None)) is None:
-                break
+        parts, rank = list(text), self.rank.get
+        scores = [rank(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := min(scores)) < NONE:
             k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = rank(parts[k - 1] + parts[k], NONE)
+            if k < len(scores):
+                scores[k] = rank(parts[k] + parts[k + 1], NONE)
         return parts
 
-    def fits(self, a: str, b: str) -> bool:
-        if (known := self.compatible.get((a, b))) is None:
-            if len(self.compatible) > TESTED:
-                self.compatible.clear()
-            known = self.compatible[a, b] = self.merged(a + b) == [a, b]
+    def fits(self, pair: int) -> bool:
+        if len(self.compatible) > TESTED:
+            self.compatible.clear()
+        a, b = (self.names[k] for k in divmod(pair, len(self.names)))
+        known = self.compatible[pair] = self.merged(a + b) == [a, b]
         return known
 
     def inside(self, text: str) -> list[int]:
         """Ids of a segment whose characters are all in the vocabulary."""
         if (known := self.whole.get(text)) is not None:
             return known
-        last: list[str | None] = [None] * (len(text) + 1)
-        tested = self.compatible
+        last = [-1] * (len(text) + 1)  # the table: last pieces of the prefixes; where no longer piece fits it is the last character, looked up when asked for
+        tested, n, ids = self.compatible.get, len(self.names), self.ids
         for end, (piece, size) in self.automaton.iter(text):
             end += 1
-            if last[end] is not None:
+            if last[end] >= 0:
                 continue
             if before := end - size:
-                if (left := last[before]) is None:
-                    continue
-                if (fits := tested.get((left, piece))) is None:
-                    fits = self.fits(left, piece)
-                    tested = self.compatible
+                if (left := last[before]) < 0:
+                    left = last[before] = ids[text[before - 1]]
+                pair = left * n + piece
+                if (fits := tested(pair)) is None:
+                    fits = self.fits(pair)
                 if not fits:
                     continue
             last[end] = piece
-        ids, out, at = self.ids, [], len(text)
+        sizes, out, at = self.sizes, [], len(text)
         while at:
-            piece = last[at]
-            out.append(ids[piece])
-            at -= len(piece)
+            if (piece := last[at]) < 0:
+                piece = ids[text[at - 1]]
+            out.append(piece)
+            at -= sizes[piece]
         return out[::-1]
 
     def segment(self, text: str) -> list[int]:

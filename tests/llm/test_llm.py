@@ -728,3 +728,19 @@ def test_what_a_codec_remembers_is_small():
         own.encode(" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(1000)))
     size = sum(getsizeof(k) + getsizeof(v) + (sum(map(getsizeof, v)) if isinstance(v, tuple) else 0) for d in (own.known, own.older) for k, v in d.items())
     assert own.known and size < 25_000_000
+
+
+def test_tested_pairs_are_numbers_and_no_single_character_is_tested():
+    import sentencepiece
+
+    own, sp = sentencepiece_codec.Codec(sentencepiece_codec.read_model(model())), sentencepiece.SentencePieceProcessor(model_file=model())
+    r = random.Random(5)
+    words = ["".join(r.choices(["tion", "the", "qu", "é", "z", "x", "ß", "able", "%", "I", "日", "\n"], k=r.randrange(1, 12))) for _ in range(3000)]
+    for _ in range(2):
+        for w in words:
+            assert own.encode(w)[0].decode() == " ".join(map(str, sp.encode(w, add_eos=True)))
+        assert own.compatible and all(isinstance(p, int) and own.sizes[p % len(own.names)] > 1 for p in own.compatible)
+        before = own.compatible
+        own.rest()
+        own.wake()
+        assert own.compatible == before
