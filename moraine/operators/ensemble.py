@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import hazard
+from moraine.functions.rounding import rounded
 
 
 def corridor(cells: DataFrame, keys: list[str], chainage: str, length: float, bins: int) -> DataFrame:
@@ -40,12 +41,12 @@ def profile_gap(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
 def mismatches(arrivals: DataFrame, targets: DataFrame) -> DataFrame:
     """arrivals (transect, arrival and more) with ``gap`` to the target's interval (transect, low, high), null where either lacks a time."""
     joined = arrivals.join(targets.where("low is not null and high is not null"), "transect", "left")
-    return joined.withColumn("gap", F.when(F.col("low").isNotNull(), F.round(hazard.signed_gap(F.col("arrival"), F.col("low"), F.col("high")), 2))).drop("low", "high")
+    return joined.withColumn("gap", F.when(F.col("low").isNotNull(), rounded(hazard.signed_gap(F.col("arrival"), F.col("low"), F.col("high")), 2))).drop("low", "high")
 
 
 def closest_member(gaps: DataFrame, member: str) -> DataFrame:
     """The member that reaches most of the compared transects, then with the least mean gap; one without a gap isn't ranked."""
-    per = gaps.groupBy(member).agg(F.count("gap").alias("reached"), F.round(F.avg(F.abs("gap")), 3).alias("mean_gap")).where("reached > 0")
+    per = gaps.groupBy(member).agg(F.count("gap").alias("reached"), rounded(F.avg(F.abs("gap")), 3).alias("mean_gap")).where("reached > 0")
     return per.agg(F.min(F.struct((-F.col("reached")).alias("r"), "mean_gap", member)).alias("b")).where("b is not null").select(f"b.{member}", (-F.col("b.r")).alias("reached"), "b.mean_gap")
 
 
@@ -63,8 +64,8 @@ def is_valid() -> Column:
 def index_summary(members: DataFrame) -> DataFrame:
     """Counts of valid, invalid and flagged members, percentiles of the valid ones' reach, and total time."""
     rows = members.withColumn("valid", is_valid()).withColumn("far", F.when(F.col("valid"), F.col("reach")))
-    marks = [F.round(F.percentile("far", q / 100), 2).alias(f"reach_p{q}") for q in (5, 25, 50, 75, 95)]
-    return rows.agg(F.count("*").alias("n_members"), F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("valid") & (F.size("reasons") > 0)).alias("n_flagged_kept"), *marks, F.max("far").alias("reach_max"), F.min("far").alias("reach_min"), F.round(F.sum("wall"), 1).alias("wall_total"))
+    marks = [rounded(F.percentile("far", q / 100), 2).alias(f"reach_p{q}") for q in (5, 25, 50, 75, 95)]
+    return rows.agg(F.count("*").alias("n_members"), F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("valid") & (F.size("reasons") > 0)).alias("n_flagged_kept"), *marks, F.max("far").alias("reach_max"), F.min("far").alias("reach_min"), rounded(F.sum("wall"), 1).alias("wall_total"))
 
 
 def loss_interval(value: Column, damage: tuple[Column, Column], share: tuple[Column, Column]) -> tuple[Column, Column, Column, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions.quantiles import circular_mean_deg
+from moraine.functions.rounding import rounded
 
 
 def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def warp(cells: DataFrame, source: Grid, target: Grid, kind: str, nodata: float
         found = met.groupBy("r", "c").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
     elif kind == "mode":
         # Areas are rounded, so that equal ones are ties.
-        area = met.groupBy("r", "c", "value").agg(F.round(F.sum("w"), 9).alias("w"))
+        area = met.groupBy("r", "c", "value").agg(rounded(F.sum("w"), 9).alias("w"))
         found = area.groupBy("r", "c").agg(F.min_by("value", F.struct(-F.col("w"), F.col("value"))).alias("value"))
     else:
         raise ValueError(f"no resampling {kind!r}")

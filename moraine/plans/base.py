@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.functions.rounding import rounded  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 DAY_US = 86_400_000_000
@@ -27,7 +29,3 @@ def query(sql: str | None = None):
 def micros(column: str) -> Column:
     """Microseconds from 1970 of a time without zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
-
-
-def rounded(x, digits: int = 6):
-    return F.round(x, digits)

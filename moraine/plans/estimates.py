@@ -34,7 +34,7 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {FORCES} select vec_id, round(peak_force, 1) as peak_force, peak_index, round(impulse, 1) as impulse, impulse_index, onset_index, duration_s, acceleration_s, round(azimuth, 6) as azimuth, round(path_angle, 6) as path_angle from g")
 def force_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = force.summarise(histories(spark, sf_dir), "vec_id", "force", DT)
-    return out.withColumns({c: F.round(c, 1) for c in ("peak_force", "impulse")} | {c: rounded(c) for c in ("azimuth", "path_angle")})
+    return out.withColumns({c: rounded(c, 1) for c in ("peak_force", "impulse")} | {c: rounded(c) for c in ("azimuth", "path_angle")})
 
 
 @query(
@@ -185,7 +185,7 @@ def receiver_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardised_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns on their population's scale; one that doesn't vary stays at 0."""
     rows = balance.standardised(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", F.lit(7.0).alias("flat")), ["l_quantity", "flat"])
-    return rows.groupBy(F.col("l_linenumber").alias("line")).agg(F.round(F.sum("l_quantity"), 4).alias("total"), F.max("flat").alias("still"), F.count("*").alias("n"))
+    return rows.groupBy(F.col("l_linenumber").alias("line")).agg(rounded(F.sum("l_quantity"), 4).alias("total"), F.max("flat").alias("still"), F.count("*").alias("n"))
 
 
 @query()

@@ -77,7 +77,7 @@ def closest_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GAPS + " select transect, count(gap) as n, min(gap) as least, round(quantile_cont(gap, 0.25), 2) as p25, round(quantile_cont(gap, 0.5), 2) as median, round(quantile_cont(gap, 0.75), 2) as p75, max(gap) as most, min(abs(gap)) as closest from g where gap is not null group by transect")
 def mismatch_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of the gaps at each transect with a recorded arrival."""
-    part = [F.round(Q.linear("gap", q), 2).alias(n) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
+    part = [rounded(Q.linear("gap", q), 2).alias(n) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
     rows = _gaps(spark, sf_dir).where("gap is not null").groupBy("transect")
     return rows.agg(F.count("gap").alias("n"), F.min("gap").alias("least"), *part, F.max("gap").alias("most"), F.min(F.abs("gap")).alias("closest"))
 

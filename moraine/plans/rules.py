@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.operators import contracts, rules
-from moraine.plans.base import micros, query
+from moraine.plans.base import micros, query, rounded
 from moraine.tables import table
 
 
@@ -349,4 +349,4 @@ def interval_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = price - size
     found = contracts.agreement((low, F.when(k % 3 == 0, price), low + F.when(k % 5 > 0, 2 * size).otherwise(0)), price * 0.99 - 10, price + k % 40 - 20, price * 1.01 + k % 7)
     rows = table(spark, sf_dir, "part").select(k.alias("id"), found.alias("a"))
-    return rows.select("id", F.round("a.centre", 6).alias("centre"), "a.has_width", "a.median_inside", "a.centre_inside", "a.ok")
+    return rows.select("id", rounded("a.centre").alias("centre"), "a.has_width", "a.median_inside", "a.centre_inside", "a.ok")

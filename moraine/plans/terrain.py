@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moraine.checkpoints import cut
 from moraine.operators import balance, grids, resampling, surrogate, units
-from moraine.plans.base import query
+from moraine.plans.base import query, rounded
 from moraine.tables import table
 
 STEP_M = 30.0
@@ -94,7 +94,7 @@ def _field(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
 @query(OVERLAPS.format(value="p_retailprice::double", nodata="904") + "select r, c, round(coalesce(sum(w * v) / sum(w), -1), 6) as value from every left join k using (r, c) group by r, c")
 def warped_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices on a coarser grid that begins outside: means by common area; 904 stands for no data, -1 for none in the target."""
-    return grids.warp(_field(spark, sf_dir, "p_retailprice"), SOURCE, TARGET, "average", 904.0, -1.0).withColumn("value", F.round("value", 6))
+    return grids.warp(_field(spark, sf_dir, "p_retailprice"), SOURCE, TARGET, "average", 904.0, -1.0).withColumn("value", rounded("value"))
 
 
 @query(

@@ -190,3 +190,18 @@ def test_loops_keep_no_estimate_of_all_their_joins(spark):
     bed = spark.range(64).select(F.lit(0).alias("r"), F.col("id").alias("c"), F.lit(0.0).alias("z"), (F.col("id") == 0).alias("seed"))
     filled = corridors.flood(bed, 1.0, 8, tile_cells=64)
     assert small(filled) and {x.c: x.filled for x in filled.collect()} == {k: float(k) for k in range(64)}
+
+
+def test_rounds_doubles_as_sql(spark):
+    # 0.1301655 is below the tie as a double: its score was 0.130166 and 0.130165 in SQL.
+    import duckdb
+
+    from moraine.functions.rounding import rounded
+
+    values = [0.1301655, 1.0000005, -0.1301655, 0.5, -2.5, 0.0, 123456789.1234565, 1e17 + 0.5, *((10 * k + 5) / 1e7 * (-1) ** k for k in range(2000))]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(values)] + [(-1, None)], "k long, x double")
+    for digits in (1, 2, 4, 6, 9):
+        got = {r.k: r.y for r in df.select("k", rounded("x", digits).alias("y")).collect()}
+        con = duckdb.connect()
+        con.execute("create table t as select unnest($1::double[]) as x, unnest(range(len($1))) as k", [values])
+        assert got == dict(con.execute(f"select k, round(x, {digits}) from t").fetchall()) | {-1: None}
