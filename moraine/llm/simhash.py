@@ -18,8 +18,9 @@
    largest component are then held against all. Chunks above ``CHUNK_ROWS`` are cut into blocks of
    entries, a task for each two blocks.
 7. Components of all forests by alternating stars.
-8. ``one_of_each`` then searches exactly for links between groups (``crossing``): prefixes of the shingle
-   sets, rare shingles first, meet by hash, and full sets are compared.
+8. ``one_of_each`` searches fingerprints only as far as a fixed work an entry allows, and then exactly for all links
+   between groups (``crossing``): prefixes of the shingle sets, rare shingles first, meet by hash; pairs
+   that share enough of them are compared in full.
 
 Nothing but bit counts and common shingles of a sample, of constant size, and the sizes of chunks above the
 limit reach the driver.
@@ -62,6 +63,8 @@ BROADCAST_KEYS = 500_000
 SAMPLE_ROWS = 4_096
 COMMON = 65_536
 PARITIES = 1_024
+WORK = 3_000.0  # checks of candidates an entry and word that one_of_each's search of fingerprints may cost, rows included
+SHARED = 3  # hashes of their prefixes that two similar sets have in common at least
 
 
 def fingerprint(text: str | None, shingle: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -135,8 +138,19 @@ def parts_of(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return out
 
 
-def plan(both: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each part: the cheapest allocation over two to eight parts."""
+def plan(both: np.ndarray, n: int, distance: int, work: float = math.inf) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each part: the cheapest allocation over two to eight parts.
+
+    With ``work`` it is that of the largest distance up to the given one whose cost is at most so many checks an entry: then pairs within the given distance may not meet.
+    """
+    for d in range(distance, -1, -1):
+        cost, parts = _cheapest(both, n, d)
+        if cost <= work * max(n, 1):
+            break
+    return parts
+
+
+def _cheapest(both: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple[list[int], int]]]:
     n = max(n, 1)  # costs of an empty table would all be equal
     p = both.diagonal() / max(n, 1)
     differ = 2 * p * (1 - p)
@@ -161,7 +175,7 @@ def plan(both: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]
             table = step
         if distance + 1 in table and table[distance + 1][0] < best[0]:
             best = (table[distance + 1][0], list(zip(parts, table[distance + 1][1])))
-    return [(bits, t) for bits, t in best[1] if t >= 0]
+    return best[0], [(bits, t) for bits, t in best[1] if t >= 0]
 
 
 def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -286,13 +300,14 @@ def _match(table: pa.Table, words: int, distance: int, total: int) -> pa.Table:
     return pa.table({"u": u, "v": v}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
-def links(entries: DataFrame, words: int, distance: int, total: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def links(entries: DataFrame, words: int, distance: int, total: int, chunk_rows: int = CHUNK_ROWS, work: float = math.inf) -> DataFrame:
     """(u, v) links that span all links within each chunk; entries: node, f0, f1, ... of which any word finds a pair.
 
-    Two entries link if a word differs in at most ``distance`` bits and all words in at most ``total``.
+    Two entries link if a word differs in at most ``distance`` bits and all words in at most ``total``. With ``work`` (see ``plan``)
+    the search costs no more an entry however many there are, and of these links some are left out.
     """
     n, both = bit_counts(entries, words)
-    plans = [(k, bits, t) for k in range(words) for bits, t in plan(both[k], n, distance)]
+    plans = [(k, bits, t) for k in range(words) for bits, t in plan(both[k], n, distance, work)]
     masks = [np.uint64(sum(1 << b for b in bits)) for _, bits, _ in plans]
     flips = [np.array([sum(1 << b for b in c) for r in range(1, t + 1) for c in combinations(bits, r)], np.uint64) for _, bits, t in plans]
     width = 16 + 8 * words
@@ -447,13 +462,13 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The hashes of a set that come first, rare ones before common ones: two sets that are similar share one of them at least.
+    """The hashes of a set that come first, rare ones before common ones: two sets that are similar share SHARED of them at least, or all they have in common.
 
-    Of n hashes a similar set has all but n - similarity * n at most, so one more of them can't all be missing from it.
+    Of n hashes a similar set has all but n - similarity * n at most, so of SHARED more of them it has SHARED.
     """
     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
     order = np.argsort(np.where(common[at] == hashes, seen[at], 0), kind="stable")
-    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]]
+    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + SHARED]]
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -485,7 +500,10 @@ def parities_fit(pairs: DataFrame, entries: DataFrame, similarity: float) -> Dat
 
 
 def _crossing(table: pa.Table, similarity: float) -> pa.Table:
-    """Pairs of one chunk that share a hash of their prefixes, have different labels, and can be similar by what is left of both sets from there."""
+    """Pairs of one chunk that share a hash of their prefixes, have different labels, and can be similar by what is left of both sets from there.
+
+    n: how many such hashes they share in this chunk; least: how many they share in all chunks if they are similar.
+    """
     column = lambda name, dtype: np.frombuffer(b"".join(x.as_py() for x in table[name]), dtype)
     keys, nodes, labels = column("keys", np.uint64), column("nodes", np.int64), column("labels", np.int64)
     labels = labels ^ nodes  # as they are sent
@@ -497,34 +515,39 @@ def _crossing(table: pa.Table, similarity: float) -> pa.Table:
     count = np.searchsorted(keys, keys, "right") - start
     rows = np.flatnonzero(count)
     ends = np.cumsum(count[rows])
-    held, size = [np.empty((2, 0), np.int64)], 0
+    held, size = [np.empty((4, 0), np.int64)], 0
 
     def distinct() -> np.ndarray:
         pairs = np.concatenate(held, axis=1)
-        pairs = pairs[:, np.lexsort(pairs)]
-        return pairs[:, np.append(True, (np.diff(pairs) != 0).any(0))] if pairs.shape[1] else pairs
+        pairs = pairs[:, np.lexsort(pairs[:2])]
+        first = np.flatnonzero(np.append(True, (np.diff(pairs[:2]) != 0).any(0))) if pairs.shape[1] else np.empty(0, np.int64)
+        return np.vstack((pairs[:2, first], np.add.reduceat(pairs[2], first) if len(first) else pairs[2], pairs[3, first]))
 
     for at in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
         pair = np.arange(at, min(int(ends[-1]), at + SLICE))
         which = np.searchsorted(ends, pair, "right")
         i = rows[which]
         j = start[i] + pair - (ends[which] - count[i])
-        good = np.minimum(left[i], left[j]) * (1 + similarity) >= similarity * (sizes[i] + sizes[j]) - 1e-6
-        i, j = nodes[i[good]], nodes[j[good]]
-        held.append(np.stack((np.minimum(i, j), np.maximum(i, j))))
+        # The k-th hash that they share has k - 1 before it, and only the first SHARED must be counted.
+        good = (np.minimum(left[i], left[j]) + SHARED - 1) * (1 + similarity) >= similarity * (sizes[i] + sizes[j]) - 1e-6
+        i, j = i[good], j[good]
+        least = np.minimum(SHARED, np.ceil(similarity * np.maximum(sizes[i], sizes[j]) - 1e-6).astype(np.int64))
+        i, j = nodes[i], nodes[j]
+        held.append(np.stack((np.minimum(i, j), np.maximum(i, j), np.ones_like(i), least)))
         size += len(i)
         if size > 4 * SLICE:
             held = [distinct()]
             size = held[0].shape[1] // 2  # so that each time at least as many are new
-    u, v = distinct()
-    return pa.table({"u": u, "v": v}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v, n, least = distinct()
+    return pa.table({"u": u, "v": v, "n": n, "least": least}, pa.schema([(x, pa.int64()) for x in ("u", "v", "n", "least")]))
 
 
 def crossing(entries: DataFrame, similarity: float, chunk_rows: int = CHUNK_ROWS // 2) -> DataFrame:
     """Distinct (u, v): all pairs of entries of different labels that may have the similarity. entries: node, label, size, prefix (packed hashes).
 
     Rows meet by the hashes of their prefixes, packed by chunk (a hash range); chunks above ``chunk_rows`` are cut into
-    blocks of entries, a task for each two blocks.
+    blocks of entries, a task for each two blocks. A pair that shares fewer than SHARED hashes is dropped: those that share one
+    by chance grow with the square of the entries. In a chunk cut into blocks two entries of one block meet in each of its tasks, so they may be counted more than once.
     """
     n = entries.agg(F.sum(F.length("prefix"))).first()[0] or 0
     chunk_bits = max(LEAST_CHUNKS_BITS, math.ceil(math.log2(max(1, 4 * n / CHUNK_BYTES))))
@@ -584,18 +607,20 @@ def crossing(entries: DataFrame, similarity: float, chunk_rows: int = CHUNK_ROWS
         return _crossing(table, similarity)
 
     names = "chunk long, block int, keys binary, nodes binary, labels binary, sizes binary, rest binary"
-    return entries.select("node", "label", "size", "prefix").mapInArrow(deal, names).groupBy("chunk", "block").applyInArrow(match, "u long, v long").distinct()
+    met = entries.select("node", "label", "size", "prefix").mapInArrow(deal, names).groupBy("chunk", "block").applyInArrow(match, "u long, v long, n long, least long")
+    return met.groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("u", "v")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, distance: int = 10, slack: float = 0.06) -> DataFrame:
     """The rows of docs that stay: of each group linked by ``similarity`` of shingles the one with the smallest doc_id (then text hash).
 
     Most links come from ``words`` independent fingerprints, each searched within ``distance`` bits:
-    at similarity 0.8 and ten bits one word finds 61 % of the pairs, two find 85 %, at 0.85 97 %. Candidates
+    at similarity 0.8 and ten bits one word finds 61 % of the pairs, two find 85 %, at 0.85 97 %; in tables where that would cost more
+    than WORK an entry fewer bits are searched. Candidates
     that differ in more bits of all words than ``similarity`` does on average and ``slack`` of them go;
     the Jaccard similarity of the others, as far as they are in a chunk's spanning forest of
     nearest pairs, is computed from all their shingles. What these leave apart is then searched exactly: any two
-    similar sets share a hash of their prefixes, so all pairs of different groups that do and that parities of their hashes don't rule out are compared; no link is left out.
+    similar sets share SHARED hashes of their prefixes, so all pairs of different groups that do and that parities of their hashes don't rule out are compared; no link is left out.
     """
     names = [f"f{k}" for k in range(words)]
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), *((x, pa.int64()) for x in (*names, "content")), ("size", pa.int32()), ("prefix", pa.binary()), ("odd", pa.binary())])
@@ -618,7 +643,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     entries = cut(rows.groupBy(*names, "content").agg(F.min(key).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd")).withColumn("node", F.xxhash64(*names, "content")))
     cosine = 2 * similarity / (1 + similarity)
     total = round(64 * words * (math.acos(cosine) / math.pi + slack))
-    pairs = cut(links(entries, words, distance, total).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = cut(links(entries, words, distance, total, work=WORK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
     packed = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -168,6 +169,30 @@ def test_prefixes_meet_in_blocks(spark, limit):
     assert len(got) == len(set(got)) and want and want <= set(got) and all(i % 9 != j % 9 for i, j in got)
 
 
+def test_pairs_that_share_one_hash_by_chance_do_not_meet(spark):
+    # One hash that all sets begin with made 19,900 pairs, which grow with the square of the sets.
+    r = np.random.default_rng(6)
+    sets = [np.unique(np.append(r.integers(1, 2**62, 60), 0).astype(np.uint64)) for _ in range(200)]
+    sets += [np.unique(np.append(x[:-4], r.integers(1, 2**62, 4).astype(np.uint64))) for x in sets[:20]] + [np.array(x, np.uint64) for x in ([1], [1, 2], [5, 6, 7, 8], [5, 6, 7, 8, 9])]
+    none = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    rows = [(k, k, len(x), bytearray(simhash.prefix(x, 0.8, *none).tobytes())) for k, x in enumerate(sets)]
+    got = {(x.u, x.v) for x in simhash.crossing(spark.createDataFrame(rows, "node long, label long, size int, prefix binary"), 0.8).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert want <= got and len(want) == 21 and len(got) < 40
+
+
+def test_work_of_the_first_search_does_not_grow_with_the_table():
+    both = np.full((64, 64), 0.25) + np.eye(64) / 4
+    for n in (10**4, 10**6, 10**8):
+        cost, parts = simhash._cheapest(both * n, n, 10)
+        bounded = simhash.plan(both * n, n, 10, simhash.WORK)
+        assert bounded and (bounded == parts) == (cost <= simhash.WORK * n)
+        # Index rows, probes and the pairs that meet by chance, n of them for each entry and part.
+        rows = sum(1 + (sum(math.comb(len(b), r) for r in range(t + 1)) - 1) / 2 for b, t in bounded)
+        meet = sum(n * sum(math.comb(len(b), r) for r in range(t + 1)) / 2 ** len(b) for b, t in bounded)
+        assert rows * simhash.ROW_COST + meet <= simhash.WORK * 1.001
+
+
 def test_parities_of_large_sets_tell_them_apart(spark):
     r = np.random.default_rng(4)
     whole = np.unique(r.integers(0, 2**63, 6000).astype(np.uint64))
