@@ -205,3 +205,23 @@ def test_rounds_doubles_as_sql(spark):
         con = duckdb.connect()
         con.execute("create table t as select unnest($1::double[]) as x, unnest(range(len($1))) as k", [values])
         assert got == dict(con.execute(f"select k, round(x, {digits}) from t").fetchall()) | {-1: None}
+
+
+def test_pairs_of_dense_days_are_formed_late_and_pack_well(spark, tmp_path):
+    # Ids of a day travel as one row for each frame beside it; pairs come out in runs, where before each was written in full.
+    import os
+
+    from moraine.plans import catalog as plans
+
+    r = random.Random(4)
+    rows = [(k * 13 + 1 + r.randrange(12), r.randrange(3) * 40 * 7 + 40 * r.randrange(2), r.choice("OF"), r.choice([9000, 9001, 9024, 9025, 9030])) for k in range(3000)] + [(13 * k, 0, "O", 9001) for k in range(50)]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, day long")
+    df.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(day) as o_orderdate").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    out = plans.pair_planner(spark, str(tmp_path))
+    out.coalesce(1).write.parquet(f"{tmp_path}/out")
+    got = {(x.path, x.direction, x.first, x.second, x.days) for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    products = [(k, c % 40, s, d, c % 7) for k, c, s, d in rows if k % 13]
+    want = {(p, s, k, m, e - d) for k, p, s, d, f in products for m, q, t, e, g in products if p == q and s == t and 1 <= e - d <= 24 and abs(f - g) <= 1}
+    assert got == want and out.count() == len(want) > 500_000
+    size = sum(os.path.getsize(f"{tmp_path}/out/{x}") for x in os.listdir(f"{tmp_path}/out") if x.endswith(".parquet"))
+    assert size < len(want)  # a byte a pair
